@@ -44,6 +44,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import classes
+
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import BASE, scan
 
