@@ -11,6 +11,14 @@ from .common import table
 from .encode import vocabulary
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import THRESHOLD, held_out, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import files
 
