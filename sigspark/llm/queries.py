@@ -32,6 +32,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -105,4 +111,6 @@ from d left join marked using (r) left join items using (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op8_decontamination": OP8_SQL}
+    from .licenses import sql
+
+    return {"op3_topk": OP3_SQL, "op4_licenses": sql(_WORDS), "op8_decontamination": OP8_SQL}
