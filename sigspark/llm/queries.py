@@ -38,6 +38,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
