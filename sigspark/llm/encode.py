@@ -14,15 +14,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: At most so many pieces are kept; then the table starts anew. Bounds memory, not results.
-KEPT = 300_000
+#: So many pieces are kept, and as many of those before them; then the oldest go. Bounds memory, not results.
+KEPT = 450_000
 #: Pieces encoded in one call, and documents whose pieces are gathered for it.
 CALL, GATHER = 400, 128
 _ENCODERS: dict[str, Encoder] = {}
+#: Letters that every version of Unicode has, with the space that may lead them: one pre-token.
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A letter and the mark after it are two pre-tokens.
+_ENDED = re.compile(r".*[A-Za-z][.,]", re.DOTALL)
 
 
 class Encoder:
-    """ids(texts) of a tokenizers file, without special tokens; a special token's string in a text is ordinary text."""
+    """encoded(texts) of a tokenizers file, without special tokens; a special token's string in a text is ordinary text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,54 +34,92 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.cut = Tokenizer.from_file(path)
+        self.size = self.whole.get_vocab_size(with_added_tokens=True)
         rules = json.loads(self.whole.to_str())
-        added = [x for x in rules["added_tokens"] if x["special"] and not (x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"])]
-        self.mark, self.mark_id = (added[-1]["content"], added[-1]["id"]) if added else ("", -1)
         self.added = [x["content"] for x in rules["added_tokens"]]
-        pre, norm = rules["pre_tokenizer"] or {}, rules["normalizer"]
-        parts = pre.get("pretokenizers", [pre])
-        post = rules["post_processor"]
-        self.how = "whole"
-        if added and post is None or added and post.get("type") == "ByteLevel":
-            if len(parts) == 1 and parts[0].get("type") == "ByteLevel" and parts[0]["use_regex"] and not parts[0]["add_prefix_space"] and norm is None:
-                self.how = "led"  # a space belongs to the piece after it
-            elif parts[0].get("type") == "Split" and parts[0]["invert"] and parts[0]["behavior"] == "Removed" and r"^\s" in parts[0]["pattern"].get("Regex", "") and " ?" not in parts[0]["pattern"]["Regex"]:
-                self.how = "dropped"  # no pre-token holds white space
-        self.known: dict[str, bytes] = {}
+        self.how = self._how(rules)
         # A cut before a space or around a line break is safe where no other white space stands beside it.
         self.unsafe = re.compile(r"[ \n][\s\x1c-\x1f\x85]|[^\S \n][ \n]|[ \n]\Z|\A\n|\0")
-        self.size = self.whole.get_vocab_size(with_added_tokens=True)
+        self.blank = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        if self.how == "whole":
+            return
+        mark = next(x for x in rules["added_tokens"] if x["special"])
+        self.mixed = (Tokenizer.from_file(path), mark["content"], mark["id"])
+        # For letters alone no pattern has to find the pre-tokens: cut at line breaks.
+        plain = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": "\n"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        steps = [x for x in (rules["normalizer"] or {}).get("normalizers", []) if x["type"] != "Replace"]
+        letters = Tokenizer.from_str(json.dumps(rules | {"added_tokens": [], "pre_tokenizer": plain, "normalizer": {"type": "Sequence", "normalizers": steps} if steps else None}))
+        at = letters.encode("\n", add_special_tokens=False).ids
+        self.letters = (letters, "\n", at[0]) if len(at) == 1 else self.mixed
+
+    @staticmethod
+    def _how(rules: dict) -> str:
+        """led: a space belongs to the piece after it; dropped: no pre-token holds white space; whole: texts aren't cut."""
+        pre, norm, post = rules["pre_tokenizer"] or {}, rules["normalizer"], rules["post_processor"]
+        special = [x for x in rules["added_tokens"] if x["special"]]
+        if not special or any(x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"] for x in rules["added_tokens"]) or post and post["type"] != "ByteLevel":
+            return "whole"
+        parts = pre.get("pretokenizers", [pre])
+        if len(parts) == 1 and parts[0].get("type") == "ByteLevel" and parts[0]["use_regex"] and not parts[0]["add_prefix_space"] and norm is None:
+            return "led"
+        known = {"NFC", "Replace", "Lowercase"}
+        if len(parts) == 2 and parts[0]["type"] == "Split" and parts[0]["invert"] and parts[0]["behavior"] == "Removed" and r"[^\s\p{L}\p{N}]+" in parts[0]["pattern"].get("Regex", "") and " ?" not in parts[0]["pattern"]["Regex"] and parts[1]["type"] == "ByteLevel" and norm and norm["type"] == "Sequence" and all(x["type"] in known and (x["type"] != "Replace" or x["pattern"] == {"Regex": r"\s+"}) for x in norm["normalizers"]):
+            return "dropped"
+        return "whole"
 
     def pieces(self, text: str) -> list[str] | None:
         if self.how == "whole" or any(x in text for x in self.added):
             return None
         if self.how == "dropped":
             return text.replace("\n", " ").split(" ")
-        return None if self.unsafe.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text.endswith((" ", "\n")) or text.startswith("\n") or self.blank.search(text)
+        return None if odd and self.unsafe.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
-        todo = sorted(new, key=len)
+    def _encode(self, todo: list[str], by: tuple) -> None:
+        tokenizer, mark, mark_id = by
+        todo.sort(key=len)
         blocks = [todo[i : i + CALL] for i in range(0, len(todo), CALL)]
-        for block, e in zip(blocks, self.cut.encode_batch_fast([self.mark.join(b) for b in blocks], add_special_tokens=False), strict=True):
+        for block, e in zip(blocks, tokenizer.encode_batch_fast([mark.join(b) for b in blocks], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
-            at = np.flatnonzero(ids == self.mark_id) * 4
+            at = np.flatnonzero(ids == mark_id) * 4
             data = ids.tobytes()
             self.known.update(zip(block, [data[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)], strict=True)], strict=True))
 
+    def learn(self, need: set[str]) -> None:
+        """Sees to it that known holds all of need."""
+        if len(self.known) > KEPT:
+            self.known, self.older = {}, self.known
+        new, older = need.difference(self.known), self.older
+        if not new:
+            return
+        for w in [w for w in new if w in older]:
+            self.known[w] = older[w]
+            new.discard(w)
+        ended = [w for w in new if w[-1:] in ("." , ",") and _ENDED.fullmatch(w)]
+        new.difference_update(ended)
+        for w in ended:
+            if (x := w[:-1]) not in self.known:
+                if x in older:
+                    self.known[x] = older[x]
+                else:
+                    new.add(x)
+        new.update(x for x in (".", ",") if x not in self.known)
+        letters = [*filter(_LETTERS.fullmatch, new)]
+        new.difference_update(letters)
+        self._encode(letters, self.letters)
+        self._encode([*new], self.mixed)
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+
     def encoded(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids, little-endian unsigned 32-bit integers; null is the empty text."""
         block: list[str] = []
 
         def out() -> Iterator[bytes]:
             cut = [self.pieces(t) for t in block]
-            need = set().union(*[p for p in cut if p is not None])
-            if new := need.difference(self.known):
-                if len(self.known) + len(new) > KEPT:
-                    new = need
-                self.learn(new)
+            self.learn(set().union(*[p for p in cut if p is not None]))
             get = self.known.__getitem__
             for t, p in zip(block, cut, strict=True):
                 yield np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if p is None else b"".join(map(get, p))
