@@ -209,3 +209,16 @@ def digest(report: DataFrame) -> DataFrame:
     items = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item_id"]), lambda x: x.isNotNull())))
     n_hit = F.size(marked).cast("long")
     return report.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The documents, all columns, that hold no window of the benchmark. Windows are matched in the index; what is joined to
+    the documents are the contaminated ones alone, by doc_id and a hash of the text."""
+    names = docs.columns
+    spark = docs.sparkSession
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text = (F.col(f"c{names.index(n)}") for n in ("doc_id", "text"))
+    # A row is known by this hash of its text: 64 bits among the contaminated ones of one id.
+    marked = rows.select(F.xxhash64(key, text).alias("doc_id"), text.alias("text"))
+    hit = written(spark, decontaminate(marked, benchmark, size).filter(F.size("hits") > 0).select(F.col("doc_id").alias("h")).distinct(), "contaminated")
+    return rows.withColumn("h", F.xxhash64(key, text)).join(hit, "h", "left_anti").drop("h").toDF(*names)
