@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import narrow, written
 from .encode import encoder
 
 #: Lengths are summed in blocks of so many first, so that no window holds all of them.
@@ -40,7 +40,8 @@ def lengths(docs: DataFrame, path: str) -> DataFrame:
 def histogram(docs: DataFrame, path: str) -> DataFrame:
     """For each length that occurs: its documents; the documents at least as long and their tokens; the documents at most as
     long; and the tokens that remain if every document is cut at it."""
-    h = lengths(docs, path).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
+    h = written(docs.sparkSession, lengths(docs, path), "token-lengths")  # read twice below: nothing is encoded again
+    h = h.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     whole = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of lengths
     zero = F.lit(0).cast("long")
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
