@@ -1 +1,68 @@
-"""Queries of the grouped functions."""
+"""Queries of the grouped functions and iterative drivers. SQL can't express them; tests compare them with brute force."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .catalog import _FREQ, _strand_counts, query
+from .functions import stats
+from .operators import hmm, signal
+from .plans import consensus, polya, training
+
+
+def _work(v) -> DataFrame:
+    """Each read's events, in order, against the states of the k-mers that they name."""
+    e = signal.with_model(v("v_events"), v("v_model"))
+    struct = F.struct("event_idx", (F.col("mean") / 5).alias("mean"), "level_mean", "level_stdv")
+    rows = e.groupBy("read_id").agg(F.array_sort(F.collect_list(struct)).alias("x"))
+    return rows.select("read_id", F.transform("x", lambda x: x["mean"]).alias("means"), F.transform("x", lambda x: x["level_mean"]).alias("level_mean"), F.transform("x", lambda x: x["level_stdv"] * 20).alias("level_stdv"), F.lit(1.5).alias("events_per_base"))
+
+
+@query()
+def hmm_forward(v, spark, sf_dir):
+    return hmm.score_reads(_work(v))
+
+
+@query()
+def hmm_viterbi(v, spark, sf_dir):
+    return hmm.align_reads(_work(v))
+
+
+@query()
+def banded_align(v, spark, sf_dir):
+    return hmm.align_banded(_work(v), min_emission=-20.0)
+
+
+@query()
+def segment_signal(v, spark, sf_dir):
+    return hmm.segment_reads(v("v_signal").select("read_id", F.transform("samples", lambda x: x / F.lit(100.0)).alias("samples")))
+
+
+@query()
+def polya_report(v, spark, sf_dir):
+    scaled = v("v_signal").select("read_id", F.transform("samples", lambda x: x / F.lit(100.0)).alias("samples"))
+    return polya.report(scaled, signal.read_rate(v("v_events")), sample_rate=4000.0)
+
+
+@query()
+def em_mixture(v, spark, sf_dir):
+    e = signal.with_model(v("v_events"), v("v_model"))
+    return training.mixtures(e.select("kmer", F.col("mean").alias("x"), (1 + (F.col("event_idx") % 5) / 10).alias("read_var"), "level_mean", "level_stdv"), least=10)
+
+
+@query()
+def fisher_strand(v, spark, sf_dir):
+    return _strand_counts(v).select("site", stats.fisher_phred(*map(F.col, "abcd")).alias("fisher"))
+
+
+@query()
+def consensus_fixpoint(v, spark, sf_dir):
+    return consensus.polish(v("v_ref"), consensus.votes_from_reads(v("v_seq"), v("v_ref")))
+
+
+@query(_FREQ.format("v_calls"), "v_calls")
+def watch_stream(v, spark, sf_dir):
+    from .streaming.watch import batch_equivalent
+
+    return batch_equivalent(spark, sf_dir)
