@@ -8,9 +8,11 @@ of their weighted Jaccard similarity.
 
 Exact copies are one node. Nodes that share a band are in a bucket. In each bucket all nodes are first compared with its
 least node alone; what is similar by signature is verified on the words of the whole texts, the best partner of a node
-first. Then, in buckets that hold more than one class so far, the nodes outside the largest class are compared with all
-nodes of other classes, block by block with blocks of bounded size; so no pair of a bucket is left out unless both its
-ends are known to be of one class. Classes come from alternating large-star and small-star steps over tables in the shared
+first. Then, in buckets that hold more than one class so far, the nodes outside the largest class are compared by signature
+with all nodes of the bucket, and what is similar becomes one coarse group; within each of these the nodes outside its
+largest class are compared with all its nodes on their word runs. Both go block by block, with blocks of bounded size, and
+give only links that join classes; so no pair of a bucket is left out unless both its ends are known to be of one class, or
+their signatures differ too much. Classes come from alternating large-star and small-star steps over tables in the shared
 folder.
 
 Texts of fewer than five words are one element; texts without words are similar to their exact copies only; a null text is
@@ -211,32 +213,96 @@ def rooted(df: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def within(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs a, b that share a bucket, are similar by signature and not of one class. Blocks are compared in NumPy: of those
-    outside a bucket's largest class with all of the bucket."""
+def blocks(members: DataFrame, by: str, roots: DataFrame) -> DataFrame:
+    """Members (by, node) of groups with more than one class, dealt into blocks so that in some block i, j each member that
+    is outside its group's largest class meets every member of the group. No block has over some 2 BLOCK nodes."""
     m = rooted(members, roots, "node").withColumnRenamed("r_node", "root")
-    sizes = m.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
-    mixed = mixed.select("bucket", "main", F.ceil(F.col("all") / BLOCK).alias("n_all"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("n_out"))
-    m = m.join(mixed, "bucket").join(nodes.select("node", "signature"), "node")
-    own = F.xxhash64("node")
-    left = m.select("bucket", F.pmod(own, "n_all").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1)).alias("j"), F.lit(True).alias("all"), "node", "root", "signature")
-    right = m.filter("root <> main").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("i"), F.pmod(own, "n_out").alias("j"), F.lit(False).alias("all"), "node", "root", "signature")
+    sizes = m.groupBy(by, "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy(by).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
+    mixed = mixed.select(by, "main", F.ceil(F.col("all") / BLOCK).alias("n_all"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("n_out"))
+    m = m.join(mixed, by)
+    own, zero = F.xxhash64("node"), F.lit(0).cast("long")
+    left = m.select(by, F.pmod(own, "n_all").alias("i"), F.explode(F.sequence(zero, F.col("n_out") - 1)).alias("j"), F.lit(True).alias("all"), "node", "root")
+    right = m.filter("root <> main").select(by, F.explode(F.sequence(zero, F.col("n_all") - 1)).alias("i"), F.pmod(own, "n_out").alias("j"), F.lit(False).alias("all"), "node", "root")
+    return left.unionAll(right)
+
+
+class Union:
+    """Classes within one block; add() says whether a link joins two."""
+
+    def __init__(self):
+        self.of: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        while (y := self.of.get(x, x)) != x:
+            self.of[x] = x = self.of.get(y, y)
+        return x
+
+    def add(self, a: bytes, b: bytes) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.of[a] = b
+        return a != b
+
+
+def linked(table: pa.Table, alike) -> pa.Table:
+    """Links a, b that join the classes of a block: alike(j, x) says which of the nodes x are like node j."""
+    node, root = (table.column(c).to_pylist() for c in ("node", "root"))
+    every = np.asarray(table.column("all").to_pylist())
+    x, classes_, out = np.flatnonzero(every), Union(), []
+    for j in np.flatnonzero(~every):
+        for i in x[alike(j, x)]:
+            if classes_.add(root[i], root[j]):
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def coarse(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links that join what is similar by signature within the buckets: no pair of one bucket whose signatures agree well
+    enough is left in two of the classes that roots and these links make."""
 
     def group(table: pa.Table) -> pa.Table:
-        node, root = (np.array(table.column(c).to_pylist(), dtype=object) for c in ("node", "root"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(node), -1)
-        every = np.asarray(table.column("all").to_pylist())
-        x, y = np.flatnonzero(every), np.flatnonzero(~every)
-        out = []
-        for j in y:
-            share = (sig[x] == sig[j]).mean(axis=1)
-            for i in x[(share >= ESTIMATE) & (root[x] != root[j])]:
-                out.append((min(node[i], node[j]), max(node[i], node[j])))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(table.num_rows, -1)
+        return linked(table, lambda j, x: (sig[x] == sig[j]).mean(axis=1) >= ESTIMATE)
+
+    dealt = blocks(members, "bucket", roots).join(nodes.select("node", "signature"), "node")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(group, "a binary, b binary").distinct()
 
-    return left.unionAll(right).groupBy("bucket", "i", "j").applyInArrow(group, "a binary, b binary").distinct()
+
+def settled(candidates: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between classes, found by comparing all word runs of all nodes of a candidate group that aren't in one class
+    yet: shared runs are counted over a block's inverted lists. candidates: node, root of the coarse classes."""
+
+    def hashed(batches):
+        for b in batches:
+            sets = [np.unique(shingles(words_of(t))).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "runs"])
+
+    def group(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(r, "<u8") for r in table.column("runs").to_pylist()]
+        size = np.array([len(r) for r in sets])
+        every = np.flatnonzero(np.asarray(table.column("all").to_pylist()))
+        flat = np.concatenate([sets[i] for i in every]) if len(every) else np.empty(0, "<u8")
+        owner = np.repeat(np.arange(len(every)), size[every])
+        order = np.argsort(flat, kind="stable")
+        found, first = np.unique(flat[order], return_index=True)
+        end, owner = np.append(first[1:], len(flat)), owner[order]
+
+        def alike(j, x):
+            at = np.searchsorted(found, sets[j])
+            at = at[(at < len(found)) & (found[np.minimum(at, len(found) - 1)] == sets[j])]
+            n = end[at] - first[at]
+            rows = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[rows], minlength=len(x))
+            return both >= SIMILARITY * (size[x] + size[j] - both)
+
+        return linked(table, alike)
+
+    groups = candidates.select(F.col("root").alias("bucket"), "node")
+    runs_ = texts.select("node", "text").mapInArrow(hashed, "node binary, runs binary")
+    dealt = blocks(groups, "bucket", roots).join(runs_, "node")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(group, "a binary, b binary").distinct()
 
 
 def classes(docs: DataFrame, weights: str = "set") -> DataFrame:
@@ -260,8 +326,9 @@ def classes(docs: DataFrame, weights: str = "set") -> DataFrame:
     more = rooted(pairs, roots, "a", "b").filter("r_a <> r_b").select("a", "b")
     edges = edges.unionAll(keep(verified(more, texts), "links"))
     roots = keep(components(edges), "roots")
-    more = keep(within(members.select("bucket", "node"), nodes, roots), "pairs")
-    edges = edges.unionAll(keep(verified(more, texts), "links"))
+    links = keep(coarse(members.select("bucket", "node"), nodes, roots), "coarse")
+    groups = keep(components(edges.unionAll(links)), "groups")
+    edges = edges.unionAll(keep(settled(groups, texts, roots), "links"))
     roots = keep(components(edges), "roots")
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = rooted(ids, roots, "node").groupBy("r_node").agg(F.min("doc_id").alias("class_id"))
