@@ -59,3 +59,9 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
     lower = [c.lower() for c in have]
     at = [have.index(n) if n in have else lower.index(n.lower()) for n in names]
     return df.toDF(*[f"_{i}" for i in range(len(have))]).select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
+def through(df: DataFrame, task) -> DataFrame:
+    """df passed through task, which maps Arrow batches and keeps their columns: by place, so columns may have any names."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(task, plain.schema).toDF(*df.columns)

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import narrow, through
+from .encode import forget
 
 #: Bounds of the samples that the fit sees.
-POSITIVES, UNLABELLED, CALIBRATION = 6_000, 12_000, 6_000
+POSITIVES, UNLABELLED, CALIBRATION = 3_000, 6_000, 3_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 60, 512, 0.01, 7
 THRESHOLD = 0.7
 #: Classes of bytes: 0 other control, 1 line break, 2 space, 3 digit, 4 capital, 5 small letter, 6 non-ASCII, then marks in groups.
@@ -174,6 +175,7 @@ def described(docs: DataFrame) -> DataFrame:
     schema = ", ".join(f"{n} {'binary' if n == 'text' else k}" for n, k in docs.dtypes)
 
     def task(batches):
+        forget()
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -239,4 +241,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
                 x = np.array([features(t) for t in part.column(at).to_pylist()]).reshape(part.num_rows, N_FEATURES)
                 yield part.filter(pa.array(held.value.score(x) >= threshold))
 
-    return docs.mapInArrow(task, docs.schema)
+    return through(docs, task)

@@ -17,9 +17,8 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import narrow, through
 
 #: The base kinds in order, their patterns and the least lengths; for assign that of the second group.
 BASE = [
@@ -141,15 +140,17 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents with their secrets replaced; n_chars, if there, follows."""
-    at = docs.columns.index("text")
+    at, n = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def task(batches):
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 texts = [redacted(t, find(t)) for t in part.column(at).to_pylist()]
-                cols = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(part.columns)]
+                cols = part.columns
+                cols[at] = pa.array(texts, part.schema.field(at).type)
+                if n >= 0:
+                    cols[n] = pa.array([None if t is None else len(t) for t in texts], part.schema.field(n).type)
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
-    out = docs.mapInArrow(task, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return through(docs, task)
