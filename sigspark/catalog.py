@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .fixtures import sql, view
 from .functions import sequence as seq
 from .functions import stats
-from .operators import alignment, haplotype, islands, methylation, rangejoin, reads, signal
+from .operators import alignment, events, haplotype, islands, methylation, rangejoin, reads, signal
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -591,3 +591,74 @@ def event_sessions(v, spark, sf_dir):
 def event_tumbling(v, spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+# ---- maps between events, samples and positions ----
+
+
+@query("select read_id, ref_pos, min(event_idx) as ev_start, max(event_idx) as ev_stop from v_events group by all", "v_events")
+def base_event_map(v, spark, sf_dir):
+    return events.base_event_map(v("v_events"))
+
+
+@query("select read_id, event_idx, case when lag(kmer_rank) over (partition by read_id order by event_idx) = kmer_rank then 'E' else 'M' end as state from v_events", "v_events")
+def event_states(v, spark, sf_dir):
+    return events.event_states(v("v_events")).select("read_id", "event_idx", "state")
+
+
+@query("select read_id, ref_pos, cast(coalesce(sum(dur_us), 0) as bigint) as duration from v_events group by all", "v_events")
+def aligned_durations(v, spark, sf_dir):
+    return events.durations(v("v_events"), ["read_id", "ref_pos"])
+
+
+@query("select read_id, event_idx, cast(floor(start_us / 1e6 * 4000.0) as bigint) as first_sample, cast(floor((start_us / 1e6 + dur_us / 1e6) * 4000.0) as bigint) as end_sample from v_events", "v_events")
+def event_samples(v, spark, sf_dir):
+    a, b = events.sample_range(F.col("start_us") / F.lit(1e6), F.col("dur_us") / F.lit(1e6), 4000.0)
+    return v("v_events").select("read_id", "event_idx", a.alias("first_sample"), b.alias("end_sample"))
+
+
+@query("select kmer_rank, cast(count(*) filter (m = 1) as bigint) as num_matches, cast(count(*) filter (m = 0) as bigint) as num_stays, cast(count(*) filter (m > 1) as bigint) as num_skips from (select kmer_rank, coalesce(ref_pos - lag(ref_pos) over (partition by read_id order by event_idx), 1) as m from v_events) group by 1", "v_events")
+def kmer_moves(v, spark, sf_dir):
+    return events.kmer_moves(v("v_events"))
+
+
+@query("""--with l as (select read_id, cast(ceil(ref_pos / 10.0) * 10 as bigint) as slot, arg_max(event_idx, ref_pos * 100000 + event_idx) as value from v_events group by all),
+n as (select read_id, cast(min(ceil(ref_pos / 10.0) * 10) as bigint) as a, cast(max(floor(ref_pos / 10.0) * 10) as bigint) as b from v_events group by 1), e as (select read_id, unnest(range(a, b + 1, 10)) as slot from n where a <= b)
+select e.read_id, e.slot, last_value(value ignore nulls) over (partition by e.read_id order by e.slot) as value from e left join l on l.read_id = e.read_id and l.slot = e.slot""", "v_events")
+def anchor_positions(v, spark, sf_dir):
+    e = v("v_events").groupBy("read_id", "ref_pos").agg(F.max("event_idx").alias("event_idx"))
+    return events.anchors(e, "read_id", "ref_pos", "event_idx", 10)
+
+
+@query("select l_orderkey, l_linenumber, l_returnflag as contig, l_partkey as start_pos, l_partkey + l_suppkey as end_pos from lineitem")
+def parsed_regions(v, spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    text = F.concat("l_returnflag", F.lit(":"), F.format_number("l_partkey", 0), F.lit("-"), (F.col("l_partkey") + F.col("l_suppkey")).cast("string"))
+    return lines.select("l_orderkey", "l_linenumber", events.region(text).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+
+
+@query("select contig, cast(count(*) filter (len(ref) = len(alt)) as bigint) as subs, cast(count(*) filter (len(ref) < len(alt)) as bigint) as ins, cast(count(*) filter (len(ref) > len(alt)) as bigint) as dels from (select contig, ref, alt || case when gt = '1/1' then 'C' else '' end as alt from v_var) group by contig", "v_var")
+def edit_counts(v, spark, sf_dir):
+    d = v("v_var").withColumn("alt", F.concat("alt", F.when(F.col("gt") == "1/1", "C").otherwise("")))
+    return haplotype.edit_counts(d)
+
+
+@query("--with " + _ON_REF + " select p.contig, pos, ref, alt from p join v_ref r on r.contig = p.contig where substr(seq, cast(pos as bigint) + 1, 1) = ref", "v_ref")
+def matching_variants(v, spark, sf_dir):
+    return haplotype.matching(_on_ref(v, spark, sf_dir), v("v_ref"))
+
+
+@query("--with r as (select read_id, chromosome, llr, row_number() over (partition by read_id order by llr desc, chromosome) as k from v_calls) select chromosome, count(*) as n from r where k = 1 group by 1", "v_calls")
+def hard_support(v, spark, sf_dir):
+    return haplotype.hard_support(v("v_calls"), ["read_id"], "chromosome", "llr")
+
+
+@query("select read_id, median(dur_us) as median from v_events where dur_us is not null group by read_id", "v_events")
+def duration_median(v, spark, sf_dir):
+    return v("v_events").filter("dur_us is not null").groupBy("read_id").agg(F.percentile("dur_us", 0.5).alias("median"))
+
+
+@query("""--with e as (select read_id, min(event_idx) filter (ref_pos >= 5) as a, min(event_idx) filter (ref_pos >= 30) as b from v_events group by 1) select read_id, coalesce(a is not null and b is not null and abs(b - a) > 10, false) as usable from e""", "v_events")
+def bounded_stretches(v, spark, sf_dir):
+    ends = v("v_events").groupBy("read_id").agg(F.min(F.when(F.col("ref_pos") >= 5, F.col("event_idx"))).alias("a"), F.min(F.when(F.col("ref_pos") >= 30, F.col("event_idx"))).alias("b"))
+    return ends.select("read_id", events.bounded(F.col("a"), F.col("b"), F.lit(5), F.lit(30)).alias("usable"))

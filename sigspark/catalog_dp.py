@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .catalog import _FREQ, _strand_counts, query
 from .functions import stats
-from .operators import hmm, signal
-from .plans import consensus, polya, training
+from .operators import hmm, islands, signal
+from .plans import calling, consensus, polya, training
 
 
 def _work(v) -> DataFrame:
@@ -66,3 +66,46 @@ def watch_stream(v, spark, sf_dir):
     from .streaming.watch import batch_equivalent
 
     return batch_equivalent(spark, sf_dir)
+
+
+def _modified_model(v) -> DataFrame:
+    """The model over ACGMT: a modified base lifts its k-mer's level by 6."""
+    k = 3
+    bases = F.explode(F.array(*map(F.lit, "ACGMT")))
+    out = v("v_model").sparkSession.range(1).select(F.lit("").alias("m"))
+    for _ in range(k):
+        out = out.select("m", bases.alias("b")).select(F.concat("m", "b").alias("m"))
+    plain = out.withColumn("kmer", F.translate("m", "M", "C")).join(v("v_model").drop("rank"), "kmer")
+    return plain.select(F.col("m").alias("kmer"), (F.col("level_mean") + 6.0 * (F.length("m") - F.length(F.replace("m", F.lit("M"))))).alias("level_mean"), (F.col("level_stdv") * 10).alias("level_stdv"))
+
+
+def _placed(v) -> DataFrame:
+    """Events with a contig: read i lies on contig i mod their number."""
+    n = v("v_ref").select(F.count("*").alias("n"))
+    return v("v_events").join(F.broadcast(n)).select("read_id", (F.col("read_id") % F.col("n")).alias("contig"), "event_idx", (F.col("mean") / 5 + 60).alias("mean"), "ref_pos")
+
+
+@query()
+def site_scores(v, spark, sf_dir):
+    return calling.score_sites(_placed(v), v("v_ref"), _modified_model(v))
+
+
+@query()
+def haplotype_scores(v, spark, sf_dir):
+    """Every contig as it is, and with its base 20 changed, against its reads."""
+    e = _placed(v).groupBy(F.col("contig").alias("group_id"), "read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_idx", "mean"))), lambda x: x["mean"]).alias("means"))
+    hap = v("v_ref").select(F.col("contig").alias("group_id"), F.explode(F.array(F.struct(F.lit(0).alias("h"), F.col("seq").alias("s")), F.struct(F.lit(1).alias("h"), F.concat(F.substring("seq", 1, 20), F.translate(F.substring("seq", 21, 1), "ACGT", "CGTA"), F.expr("substring(seq, 22)")).alias("s")))).alias("x"))
+    hap = hap.select("group_id", F.col("x.h").cast("long").alias("haplotype_id"), F.col("x.s").alias("seq"))
+    return calling.score_haplotypes(e, hap, _modified_model(v), 3)
+
+
+@query()
+def homopolymer_lengths(v, spark, sf_dir):
+    runs = islands.homopolymers(v("v_ref")).withColumn("duration", F.col("length") * 1.3 + F.col("start_pos") % 7)
+    return calling.homopolymer_lengths(runs, F.lit(2.0))
+
+
+@query()
+def trained_model(v, spark, sf_dir):
+    e = signal.with_model(v("v_events"), v("v_model")).select("kmer", F.col("mean").alias("x"), (1 + (F.col("event_idx") % 5) / 10).alias("read_var"))
+    return training.rounds(e, v("v_model"), n=2, least=10)

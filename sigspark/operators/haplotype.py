@@ -113,3 +113,23 @@ def phase(scores: DataFrame, most: float = 30.0) -> DataFrame:
     wrong = 1 / (1 + F.exp(F.abs(F.col("s1") - F.col("s0"))))
     q = F.least(F.lit(most), -10 * F.log10(wrong))
     return scores.select("read_id", "site", F.when(F.col("s1") > F.col("s0"), 1).otherwise(0).alias("allele"), q.alias("quality"))
+
+
+def edit_counts(variants: DataFrame) -> DataFrame:
+    """Substitutions, insertions and deletions of each contig."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    a, b = F.length("ref"), F.length("alt")
+    return variants.groupBy("contig").agg(n(a == b).alias("subs"), n(a < b).alias("ins"), n(a > b).alias("dels"))
+
+
+def matching(variants: DataFrame, ref: DataFrame) -> DataFrame:
+    """Variants whose reference bases are those of the contig."""
+    j = variants.join(ref, "contig")
+    return j.filter(F.substring("seq", (F.col("pos") + 1).cast("int"), F.length("ref")) == F.col("ref")).select(*KEY)
+
+
+def hard_support(scores: DataFrame, read: list[str], choice: str, score: str = "score") -> DataFrame:
+    """How many reads score each choice best; of equals the first by name."""
+    best = scores.groupBy(*read).agg(F.max(score).alias("_s"))
+    top = scores.join(best, read).filter(F.col(score) == F.col("_s")).groupBy(*read).agg(F.min(choice).alias(choice))
+    return top.groupBy(choice).agg(F.count("*").alias("n"))
