@@ -5,15 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: dict[str, str] = {}
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, and outlives executors."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where that is unset (tests), a local one is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='sigspark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    df.write.parquet(path := f"{found}/{what}-{uuid.uuid4().hex}")
+    return found
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in a folder of this session's own in the shared one, which goes when the session's JVM ends."""
+    top = shared_dir(spark)
+    key = f"{spark.sparkContext.applicationId} {top}"
+    if key not in _FOLDERS:
+        own = f"{top}/sigspark-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _FOLDERS[key] = own
+    return f"{_FOLDERS[key]}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read again: cuts lineage, and outlives executors."""
+    spark = df.sparkSession
+    df.write.parquet(path := scratch(spark, what))
     return spark.read.schema(df.schema).parquet(path)

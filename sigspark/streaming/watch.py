@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +40,10 @@ def run(stream: DataFrame, out: str, checkpoint: str) -> None:
 def batch_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calls of the tables through the stream, file by file, then aggregated: equal to the batch query."""
     from ..fixtures import view
-    from ..sources.tables import stored
+    from ..sources.tables import scratch, stored
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sigspark-shared-')}"
     calls = view(spark, sf_dir, "v_calls").select("read_id", "chromosome", "start_pos", "end_pos", F.col("num_motifs").cast("int"), "llr")
     folder = stored(calls.repartition(8), "incoming").inputFiles()[0].rsplit("/", 1)[0]
-    name = folder.rsplit("-", 1)[1]
-    run(calls_stream(spark, folder, 2), f"{base}/called-{name}", f"{base}/progress-{name}")
-    return counts(spark.read.parquet(f"{base}/called-{name}")).drop("batch")
+    called = scratch(spark, "called")
+    run(calls_stream(spark, folder, 2), called, scratch(spark, "progress"))
+    return counts(spark.read.parquet(called))
