@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch, stored  # noqa: F401  scratch is for this folder's modules
+
 #: Fixed value: a word is a run of characters outside these ASCII ranges, that is of digits, letters and anything non-ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The letters that lower-casing touches.
@@ -22,26 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; where that is unset (tests), a local one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='sigspark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def written(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: later stages don't recompute it when executors are lost."""
-    df.write.parquet(path := scratch(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, what)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,10 +31,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
-def crc(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF
-
-
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, taken by position: other columns may have any names, also such as differ in letter case alone."""
     have = df.columns

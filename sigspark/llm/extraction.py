@@ -42,7 +42,7 @@ _BAD_TAGS = {"nav": 0, "header": 1, "footer": 2, "aside": 3, "form": 6, "button"
 N_GROUPS = len(GROUPS)
 N_FEATURES = len(TAGS) + 1 + 3 * N_GROUPS + 22
 #: The trees: number, depth, step, bins of a feature, pages that teach.
-TREES, DEPTH, RATE, BINS, PAGES, SEED = 60, 4, 0.25, 32, 500, 11
+TREES, DEPTH, RATE, BINS, PAGES, SEED = 80, 5, 0.25, 32, 1000, 11
 
 
 def nodes_of(root: Node) -> list[Node]:
