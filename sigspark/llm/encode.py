@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: So many pieces are kept, and as many of those before them; then the oldest go. Bounds memory, not results.
-KEPT = 700_000
+KEPT = 600_000
 #: Pieces encoded in one call, and documents whose pieces are gathered for it.
 CALL, GATHER = 400, 64
 _ENCODERS: dict[str, Encoder] = {}
@@ -136,6 +136,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drops what this worker process keeps of encoders; tasks that need the memory for other things call it."""
+    _ENCODERS.clear()
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file; it is the same on every machine of the cluster."""
     import public_tokenizers

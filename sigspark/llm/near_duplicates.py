@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import narrow, words_of, written
+from .encode import forget
 
 WORDS, SIMILARITY = 5, 0.8
 #: Coordinates and those in a band: at similarity 0.8, one pair in 300,000 shares no band.
@@ -119,6 +120,7 @@ def signed(docs: DataFrame, weights: str = "set") -> DataFrame:
     """doc_id, node (of the text), signature (16 bits a coordinate; null for no words). weights: set (1 each) or count."""
 
     def task(batches):
+        forget()
         for b in batches:
             for i in range(0, b.num_rows, 128):
                 part = b.slice(i, 128)
