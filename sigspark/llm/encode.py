@@ -15,12 +15,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: So many pieces are kept, and as many of those before them; then the oldest go. Bounds memory, not results.
-KEPT = 600_000
+KEPT = 700_000
 #: Pieces encoded in one call, and documents whose pieces are gathered for it.
 CALL, GATHER = 400, 64
 _ENCODERS: dict[str, Encoder] = {}
 #: Letters that every version of Unicode has, with the space that may lead them: one pre-token.
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Letters and the marks after them: two pre-tokens.
+_MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_ENDED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 
 
 class Encoder:
@@ -94,21 +97,23 @@ class Encoder:
         for w in [w for w in new if w in older]:
             self.known[w] = older[w]
             new.discard(w)
-        ended = [w for w in new if w.endswith((".", ",")) and w[-2:-1].isalpha() and w[-2].isascii()]
-        new.difference_update(ended)
-        for w in ended:  # a letter and the mark after it are two pre-tokens
-            if (x := w[:-1]) not in self.known:
+        ended = []
+        for w in [w for w in new if w[-1:] in _MARKS]:
+            if m := _ENDED.fullmatch(w):
+                ended.append((w, m[1], m[2]))
+                new.discard(w)
+        for x in {x for _, *parts in ended for x in parts}:
+            if x not in self.known:
                 if x in older:
                     self.known[x] = older[x]
                 else:
                     new.add(x)
-        new.update(x for x in (".", ",") if x not in self.known)
         letters = [*filter(_LETTERS.fullmatch, new)]
         new.difference_update(letters)
         self._encode(letters, self.letters)
         self._encode([*new], self.mixed)
-        for w in ended:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+        for w, x, y in ended:
+            self.known[w] = self.known[x] + self.known[y]
 
     def encoded(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids, little-endian unsigned 32-bit integers; null is the empty text."""
