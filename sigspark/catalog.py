@@ -122,7 +122,7 @@ def ml_probability(v, spark, sf_dir):
 n as (select *, sum(far) over (partition by contig order by pos, ref, alt rows unbounded preceding) as group_id from f)
 select contig, cast(group_id as bigint) as group_id, min(pos) as start_pos, max(pos) as end_pos, count(*) as n from n group by contig, group_id having max(pos) - min(pos) <= 200""", "v_var")
 def variant_groups(v, spark, sf_dir):
-    return islands.variant_groups(v("v_var"))
+    return islands.variant_groups(v("v_var"), bin_size=256)
 
 
 @query("""--with r as (select contig, regexp_extract_all(seq, 'A+|C+|G+|T+') as runs from v_ref),
@@ -347,7 +347,7 @@ def cigar_pairs(v, spark, sf_dir):
 
 @query("--with d as (select contig, start_pos as pos, 1 as d from v_aln where end_pos > start_pos union all select contig, end_pos, -1 from v_aln where end_pos > start_pos), s as (select contig, pos, sum(d) as d from d group by all) select contig, pos, cast(sum(d) over (partition by contig order by pos) as bigint) as depth from s", "v_aln")
 def pileup_depth(v, spark, sf_dir):
-    return alignment.depth(v("v_aln"), ["contig"])
+    return alignment.depth(v("v_aln"), ["contig"], bin_size=256)
 
 
 @query("""--with n as (select count(*) as n from v_ref), p as (select s.read_id, s.read_id % n as contig, unnest(range(0, len(seq))) as i, seq from v_seq s, n),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .islands import BIN, carried
+
 
 def cigar_ops(alignments: DataFrame) -> DataFrame:
     """A row for each operation of a CIGAR string, with where it begins on reference and read, and its segment (N cuts)."""
@@ -28,12 +30,13 @@ def aligned_pairs(alignments: DataFrame) -> DataFrame:
     return ops.select(*keep, "segment", (F.col("pos") + F.col("ref")).alias("ref0"), F.col("read").alias("read0"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select(*keep, "segment", (F.col("ref0") + F.col("i")).alias("ref_pos"), (F.col("read0") + F.col("i")).alias("read_pos"))
 
 
-def depth(alignments: DataFrame, by: list[str]) -> DataFrame:
-    """How many spans, half open, cover each position where that changes: a running sum over starts and ends, summed before
-    the shuffle."""
+def depth(alignments: DataFrame, by: list[str], bin_size: int = BIN) -> DataFrame:
+    """How many spans, half open, cover each position where that changes: a running sum over starts and ends, which are summed
+    before the shuffle; along a contig it is taken bin by bin."""
     ends = alignments.filter("end_pos > start_pos").select(*by, F.explode(F.array(F.struct(F.col("start_pos").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end_pos").alias("pos"), F.lit(-1).alias("d")))).alias("x"))
-    change = ends.groupBy(*by, F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"))
-    return change.select(*by, "pos", F.sum("d").over(Window.partitionBy(*by).orderBy("pos")).cast("long").alias("depth"))
+    change = ends.groupBy(*by, F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d")).withColumn("_bin", F.floor(F.col("pos") / bin_size))
+    w = Window.partitionBy(*by, "_bin").orderBy("pos")
+    return carried(change, by, "d", "_n").select(*by, "pos", (F.col("_n") + F.sum("d").over(w)).cast("long").alias("depth"))
 
 
 def alleles(pairs: DataFrame, reads: DataFrame, ref: DataFrame, least_depth: int = 20, least_share: float = 0.2) -> DataFrame:

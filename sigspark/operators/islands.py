@@ -6,12 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def variant_groups(variants: DataFrame, distance: int = 10, most: int = 200) -> DataFrame:
+#: Positions in a bin. Running sums along a contig are taken within bins, and over the bins' totals; so no task holds a contig.
+BIN = 1 << 16
+
+
+def carried(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """df (by, _bin) with the sum of value over all earlier bins; the window sees a row for each bin."""
+    total = df.groupBy(*by, "_bin").agg(F.sum(value).alias("_t"))
+    before = F.sum("_t").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    return df.join(total.select(*by, "_bin", F.coalesce(before, F.lit(0)).alias(out)), [*by, "_bin"])
+
+
+def variant_groups(variants: DataFrame, distance: int = 10, most: int = 200, bin_size: int = BIN) -> DataFrame:
     """Variants of a contig closer than distance to the one before are one group; groups of a span over most are dropped."""
-    w = Window.partitionBy("contig").orderBy("pos", "ref", "alt")
-    far = F.coalesce((F.col("pos") - F.lag("pos").over(w) > distance).cast("int"), F.lit(1))
-    numbered = variants.withColumn("far", far).withColumn("group_id", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = numbered.groupBy("contig", "group_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("n"))
+    v = variants.withColumn("_bin", F.floor(F.col("pos") / bin_size))
+    last = v.groupBy("contig", "_bin").agg(F.max("pos").alias("_last"))
+    last = last.select("contig", "_bin", F.lag("_last").over(Window.partitionBy("contig").orderBy("_bin")).alias("_before"))
+    w = Window.partitionBy("contig", "_bin").orderBy("pos", "ref", "alt")
+    v = v.join(last, ["contig", "_bin"])
+    v = v.withColumn("far", F.coalesce((F.col("pos") - F.coalesce(F.lag("pos").over(w), "_before") > distance).cast("int"), F.lit(1)))
+    v = carried(v, ["contig"], "far", "_n").withColumn("group_id", F.col("_n") + F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = v.groupBy("contig", "group_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("n"))
     return out.filter(F.col("end_pos") - F.col("start_pos") <= most)
 
 
