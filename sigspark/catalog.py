@@ -662,3 +662,20 @@ def duration_median(v, spark, sf_dir):
 def bounded_stretches(v, spark, sf_dir):
     ends = v("v_events").groupBy("read_id").agg(F.min(F.when(F.col("ref_pos") >= 5, F.col("event_idx"))).alias("a"), F.min(F.when(F.col("ref_pos") >= 30, F.col("event_idx"))).alias("b"))
     return ends.select("read_id", events.bounded(F.col("a"), F.col("b"), F.lit(5), F.lit(30)).alias("usable"))
+
+
+@query("""--with """ + _ON_REF + """, c as (select contig, pos, case when pos % 5 = 0 then ref || 'A' else ref end as ref, case when pos % 7 = 0 then alt || 'GG' else alt end as alt from p),
+g as (select contig, list_sort(list_distinct(list({'pos': pos, 'ref': ref, 'alt': alt}))) as changes from c group by contig),
+f as (select r.contig, r.seq, coalesce(len(changes), 0) as n, list_reduce(coalesce(list_transform(changes, lambda x: {'at': 0::bigint, 'out': '', 'k': 0, 'pos': x.pos::bigint, 'ref': x.ref, 'alt': x.alt, 'seq': r.seq}), []),
+ lambda a, v: case when v.pos >= a.at and substr(v.seq, v.pos + 1, len(v.ref)) = v.ref then {'at': v.pos + len(v.ref), 'out': a.out || substr(v.seq, a.at + 1, v.pos - a.at) || v.alt, 'k': a.k + 1, 'pos': v.pos, 'ref': v.ref, 'alt': v.alt, 'seq': v.seq}
+ else {'at': a.at, 'out': a.out, 'k': a.k, 'pos': v.pos, 'ref': v.ref, 'alt': v.alt, 'seq': v.seq} end, {'at': 0::bigint, 'out': '', 'k': 0, 'pos': 0::bigint, 'ref': '', 'alt': '', 'seq': ''}) as f from v_ref r left join g on g.contig = r.contig)
+select contig, f.out || substr(seq, f.at + 1) as seq, cast(f.k as int) as n_applied, cast(n - f.k as int) as n_skipped from f""", "v_ref")
+def apply_variants(v, spark, sf_dir):
+    p = _on_ref(v, spark, sf_dir)
+    p = p.select("contig", "pos", F.when(F.col("pos") % 5 == 0, F.concat("ref", F.lit("A"))).otherwise(F.col("ref")).alias("ref"), F.when(F.col("pos") % 7 == 0, F.concat("alt", F.lit("GG"))).otherwise(F.col("alt")).alias("alt"))
+    return haplotype.apply_variants(v("v_ref"), p)
+
+
+@query("select contig, list_distinct([seq, replace(seq, 'CG', 'MG'), replace(seq, 'GATC', 'GMTC')]).len() as n_forms from v_ref", "v_ref")
+def methylated_forms(v, spark, sf_dir):
+    return v("v_ref").select("contig", F.size(haplotype.methylated_alternatives(F.col("seq"), ["cpg", "dam"])).cast("long").alias("n_forms"))

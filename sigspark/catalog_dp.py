@@ -109,3 +109,8 @@ def homopolymer_lengths(v, spark, sf_dir):
 def trained_model(v, spark, sf_dir):
     e = signal.with_model(v("v_events"), v("v_model")).select("kmer", F.col("mean").alias("x"), (1 + (F.col("event_idx") % 5) / 10).alias("read_var"))
     return training.rounds(e, v("v_model"), n=2, least=10)
+
+
+@query()
+def tail_classes(v, spark, sf_dir):
+    return polya.tail_classes(v("v_signal").select("read_id", F.transform("samples", lambda x: x / F.lit(100.0)).alias("samples")))

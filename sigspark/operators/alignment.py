@@ -55,3 +55,9 @@ def usable(alignments: DataFrame, least_mapq: int = 20, read_group: str | None =
     """Alignments of enough mapping quality, of one read group if asked for; those without a group then go."""
     out = alignments.filter(F.col("mapq") >= least_mapq)
     return out if read_group is None else out.filter(F.col("rg") == read_group)
+
+
+def called_bases(sites: DataFrame, pairs: DataFrame, reads: DataFrame, base: str = "C") -> DataFrame:
+    """Read positions of calls on the reference, where the read has the base: sites (read_id, ref_pos, ...) joined to pairs."""
+    j = sites.join(pairs.select("read_id", "ref_pos", "read_pos"), ["read_id", "ref_pos"]).join(reads.select("read_id", F.col("seq").alias("_seq")), "read_id")
+    return j.filter(F.expr("substring(_seq, cast(read_pos as int) + 1, 1)") == base).drop("_seq")

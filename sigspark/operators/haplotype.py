@@ -133,3 +133,24 @@ def hard_support(scores: DataFrame, read: list[str], choice: str, score: str = "
     best = scores.groupBy(*read).agg(F.max(score).alias("_s"))
     top = scores.join(best, read).filter(F.col(score) == F.col("_s")).groupBy(*read).agg(F.min(choice).alias(choice))
     return top.groupBy(choice).agg(F.count("*").alias("n"))
+
+
+def apply_variants(ref: DataFrame, variants: DataFrame) -> DataFrame:
+    """Each contig with its variants of any length, in order of position; one that overlaps an earlier one, or whose
+    reference bases aren't the contig's, is left out and counted."""
+    v = variants.filter(F.length("ref") > 0).groupBy("contig").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "ref", "alt")))).alias("changes"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("n"))
+
+    def step(a, v):
+        ok = (v["pos"] >= a["at"]) & (F.substring("seq", v["pos"] + 1, F.length(v["ref"])) == v["ref"])
+        return F.when(ok, F.struct((v["pos"] + F.length(v["ref"])).alias("at"), F.concat(a["out"], F.substring("seq", a["at"] + 1, v["pos"] - a["at"]), v["alt"]).alias("out"), (a["n"] + 1).alias("n"))).otherwise(a)
+
+    j = ref.join(v, "contig", "left").withColumn("f", F.aggregate(F.coalesce("changes", F.expr("cast(array() as array<struct<pos: int, ref: string, alt: string>>)")), start, step))
+    return j.select("contig", F.concat("f.out", F.substring("seq", F.col("f.at") + 1, F.length("seq"))).alias("seq"), F.col("f.n").alias("n_applied"), (F.coalesce(F.size("changes"), F.lit(0)) - F.col("f.n")).alias("n_skipped"))
+
+
+def methylated_alternatives(seq: Column, alphabets: list[str]) -> Column:
+    """The sequence and its modified forms, without repeats."""
+    from ..functions.sequence import methylate
+
+    return F.array_distinct(F.array(seq, *[methylate(seq, a) for a in alphabets]))

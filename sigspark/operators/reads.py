@@ -62,3 +62,12 @@ def quality_tag(length: Column, samples: Column, var: Column | None = None, even
     if events_per_base is not None:
         tag = tag.when(events_per_base > 5.0, "BAD_RATIO")
     return tag.otherwise("PASS")
+
+
+def renamed(sequences: DataFrame) -> DataFrame:
+    """Reads with a number before their name. Numbers are unique and ascend in reading order, with gaps between partitions."""
+    return sequences.withColumn("read_id", F.concat_ws(".", F.monotonically_increasing_id().cast("string"), F.col("read_id").cast("string")))
+
+
+def paths_of(index: DataFrame) -> DataFrame:
+    return index.select("path").distinct()

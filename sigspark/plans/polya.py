@@ -21,3 +21,12 @@ def class_tag(polyi_samples, polya_samples, least: int = 200):
     """Which of the two tails a read has, by samples."""
     i, a = polyi_samples >= least, polya_samples >= least
     return F.when(i & a, "A+I").when(a, "POLYA-ONLY").when(i, "POLYI-ONLY").otherwise("NONE")
+
+
+def tail_classes(samples: DataFrame) -> DataFrame:
+    """Regions with the two kinds of tail told apart, and the tag of what was detected."""
+    r = hmm.segment_reads(samples, mixed_tail=True)
+    n = F.col("polya") - F.col("adapter")
+    i = F.when(F.col("polyi_end") >= 0, F.col("polyi_end") + 1).otherwise(0)
+    a = F.when(F.col("polya_start") >= 0, n - F.col("polya_start")).otherwise(0)
+    return r.withColumn("detected", class_tag(i, a))

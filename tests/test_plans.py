@@ -71,3 +71,26 @@ def test_tail_report(spark):
     assert r.qc_tag == "PASS" and r.polya_length == pytest.approx(3000 / 3000 * 100 - 5, abs=1.5)
     tags = spark.createDataFrame([(300, 300), (0, 300), (300, 0), (0, 0)], "i int, a int").select(polya.class_tag(F.col("i"), F.col("a")).alias("t")).collect()
     assert [t.t for t in tags] == ["A+I", "POLYA-ONLY", "POLYI-ONLY", "NONE"]
+
+
+def test_variants_of_any_length(spark):
+    ref = spark.createDataFrame([(0, "ACGTACGT"), (1, "AAAA")], "contig long, seq string")
+    v = spark.createDataFrame([(0, 1, "CG", "C"), (0, 2, "G", "T"), (0, 4, "A", "ATT"), (0, 7, "A", "C"), (0, 4, "A", "ATT")], "contig long, pos long, ref string, alt string")
+    got = {r.contig: (r.seq, r.n_applied, r.n_skipped) for r in haplotype.apply_variants(ref, v).collect()}
+    assert got == {0: ("ACTATTCGT", 2, 2), 1: ("AAAA", 0, 0)}
+
+
+def test_tail_kinds(spark):
+    draw = np.random.default_rng(4)
+    x = np.concatenate([draw.normal(m, s, n) for m, s, n in ((70, 3, 300), (111, 4, 400), (79, 6, 800), (108.9, 2.5, 3000), (79, 6, 400))])
+    r = polya.tail_classes(spark.createDataFrame([(1, x.tolist()), (2, [])], "read_id long, samples array<double>")).collect()
+    assert len(r) == 1 and r[0].detected in ("POLYA-ONLY", "A+I")
+
+
+def test_called_bases(spark):
+    from sigspark.operators import alignment
+
+    pairs = alignment.aligned_pairs(spark.createDataFrame([(1, 10, "1S2M1D1M")], "read_id long, pos long, cigar string"))
+    sites = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (1, 13)], "read_id long, ref_pos long")
+    reads = spark.createDataFrame([(1, "GCAC")], "read_id long, seq string")
+    assert sorted((r.ref_pos, r.read_pos) for r in alignment.called_bases(sites, pairs, reads).collect()) == [(10, 1), (13, 3)]
