@@ -189,7 +189,8 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
 
     def least(e):
-        return e.groupBy("u").agg(F.min("v").alias("m"))
+        # A table of its own: the join with it then shuffles both sides, and a node with very many links can be split.
+        return written(spark, e.groupBy("u").agg(F.min("v").alias("m")), "least")
 
     e = written(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     mark = None
@@ -222,7 +223,8 @@ def blocks(members: DataFrame, by: str, roots: DataFrame) -> DataFrame:
     sizes = m.groupBy(by, "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy(by).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
     mixed = mixed.select(by, "main", F.ceil(F.col("all") / BLOCK).alias("n_all"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("n_out"))
-    m = m.join(mixed, by)
+    # Tables of their own, so that a large group is split by the join, which shuffles both sides.
+    m = written(members.sparkSession, m, "members").join(written(members.sparkSession, mixed, "mixed"), by)
     own, zero = F.xxhash64("node"), F.lit(0).cast("long")
     left = m.select(by, F.pmod(own, "n_all").alias("i"), F.explode(F.sequence(zero, F.col("n_out") - 1)).alias("j"), F.lit(True).alias("all"), "node", "root")
     right = m.filter("root <> main").select(by, F.explode(F.sequence(zero, F.col("n_all") - 1)).alias("i"), F.pmod(own, "n_out").alias("j"), F.lit(False).alias("all"), "node", "root")
