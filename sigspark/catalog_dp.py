@@ -114,3 +114,12 @@ def trained_model(v, spark, sf_dir):
 @query()
 def tail_classes(v, spark, sf_dir):
     return polya.tail_classes(v("v_signal").select("read_id", F.transform("samples", lambda x: x / F.lit(100.0)).alias("samples")))
+
+
+@query()
+def event_alignment(v, spark, sf_dir):
+    """Anchors are every tenth event on its own k-mer: the fixture names a k-mer for each event."""
+    w = _work(v)
+    n = F.size("means")
+    anchors = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i % 10 == 0) | (i == n - 1)), lambda i: F.struct(i.alias("kmer"), i.alias("event")))
+    return hmm.align_to_reference(w.withColumn("anchors", anchors), stride=25, emit=12)

@@ -61,3 +61,18 @@ def called_bases(sites: DataFrame, pairs: DataFrame, reads: DataFrame, base: str
     """Read positions of calls on the reference, where the read has the base: sites (read_id, ref_pos, ...) joined to pairs."""
     j = sites.join(pairs.select("read_id", "ref_pos", "read_pos"), ["read_id", "ref_pos"]).join(reads.select("read_id", F.col("seq").alias("_seq")), "read_id")
     return j.filter(F.expr("substring(_seq, cast(read_pos as int) + 1, 1)") == base).drop("_seq")
+
+
+def within_kmers(pairs: DataFrame, read_length: str, k: int) -> DataFrame:
+    """Pairs whose read position still begins a k-mer."""
+    return pairs.filter(F.col("read_pos") <= F.col(read_length) - k)
+
+
+def last_pair(pairs: DataFrame, by: list[str], limit: str) -> DataFrame:
+    """The last pair at or before a reference position, by group."""
+    return pairs.filter(F.col("ref_pos") <= F.col(limit)).groupBy(*by).agg(F.max("ref_pos").alias("ref_pos"), F.max_by("read_pos", "ref_pos").alias("read_pos"))
+
+
+def events_at(pairs: DataFrame, positions: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs at exactly the positions asked for."""
+    return pairs.join(positions, [*by, "ref_pos"])

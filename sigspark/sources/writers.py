@@ -85,3 +85,29 @@ def modified_sam(df: DataFrame, path: str) -> None:
     mm = F.concat(F.lit("Mm:Z:C+m,"), c("mm"), F.lit(";"))
     ml = F.concat(F.lit("Ml:B:C,"), F.array_join(F.transform("ml", lambda x: x.cast("string")), ","))
     df.select(F.concat_ws("\t", c("read_id"), c("flag").cast("string"), c("contig"), (c("pos") + 1).cast("string"), c("mapq").cast("string"), c("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), c("seq"), F.lit("*"), mm, ml).alias("value")).write.mode("overwrite").text(path)
+
+
+SUMMARY = "read_id num_events num_steps num_skips num_stays total_duration".split()
+TRAINING = "kmer num_matches num_skips num_stays num_events_for_training was_trained trained_level_mean trained_level_stdv".split()
+KINDS = "readname leader_start adapter_start polya_start transcript_start detected".split()
+
+
+def event_summary(df: DataFrame, path: str) -> None:
+    headed(lines(df, *map(F.col, SUMMARY)), ["\t".join(SUMMARY)], path, None)
+
+
+def events(df: DataFrame, path: str) -> None:
+    """Rows of the event table, by read and event."""
+    rows = df.orderBy("read_id", "event_idx")
+    c = F.col
+    text = lines(rows, c("contig"), c("position"), c("reference_kmer"), c("read_id"), c("strand") if "strand" in df.columns else F.lit("t"), c("event_idx"), number("mean", 2), *[number(n, d) if n in df.columns else F.lit(".") for n, d in (("stdv", 3), ("length", 5))], c("reference_kmer"), number("model_mean", 2), number("model_stdv", 2), number("standardized_level", 2))
+    headed(text, ["\t".join(EVENTS)], path)
+
+
+def training(df: DataFrame, path: str) -> None:
+    headed(lines(df.orderBy("kmer"), *map(F.col, TRAINING)), ["\t".join(TRAINING)], path)
+
+
+def tail_kinds(df: DataFrame, path: str) -> None:
+    c = F.col
+    headed(lines(df.orderBy("read_id"), c("read_id"), c("start"), c("leader"), c("adapter"), c("polya"), c("detected")), ["\t".join(KINDS)], path)

@@ -94,3 +94,39 @@ def test_called_bases(spark):
     sites = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (1, 13)], "read_id long, ref_pos long")
     reads = spark.createDataFrame([(1, "GCAC")], "read_id long, seq string")
     assert sorted((r.ref_pos, r.read_pos) for r in alignment.called_bases(sites, pairs, reads).collect()) == [(10, 1), (13, 3)]
+
+
+def test_chained_alignment():
+    """A read of 2000 bases in stretches follows the truth as one matrix would."""
+    draw = np.random.default_rng(5)
+    levels = draw.uniform(60, 120, 2000)
+    truth = np.repeat(np.arange(2000), draw.integers(1, 3, 2000))
+    means = levels[truth] + draw.normal(0, 1, len(truth))
+    anchors = [(int(truth[e]), int(e)) for e in range(0, len(truth), 40)] + [(1999, len(truth) - 1)]
+    got = hmm.align_chained(means, levels, np.full(2000, 1.5), anchors, 1.5)
+    assert [e for e, _, _ in got] == list(range(len(truth))) and np.mean([truth[e] == k for e, k, _ in got]) > 0.98
+    assert hmm.align_chained(means, levels, np.full(2000, 1.5), anchors[:1], 1.5) == []
+
+
+def test_event_rows_and_text(spark, tmp_path):
+    from sigspark.sources import writers
+
+    aligned = spark.createDataFrame([(1, "c", 0, 0, 2), (1, "c", 1, 1, 2)], "read_id long, contig string, event_idx long, kmer_idx long, ref_start long")
+    events = spark.createDataFrame([(1, 0, 81.0), (1, 1, 92.0)], "read_id long, event_idx long, mean double")
+    ref = spark.createDataFrame([("c", "AACGTA")], "contig string, seq string")
+    model = spark.createDataFrame([("CGT", 80.0, 2.0), ("GTA", 90.0, 1.0)], "kmer string, level_mean double, level_stdv double")
+    rows = calling.event_rows(aligned, events, ref, model, 3)
+    got = {r.event_idx: (r.position, r.reference_kmer, r.standardized_level) for r in rows.collect()}
+    assert got == {0: (2, "CGT", 0.5), 1: (3, "GTA", 2.0)}
+    writers.events(rows, str(tmp_path / "e"))
+    text = [x for p in sorted((tmp_path / "e").glob("part-*")) for x in p.read_text().splitlines()]
+    assert text[0] == "\t".join(writers.EVENTS) and text[1].split("\t")[:6] == ["c", "2", "CGT", "1", "t", "0"]
+
+
+def test_pair_lookups(spark):
+    from sigspark.operators import alignment
+
+    pairs = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (1, 13, 2)], "read_id long, ref_pos long, read_pos long").withColumn("limit", F.lit(12)).withColumn("n", F.lit(4))
+    assert alignment.last_pair(pairs, ["read_id"], "limit").first().read_pos == 1
+    assert alignment.within_kmers(pairs, "n", 3).count() == 2
+    assert alignment.events_at(pairs, spark.createDataFrame([(1, 13)], "read_id long, ref_pos long"), ["read_id"]).count() == 1
