@@ -54,7 +54,8 @@ def meth_frequency(v, spark, sf_dir):
 
 @query("--with x as (select c.read_id, chromosome, start_pos, num_motifs, llr, seq as sequence from v_calls c join v_seq s on s.read_id = c.read_id), y as (select *, list_filter(range(0, cast(len(sequence) as bigint)), lambda i: substr(sequence, i + 1, 2) = 'CG') as ats from x where num_motifs > 1), z as (select chromosome, start_pos + unnest(ats) - ats[1] as start_pos, 1 as num_motifs, llr from y), a as (select chromosome, start_pos, start_pos as end_pos, num_motifs, llr from z union all select chromosome, start_pos, start_pos as end_pos, num_motifs, llr from x where num_motifs <= 1) " + _FREQ.format("a"), "v_calls", "v_seq")
 def meth_frequency_split(v, spark, sf_dir):
-    calls = v("v_calls").join(v("v_seq").withColumnRenamed("seq", "sequence"), "read_id").withColumn("end_pos", F.col("start_pos"))
+    places = v("v_seq").select("read_id", seq.motif_positions(F.col("seq"), "CG").alias("at"))
+    calls = v("v_calls").join(places, "read_id").withColumn("end_pos", F.col("start_pos"))
     return methylation.frequency(methylation.split_groups(calls))
 
 

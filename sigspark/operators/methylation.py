@@ -20,8 +20,9 @@ def frequency(calls: DataFrame, threshold: float = 2.0) -> DataFrame:
 
 
 def split_groups(calls: DataFrame, motif: str = "CG") -> DataFrame:
-    """One call of one motif for each motif in a group's sequence, at its place relative to the first; single motifs stay."""
-    at = motif_positions(F.col("sequence"), motif)
+    """One call of one motif for each motif in a group's sequence, at its place relative to the first; single motifs stay.
+    Where many calls share a sequence, their places may come as a column at instead."""
+    at = F.col("at") if "at" in calls.columns else motif_positions(F.col("sequence"), motif)
     many = calls.filter("num_motifs > 1").withColumn("at", at).withColumn("p", F.explode("at"))
     start = F.col("start_pos") + F.col("p") - F.element_at("at", 1)
     many = many.select("read_id", "chromosome", start.alias("start_pos"), start.alias("end_pos"), F.lit(1).alias("num_motifs"), "llr")
@@ -68,8 +69,8 @@ def scoreable_groups(groups: DataFrame, min_separation: int = 10, most: int = 20
 def mm_tags(sites: DataFrame, seqs: DataFrame, base: str = "C", key: str = "read_id") -> DataFrame:
     """Modified positions as deltas: how many such bases are skipped before each call."""
     w = Window.partitionBy(key).orderBy("pos")
-    skipped = F.char_length(F.regexp_replace(F.expr("substring(seq, 1, cast(pos as int))"), f"[^{base}]", ""))
-    runs = sites.join(seqs, key).select(key, "pos", skipped.alias("n"))
+    bases = seqs.select(key, F.posexplode(motif_positions(F.col("seq"), base)).alias("n", "pos"))  # one pass over each sequence
+    runs = sites.join(bases.withColumn("pos", F.col("pos").cast("long")), [key, "pos"]).select(key, "pos", "n")
     deltas = runs.withColumn("delta", F.col("n") - F.coalesce(F.lag("n").over(w) + 1, F.lit(0)))
     return deltas.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "delta"))), lambda x: x["delta"].cast("string")), ",").alias("mm"))
 

@@ -162,12 +162,14 @@ def polyi_bits(samples: Column) -> Column:
     """1 where the log-likelihoods' quotient (polyI over polyA) exceeds 1, after moving the mean."""
     mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / F.size(samples)
 
-    def bit(x):
-        y = x - mean + CENTRE
+    def bit(x, m):
+        y = x - m + CENTRE
         y = F.when((y > 200) | (y < 40), F.lit(100.0)).otherwise(y)
         return F.when(log_normal_pdf(y, *map(F.lit, BITS["polyi"])) / log_normal_pdf(y, *map(F.lit, BITS["polya"])) > 1, 1).otherwise(0)
 
-    return F.transform(samples, bit)
+    # As a variable of an outer function the mean is taken once, not for each sample.
+    held = F.array(F.struct(samples.alias("s"), mean.alias("m")))
+    return F.get(F.transform(held, lambda h: F.transform(h["s"], lambda x: bit(x, h["m"]))), F.lit(0))
 
 
 def switch_score(bits: Column) -> Column:
