@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: So many pieces are kept, and as many of those before them; then the oldest go. Bounds memory, not results.
-KEPT = 700_000
+KEPT = 450_000
 #: Pieces encoded in one call, and documents whose pieces are gathered for it.
 CALL, GATHER = 400, 64
 _ENCODERS: dict[str, Encoder] = {}
@@ -134,9 +134,21 @@ class Encoder:
         yield from out()
 
 
+def released() -> None:
+    """Gives memory that earlier tasks of this worker process have freed back to the machine, where that can be asked for."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def encoder(path: str) -> Encoder:
     """One a worker process."""
     if path not in _ENCODERS:
+        released()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
@@ -144,6 +156,7 @@ def encoder(path: str) -> Encoder:
 def forget() -> None:
     """Drops what this worker process keeps of encoders; tasks that need the memory for other things call it."""
     _ENCODERS.clear()
+    released()
 
 
 def vocabulary(name: str) -> str:
