@@ -42,8 +42,11 @@ this null none true false string integer number float boolean object array list
 http https localhost 127.0.0.1 example.com aws_access_key_id aws_secret_access_key database connection connect default timeout retry
 """
 #: A candidate: so many characters, within so many after an announcing word; context on each side that primes the compressor.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+LEAST, MOST = 16, 512
 AFTER, AROUND = 96, 1024
+#: A run is tried whole, then its parts between signs; signs that end a part are padding.
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+_PART = re.compile(r"[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?")
 #: The least marginal bytes a character, and the least entropy of the characters in bits.
 NOVELTY, ENTROPY = 0.8, 3.0
 SPANS = "array<struct<kind: string, start: int, end: int, value_start: int, value_end: int, novelty: double>>"
@@ -88,18 +91,39 @@ def novel_spans(text: str, low: str, taken: list[tuple]) -> list[tuple]:
         return []
     if len(low) != len(text):  # a few letters have more than one in lower case
         low = text.translate(_LOWER)
-    out, done = [], 0
+    out, done, stop = [], 0, 0
+
+    def novel(a: int, b: int) -> bool:
+        s = text[a:b]
+        if not LEAST <= b - a <= MOST or not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or entropy(s) < ENTROPY or any(x < b and a < y for _, x, y, *_ in taken):
+            return False
+        if (x := marginal(s, text[max(0, a - AROUND) : a], text[b : b + AROUND])) >= NOVELTY:
+            out.append(("novel", a, b, a, b, x))
+            return True
+        return False
+
     for m in _ANNOUNCE.finditer(low):
-        at = max(m.end(), done)
-        for c in CANDIDATE.finditer(text, at, min(len(text), m.end() + AFTER + 512)):
-            if c.start() > m.end() + AFTER:
-                break
-            done = c.end()
-            s = c[0]
-            if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or entropy(s) < ENTROPY or any(a < c.end() and c.start() < b for _, a, b, *_ in taken):
+        at, reach = max(m.end(), done), m.end() + AFTER + 1
+        while r := _RUN.search(text, at, reach):
+            a = r.start()
+            stop = stop if a < stop else _RUN.match(text, a).end()
+            if _RUN.match(text[a - 1]):  # the word is part of the run: its value is behind the sign
+                a = text.find("=", a, min(stop, reach)) + 1
+                while 0 < a < stop and text[a] == "=":
+                    a += 1
+                if not 0 < a < min(stop, reach):
+                    at = stop
+                    continue
+            if novel(a, stop):
+                at = done = stop
                 continue
-            if (x := marginal(s, text[max(0, c.start() - AROUND) : c.start()], text[c.end() : c.end() + AROUND])) >= NOVELTY:
-                out.append(("novel", c.start(), c.end(), c.start(), c.end(), x))
+            for p in _PART.finditer(text, a, stop):
+                if p.start() >= reach:
+                    break
+                done = p.end()
+                if p.span() != (a, stop):
+                    novel(*p.span())
+            at = stop
     return out
 
 

@@ -116,6 +116,22 @@ def test_novel_strings():
     assert secrets.find("credential aws_access_key_id1 aws_secret_access_key") == []
 
 
+@pytest.mark.parametrize("word", secrets.CONTEXT)
+def test_value_right_behind_its_sign(word):
+    value = "Zq8rT2xLw9vKs4Nd7Yb1Hc6"
+    for text in (f"{word}={value}", f"export MY_{word.upper()}={value}\nB=1", f"x?{word}={value}&y=2", f"{word}_x={value}==", f"{word}=={value} ok"):
+        spans = secrets.find(text)
+        assert spans and value not in secrets.redacted(text, spans), text
+
+
+def test_values_around_signs():
+    value = "Zq8rT2xLw9vKs4Nd7Yb1Hc6"
+    assert [text[a:b] for text in ["aws_secret_access_key=" + value] for _, a, b, *_ in secrets.novel_spans(text, text.lower(), [])] == [value]
+    for text in ("credential Zq8rT2xLw9v=Ks4Nd7Yb1Hc6", f"credential {value}=abc", f"signature={value}=abc", f"access_key={value}="):
+        assert value not in secrets.redacted(text, secrets.find(text)) and secrets.find(text), text
+    assert secrets.find("access_key=refresh_token&client_id=session_id") == []
+
+
 def test_redaction_leaves_no_secret(spark):
     rows = list(enumerate(TEXTS + ["bearer Zq8rT2xLw9vKs4Nd7Yb1Hc6", "password = aaaaaaaaaaaaaaa0123456789abcdef, more"]))
     out = {r.doc_id: r for r in secrets.clean(docs(spark, rows)).collect()}
