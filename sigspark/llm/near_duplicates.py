@@ -310,7 +310,8 @@ def settled(candidates: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFr
 
 
 def classes(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """Every row's doc_id, node and class_id."""
+    """Every row's doc_id, node, class_id and root. Only root, a node, tells classes apart: class_id is null for all classes without
+    ids, and a repeated doc_id can be the least of several."""
     spark = docs.sparkSession
     keep = lambda df, what: written(spark, df, what)
     rows = keep(signed(docs, weights), "signatures")
@@ -336,19 +337,20 @@ def classes(docs: DataFrame, weights: str = "set") -> DataFrame:
     roots = keep(components(edges), "roots")
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = rooted(ids, roots, "node").groupBy("r_node").agg(F.min("doc_id").alias("class_id"))
-    named = rooted(ids.select("node"), roots, "node").join(named, "r_node").select("node", "class_id")
-    whole = rows.filter("node is not null").join(named, "node").select("doc_id", "node", "class_id")
-    return whole.unionAll(rows.filter("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id")))
+    named = rooted(ids.select("node"), roots, "node").join(named, "r_node").select("node", "class_id", F.col("r_node").alias("root"))
+    whole = rows.filter("node is not null").join(named, "node").select("doc_id", "node", "class_id", "root")
+    return whole.unionAll(rows.filter("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.col("node").alias("root")))
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least doc_id; documents without text all stay."""
     spark = docs.sparkSession
     names = docs.columns
-    found = written(spark, classes(docs), "classes").filter("node is not null and (doc_id = class_id or class_id is null)").select(F.col("node").alias("_node"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("_id"), "class_id").distinct()
+    found = written(spark, classes(docs), "classes").filter("node is not null and (doc_id = class_id or class_id is null)")
+    found = found.groupBy("root").agg(F.min("node").alias("_node"), F.coalesce(F.min("doc_id"), F.lit(-1 << 63)).alias("_id")).drop("root")
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text, key = (F.col(f"c{names.index(n)}") for n in ("text", "doc_id"))
     one = rows.withColumn("_node", F.unhex(F.md5(text))).withColumn("_id", F.coalesce(key, F.lit(-1 << 63)))
     null = one.filter("_node is null").drop("_node", "_id")
-    first = one.filter("_node is not null").join(found, ["_node", "_id"]).dropDuplicates(["_id", "class_id"])
+    first = one.filter("_node is not null").join(found, ["_node", "_id"]).dropDuplicates(["_node"])
     return first.select(*null.columns).unionAll(null).toDF(*names)

@@ -99,6 +99,12 @@ def test_kept(spark):
     assert nd.kept(docs(spark, [])).count() == 0 and nd.classes(docs(spark, [])).count() == 0
 
 
+def test_kept_tells_classes_apart_without_ids(spark):
+    rows = [(None, "lone words only here now then"), (None, "quite another text about some river"), (None, "Quite another text, about some river!"), (None, "third thing of its own kind altogether"), (5, "one two three four five six"), (5, "seven eight nine ten eleven twelve"), (5, "seven eight nine ten eleven twelve"), (9, "One two three four five six.")]
+    got = sorted((r.doc_id or 0, " ".join(w.decode() for w in nd.words_of(r.text))) for r in nd.kept(docs(spark, rows)).collect())
+    assert got == [(0, "lone words only here now then"), (0, "quite another text about some river"), (0, "third thing of its own kind altogether"), (5, "one two three four five six"), (5, "seven eight nine ten eleven twelve")]
+
+
 def test_components(spark):
     draw = random.Random(7)
     ends = [(draw.randrange(400), draw.randrange(400)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1040)]
