@@ -4,7 +4,8 @@ Templates are short phrases and notices. Every pair of neighbouring words of eve
 collisions, the words themselves) to the places of such pairs in the templates. A match votes for its diagonal: its place in
 the text less its place in the template. The votes of a diagonal are a mask of template places, so partial sums are of fixed
 size. A phrase stands where its diagonal has all votes. For notices, neighbouring diagonals, as inserted or lost words make
-them, are merged; their span is accepted if it covers enough of the notice and isn't much longer.
+them, are merged; their span is accepted if it covers enough of the notice and isn't much longer. What isn't accepted so, as a
+notice repeated at once, is taken apart where the template's places go back in the text, then into single diagonals.
 
 A null text is the empty text and has no words. Texts may be of any length; repeated rows give repeated results. An empty
 table gives an empty result. Other columns are ignored.
@@ -74,15 +75,24 @@ def scan(docs: DataFrame) -> DataFrame:
     templates = spark.createDataFrame(template_rows(), "template int, base boolean, label string, pairs int, place int, t1 string, t2 string")
     templates = F.broadcast(templates.withColumn("gram", F.xxhash64("t1", "t2")))
     votes = pairs.join(templates, "gram").filter("w1 = t1 and w2 = t2")
-    votes = votes.groupBy("doc_id", "h", "template", "base", "label", "pairs", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    votes = votes.groupBy("doc_id", "h", "template", "base", "label", "pairs", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("place").alias("low"))
     count = F.bit_count("mask")
     votes = votes.filter(F.when(F.col("base"), count == F.col("pairs")).otherwise(count >= F.least(F.lit(VOTES), F.col("pairs"))))
     order = Window.partitionBy("doc_id", "h", "template").orderBy("diagonal")
     new = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR), 1).otherwise(0)
-    island = F.sum("new").over(order)
-    spans = votes.withColumn("new", new).withColumn("island", island).groupBy("doc_id", "h", "template", "base", "label", "pairs", "island").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("start"), (F.max("last") + 2 - F.min("first")).alias("length"))
-    cover = F.bit_count("mask") / F.col("pairs")
-    spans = spans.withColumn("cover", cover).filter((F.col("cover") >= COVER) & (F.col("length") <= F.lit(STRETCH) * (F.col("pairs") + 1)))
+    votes = votes.withColumn("new", new).withColumn("island", F.sum("new").over(order))
+    cover, length = lambda mask: F.bit_count(mask) / F.col("pairs"), lambda first, last: last + 2 - first
+    fits = lambda mask, first, last: (cover(mask) >= COVER) & (length(first, last) <= F.lit(STRETCH) * (F.col("pairs") + 1))
+    by = ["doc_id", "h", "template", "island"]
+    for part in ("part", "single"):
+        whole = Window.partitionBy(*by)
+        inside = whole.orderBy("first", "diagonal")
+        back = F.when(F.col("low") <= F.lag("low").over(inside), 1).otherwise(0) if part == "part" else F.lit(1)
+        votes = votes.withColumn("back", back).withColumn("fits", fits(F.bit_or("mask").over(whole), F.min("first").over(whole), F.max("last").over(whole)))
+        votes = votes.withColumn(part, F.when(F.col("fits"), 0).otherwise(F.sum("back").over(inside)))
+        by = [*by, part]
+    spans = votes.groupBy(*by, "base", "label", "pairs").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("start"), F.max("last").alias("last"))
+    spans = spans.filter(fits(F.col("mask"), F.col("start"), F.col("last"))).withColumn("cover", cover("mask")).withColumn("length", length(F.col("start"), F.col("last")))
     places = spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "base", "label", "length", "cover"))).alias("places"))
     every = df.select(F.col("doc_id").alias("id"), F.col("h").alias("key"), F.size("words").cast("long").alias("n_words"))
     joined = every.join(places, every.id.eqNullSafe(places.doc_id) & (every.key == places.h), "left")

@@ -173,6 +173,22 @@ def test_license_places(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_notices_in_a_row(spark):
+    """However often and closely a notice is repeated, whole or with a word put in, each is found."""
+    two = "Copyright 2019 A. All rights reserved. Copyright 2020 B. All rights reserved."
+    rows = [(0, two), (1, "All rights reserved " * 500), (2, "licensed under the GNU kind General Public License, version 3 " * 3)]
+    rows += [(100 * (n + 1) + k, f"{t} " * k) for n, (_, t) in enumerate(licenses.NOTICES) for k in (1, 2, 3)]
+    got = {r.doc_id: [p for p in r.places if not p.base] for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [(p.label, p.start, p.length, p.cover) for p in got[0]] == [("rights-reserved", 3, 3, 1.0), ("rights-reserved", 9, 3, 1.0)]
+    assert [p.start for p in got[1]] == list(range(0, 1500, 3))
+    assert [(p.label, p.start, p.length, p.cover) for p in got[2]] == [("gpl", 10 * i, 10, 7 / 8) for i in range(3)]
+    for n, (label, text) in enumerate(licenses.NOTICES):
+        size = len(licenses.template_words(text))
+        for k in (1, 2, 3):
+            whole = [p.start for p in got[100 * (n + 1) + k] if (p.label, p.length, p.cover) == (label, size, 1.0)]
+            assert whole == [size * i for i in range(k)], (text, k)
+
+
 # ---- top-k ----
 
 
