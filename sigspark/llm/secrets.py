@@ -2,7 +2,7 @@
 
 Beside the base kinds, candidates are token-like strings shortly after words that announce a secret. For each, a zstandard
 compressor is primed with a dictionary of identifiers that code uses and with the text around the candidate; the bytes
-that the candidate adds to its output are its marginal size. A string that compresses badly so, of mixed characters, is
+that the candidate adds to its output are its marginal size. Its copies behind announcing words aren't part of that text. A string that compresses badly so, of mixed characters, is
 reported as kind novel, unless a base span overlaps it.
 
 A null text is the empty text: it holds nothing. Repeated rows give repeated results, an empty table none. Offsets are
@@ -11,6 +11,7 @@ code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -42,13 +43,14 @@ this null none true false string integer number float boolean object array list
 http https localhost 127.0.0.1 example.com aws_access_key_id aws_secret_access_key database connection connect default timeout retry
 """
 #: A candidate: so many characters, within so many after an announcing word; context on each side that primes the compressor.
-LEAST, MOST = 16, 512
+LEAST = 16
 AFTER, AROUND = 96, 1024
 #: A run is tried whole, then its parts between signs; signs that end a part are padding.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _PART = re.compile(r"[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?")
-#: The least marginal bytes a character, and the least entropy of the characters in bits.
-NOVELTY, ENTROPY = 0.8, 3.0
+#: The least marginal bytes a character, and the least entropy of the characters in bits. From CODED characters on, the compressor
+#: codes literals, and random characters cost little more than the logarithm of their number.
+NOVELTY, ENTROPY, CODED = 0.8, 3.0, 64
 SPANS = "array<struct<kind: string, start: int, end: int, value_start: int, value_end: int, novelty: double>>"
 _ANNOUNCE = re.compile("|".join(map(re.escape, CONTEXT)))
 _LOWER = {a: a + 32 for a in range(65, 91)}
@@ -86,44 +88,78 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
+def enough(s: str) -> float:
+    """The marginal bytes a character from which on a string is novel."""
+    return NOVELTY if len(s) < CODED else min(NOVELTY, math.log2(len(set(s))) / 8)
+
+
+def without(text: str, start: int, end: int, s: str, spans: list[tuple]) -> str:
+    """The text from start to end less the copies of s that lie in spans, which are in order and don't overlap."""
+    out, at = [], start
+    while (i := text.find(s, at, end)) >= 0:
+        k = bisect.bisect_right(spans, (i, len(text))) - 1
+        inside = k >= 0 and spans[k][0] <= i and i + len(s) <= spans[k][1]
+        stop = i if inside else i + len(s)
+        out.append(text[at:stop])
+        at = i + len(s)
+    return "".join([*out, text[at:end]])
+
+
 def novel_spans(text: str, low: str, taken: list[tuple]) -> list[tuple]:
     if not any(k in low for k in CONTEXT):
         return []
     if len(low) != len(text):  # a few letters have more than one in lower case
         low = text.translate(_LOWER)
-    out, done, stop = [], 0, 0
-
-    def novel(a: int, b: int) -> bool:
-        s = text[a:b]
-        if not LEAST <= b - a <= MOST or not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or entropy(s) < ENTROPY or any(x < b and a < y for _, x, y, *_ in taken):
-            return False
-        if (x := marginal(s, text[max(0, a - AROUND) : a], text[b : b + AROUND])) >= NOVELTY:
-            out.append(("novel", a, b, a, b, x))
-            return True
-        return False
-
+    runs, done, stop = [], 0, 0  # start, end and parts of what follows announcing words
     for m in _ANNOUNCE.finditer(low):
         at, reach = max(m.end(), done), m.end() + AFTER + 1
         while r := _RUN.search(text, at, reach):
             a = r.start()
             stop = stop if a < stop else _RUN.match(text, a).end()
+            at = stop
             if _RUN.match(text[a - 1]):  # the word is part of the run: its value is behind the sign
                 a = text.find("=", a, min(stop, reach)) + 1
                 while 0 < a < stop and text[a] == "=":
                     a += 1
                 if not 0 < a < min(stop, reach):
-                    at = stop
                     continue
-            if novel(a, stop):
-                at = done = stop
-                continue
+            parts = []
             for p in _PART.finditer(text, a, stop):
                 if p.start() >= reach:
                     break
+                parts.append(p.span())
                 done = p.end()
-                if p.span() != (a, stop):
-                    novel(*p.span())
-            at = stop
+            runs.append((a, stop, parts))
+    spans = []  # all that may be a secret: a copy there doesn't make another known
+    for a, b in sorted([(a, b) for a, b, _ in runs] + [(t[3], t[4]) for t in taken]):
+        if spans and a < spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+
+    out = []
+
+    def novel(a: int, b: int) -> bool:
+        s = text[a:b]
+        if b - a < LEAST or not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or entropy(s) < ENTROPY or any(x < b and a < y for _, x, y, *_ in taken):
+            return False
+        x = marginal(s, without(text, max(0, a - AROUND), a, s, spans), without(text, b, min(len(text), b + AROUND), s, spans))
+        if x >= enough(s):
+            out.append(("novel", a, b, a, b, x))
+            return True
+        return False
+
+    told = tried = 0
+    for a, b, parts in runs:
+        if a < told:
+            continue
+        first, tried = b > tried, b
+        if first and novel(a, b):  # whole only once a run
+            told = b
+            continue
+        for p in parts:
+            if not first or p != (a, b):
+                novel(*p)
     return out
 
 

@@ -132,6 +132,26 @@ def test_values_around_signs():
     assert secrets.find("access_key=refresh_token&client_id=session_id") == []
 
 
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+@pytest.mark.parametrize("size", [16, 40, 64, 80, 128, 300, 512, 513, 3000, 20000])
+def test_random_strings_of_any_length_and_alphabet(letters, size):
+    draw = random.Random(size)
+    for _ in range(5 if size < 3000 else 1):
+        value = letters[-1] + letters[0] + "".join(draw.choice(letters) for _ in range(size - 2))
+        for text in (f"credential {value} ok", f"access_key={value}"):
+            plain = not secrets.base_spans(text, text.lower())  # a base kind inside goes first
+            if plain and secrets.entropy(value) >= secrets.ENTROPY and re.search("[0-9]", value) and re.search("[A-Za-z]", value):
+                spans = secrets.find(text)
+                assert spans and secrets.redacted(text, spans) == text.replace(value, "[REDACTED]"), text
+
+
+def test_announced_copies_are_all_found():
+    value = "Zq8rT2xLw9vKs4Nd7Yb1Hc6jPm3GtRf5UaEo0Xi"
+    for text in (f"credential {value} and then signature: {value}", f"access_key={value}\nclient_id={value}\n", f"password={value} credential {value}"):
+        assert value not in secrets.redacted(text, secrets.find(text)), text
+    assert secrets.find("long " * 5000 + "credential " + "known-words/" * 400 + "x1") == []
+
+
 def test_redaction_leaves_no_secret(spark):
     rows = list(enumerate(TEXTS + ["bearer Zq8rT2xLw9vKs4Nd7Yb1Hc6", "password = aaaaaaaaaaaaaaa0123456789abcdef, more"]))
     out = {r.doc_id: r for r in secrets.clean(docs(spark, rows)).collect()}
