@@ -28,10 +28,23 @@ ENDS = {
 _BARRIER = frozenset("table td th caption button object template html body".split())
 _TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?])[^>]*>|/[^a-zA-Z][^>]*>)")
 _NAMED = re.compile(r"(?:^|[\s/\"'])(class|id|role|itemprop|aria-label|data-role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDE = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDE = re.compile(r"hidden|display", re.IGNORECASE)
+_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+def hides(attrs: str) -> bool:
+    """Whether an element with these attributes isn't shown: by their names and values, not by words inside other values."""
+    if not _HIDE.search(attrs):
+        return False
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "style" and _NONE.search(value) or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+    return False
+
+
 class Node:
     """A block element, or with tag #text a run of inline text (text, of which link characters stand in links)."""
 
@@ -178,7 +191,7 @@ def parse(source: str | None) -> Node:
         while stack and stack[-1][1] is None and tag not in HIDDEN:
             pop()
         node = Node(tag, attrs, at)
-        node.hidden = bool(attrs) and bool(_HIDE.search(attrs))
+        node.hidden = bool(attrs) and hides(attrs)
         stack.append((tag, node))
         hidden += (tag in HIDDEN) + node.hidden
         at = node

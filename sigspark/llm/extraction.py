@@ -13,6 +13,7 @@ string. Pages are whole, their order and repeats stay; other columns are ignored
 from __future__ import annotations
 
 import random
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -91,10 +92,11 @@ def describe(nodes: list[Node]) -> np.ndarray:
     sizes = [1] * k
     for i in range(k - 1, 0, -1):
         sizes[parent[i]] += sizes[i]
-    rank = [0] * k
+    rank, alike = [0] * k, [0] * k
     for n in nodes:
+        tags = Counter(c.tag for c in n.children)
         for j, c in enumerate(n.children):
-            rank[index[id(c)]] = j
+            rank[index[id(c)]], alike[index[id(c)]] = j, tags[c.tag]
     total = max(1, chars[0])
     before, seen = [0] * k, 0
     for i, n in enumerate(nodes):
@@ -108,10 +110,9 @@ def describe(nodes: list[Node]) -> np.ndarray:
         q = max(parent[p], 0)
         c = chars[i]
         brothers = len(nodes[p].children)
-        same = sum(b.tag == n.tag for b in nodes[p].children) if brothers < 64 else brothers
         x[i, base + 3 * N_GROUPS :] = (
             depth[i], np.log1p(c), c / total, links[i] / max(1, c), bold[i] / max(1, c), leaves[i], marks[i] / max(1, c) * 20, np.log1p(marks[i]),
-            paras[i], items[i], c / max(1, sizes[i]), np.log1p(sizes[i]), rank[i], rank[i] / max(1, brothers - 1), brothers, same / max(1, brothers),
+            paras[i], items[i], c / max(1, sizes[i]), np.log1p(sizes[i]), rank[i], rank[i] / max(1, brothers - 1), brothers, alike[i] / max(1, brothers),
             c / max(1, chars[p]), chars[p] / total, links[p] / max(1, chars[p]), paras[p], before[i] / total, links[q] / max(1, chars[q]),
         )
     x[:, base : base + N_GROUPS], x[:, base + N_GROUPS : base + 2 * N_GROUPS], x[:, base + 2 * N_GROUPS : base + 3 * N_GROUPS] = own, above, near

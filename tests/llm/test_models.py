@@ -109,6 +109,20 @@ def test_parse_survives_anything():
         leaves(parse("".join(draw.choice(parts) for _ in range(draw.randint(0, 40)))))
 
 
+def test_hidden_is_an_attribute_not_a_word():
+    for attrs in ('class="post hidden lg:block"', 'title="a hidden gem"', "data-x='display: none'", "title=\"aria-hidden='true'\"", "data-hidden"):
+        assert [n.text for n in extraction.nodes_of(parse(f"<div {attrs}>a</div>")) if n.tag == "#text"] == ["a"], attrs
+    for attrs in ("hidden", "class=x hidden", "HIDDEN=''", 'style="color:red; display : none"', "aria-hidden=true", "aria-hidden = 'true'", "id='b' hidden/"):
+        assert not [n for n in extraction.nodes_of(parse(f"<div {attrs}>a</div>")) if n.tag == "#text"], attrs
+
+
+def test_same_siblings_are_counted_at_any_number():
+    for n in (10, 200):
+        nodes = extraction.nodes_of(parse("<section>" + "<p>x</p>" * n + "<div>y</div></section>"))
+        of = {x.tag: row for x, row in zip(nodes, extraction.describe(nodes))}
+        assert np.isclose(of["div"][-7], 1 / (n + 1)) and np.isclose(of["p"][-7], n / (n + 1))
+
+
 def test_extraction_on_pages_it_has_not_seen():
     trees, draw, right = extraction.model(), random.Random(14), 0
     for _ in range(200):
