@@ -303,6 +303,12 @@ def kmer_rank(v, spark, sf_dir):
     return v("v_seq").filter(F.length("seq") >= 8).select("read_id", kmer.alias("kmer"), seq.kmer_rank(kmer).alias("rank"))
 
 
+@query("--with k as (select read_id, unnest(list_transform(range(1, cast(len(seq) as bigint) - 6), lambda i: substr(seq, i, 8))) as kmer from v_seq where len(seq) >= 8) select read_id, kmer, list_reduce(list_transform(string_split(kmer, ''), lambda b: cast(instr('ACGT', b) - 1 as bigint)), lambda a, b: a * 4 + b) as rank from k", "v_seq")
+def kmer_rank_all(v, spark, sf_dir):
+    kmers = v("v_seq").select("read_id", F.explode(seq.kmers(F.col("seq"), 8)).alias("kmer"))
+    return kmers.select("read_id", "kmer", seq.kmer_rank(F.col("kmer")).alias("rank"))
+
+
 @query("--with k as (select read_id, unnest(list_transform(range(1, cast(len(seq) as bigint) - 1), lambda i: substr(seq, i, 3))) as kmer from v_seq where len(seq) >= 3) select read_id, count(*) as n, sum(level_mean) as total from k join v_model using (kmer) group by read_id", "v_seq", "v_model")
 def kmer_model_join(v, spark, sf_dir):
     kmers = v("v_seq").select("read_id", F.explode(seq.kmers(F.col("seq"), 3)).alias("kmer"))
@@ -387,6 +393,15 @@ def lower_bound_lookup(v, spark, sf_dir):
     return rangejoin.lower_bound(e, windows, ["read_id"], "ref_pos", "event_idx", "start_pos", "end_pos")
 
 
+@query("""--with w as (select distinct read_id, ref_pos - 3 as s, ref_pos + 40 as e from v_events), p as (select read_id, ref_pos, min(event_idx) as v from v_events group by all)
+select w.read_id, s as start_pos, e as end_pos, arg_min(v, ref_pos) filter (ref_pos >= s) as first_value, arg_min(v, ref_pos) filter (ref_pos >= e) as last_value,
+ coalesce(count(*) filter (ref_pos >= s) > 0 and count(*) filter (ref_pos >= e) > 0 and min(ref_pos) <= s, false) as bounded from w join p on p.read_id = w.read_id group by w.read_id, w.s, w.e""", "v_events")
+def lower_bound_lookup_all(v, spark, sf_dir):
+    e = v("v_events")
+    windows = e.select("read_id", (F.col("ref_pos") - 3).alias("start_pos"), (F.col("ref_pos") + 40).alias("end_pos")).distinct()
+    return rangejoin.lower_bound(e, windows, ["read_id"], "ref_pos", "event_idx", "start_pos", "end_pos")
+
+
 @query("select * from v_aln where mapq >= 20 and rg = 'O'", "v_aln")
 def usable_alignments(v, spark, sf_dir):
     return alignment.usable(v("v_aln"), 20, "O")

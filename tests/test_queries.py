@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from sigspark import catalog
+from sigspark.fixtures import view
 
 DATA = "/root/testdata/sf0.001"
 
@@ -59,3 +60,10 @@ def test_repeats_itself(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert first
+
+
+def test_all_kmers_and_windows(spark):
+    got = {n: catalog.queries()[n](spark, DATA) for n in ("kmer_rank_all", "lower_bound_lookup_all")}
+    v = lambda name: view(spark, DATA, name)
+    assert got["kmer_rank_all"].count() == v("v_seq").selectExpr("sum(greatest(length(seq) - 7, 0))").first()[0]
+    assert got["lower_bound_lookup_all"].count() == v("v_events").select("read_id", "ref_pos").distinct().count()
