@@ -81,12 +81,14 @@ def screen(scores: DataFrame, base: int = 0, least: float = 0.0) -> DataFrame:
 
 
 def homopolymer_lengths(runs: DataFrame, rate: Column, shape: float = 2.461964, least: int = 3, most: int = 9, gain: float = 10.0) -> DataFrame:
-    """The likeliest length of each run by the time its events took, if it beats the current one by gain. runs: contig,
-    start_pos, length, duration."""
+    """The likeliest length of each run by the time its events took in all reads, if it beats the current one by gain. runs, a
+    row for each read of a run: contig, start_pos, length, duration. The reference also adds the events' likelihood by the
+    profile HMM, which isn't done here."""
     from ..functions.stats import gamma_sum_log_density
 
     tried = runs.withColumn("rate", rate).withColumn("n", F.explode(F.sequence(F.lit(least), F.lit(most))))
     tried = tried.withColumn("score", gamma_sum_log_density(F.col("duration"), F.col("n"), shape, F.col("rate")))
+    tried = tried.groupBy("contig", "start_pos", "length", "n").agg(F.sum("score").alias("score"))
     best = tried.groupBy("contig", "start_pos", "length").agg(F.max_by("n", F.struct("score", -F.col("n"))).alias("called"), F.max("score").alias("top"), F.max(F.when(F.col("n") == F.col("length"), F.col("score"))).alias("own"))
     return best.select("contig", "start_pos", "length", F.when(F.col("top") - F.col("own") >= gain, F.col("called")).otherwise(F.col("length")).cast("long").alias("called"))
 

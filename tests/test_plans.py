@@ -130,3 +130,11 @@ def test_pair_lookups(spark):
     assert alignment.last_pair(pairs, ["read_id"], "limit").first().read_pos == 1
     assert alignment.within_kmers(pairs, "n", 3).count() == 2
     assert alignment.events_at(pairs, spark.createDataFrame([(1, 13)], "read_id long, ref_pos long"), ["read_id"]).count() == 1
+
+
+def test_homopolymer_lengths_sum_over_reads(spark):
+    """No read alone gains enough; all of them do."""
+    few, many = ([("c", 5, 4, 16.0)] * n for n in (1, 30))
+    frame = lambda rows: spark.createDataFrame(rows, "contig string, start_pos long, length long, duration double")
+    called = lambda rows: [r.called for r in calling.homopolymer_lengths(frame(rows), F.lit(2.0)).collect()]
+    assert called(few) == [4] and called(many) == [9]
