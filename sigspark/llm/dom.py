@@ -1,16 +1,22 @@
-"""A small tolerant HTML reader: a tree of block elements whose leaves are runs of inline text."""
+"""A small tolerant HTML reader: a tree of block elements whose leaves are runs of inline text.
+
+Tags are read as browsers' tokenizers read them: quotes count only at the start of an attribute's value, and a tag or comment
+that never ends holds the rest of the page. A quote that is never closed is an ordinary character. Every step looks at each
+character a bounded number of times, so the time grows with the page alone, however it is malformed.
+"""
 
 from __future__ import annotations
 
 import html
 import re
 
-#: Elements without content, elements whose content isn't markup, elements that hold no visible text.
+#: Elements without content, elements whose content isn't markup, those of them whose content is shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("script style title head template noscript iframe object svg math canvas audio video noembed noframes".split())
-#: Elements that stand in a line of text; all others begin and end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source map area nobr".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext annotation annotation-xml".split())
+SHOWN = frozenset("xmp plaintext".split())
+#: Elements that stand in a line of text; all others begin and end a block. Foreign ones hold names of their own.
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark math nobr object picture q rb rp rt rtc ruby s samp slot small span strike strong sub sup svg time tt u var video".split())
+FOREIGN = frozenset("svg math".split())
 #: Start tags that end an open p; for other elements, the open ones that their start tag ends and where the search stops.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
 ENDS = {
@@ -26,23 +32,32 @@ ENDS = {
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
 }
 _BARRIER = frozenset("table td th caption button object template html body".split())
-_TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?])[^>]*>|/[^a-zA-Z][^>]*>)")
-_NAMED = re.compile(r"(?:^|[\s/\"'])(class|id|role|itemprop|aria-label|data-role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: What may stand in a head; a start tag of anything else ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+_BLOCKS = ENDS_P | ENDS.keys() | frozenset("html head body caption colgroup select optgroup button legend noscript template".split())
+_CUTS_P, _CELLS, _PARTS = frozenset(["p"]), frozenset(["td", "th", "table"]), frozenset("table tr tbody thead tfoot body html".split())
+#: An attribute: its name, then its value in double quotes, in single quotes, or bare.
+_PAIR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+"""
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+""")
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_PAIR})*+)>")
+_NAMES = frozenset("class id role itemprop aria-label data-role".split())
 _HIDE = re.compile(r"hidden|display", re.IGNORECASE)
 _NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
+
+
+def attributes(attrs: str):
+    """Names in small letters, and values."""
+    for m in _ATTR.finditer(attrs):
+        yield m[1].lower(), m[2] or m[3] or m[4] or ""
 
 
 def hides(attrs: str) -> bool:
     """Whether an element with these attributes isn't shown: by their names and values, not by words inside other values."""
     if not _HIDE.search(attrs):
         return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "style" and _NONE.search(value) or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
-    return False
+    return any(name == "hidden" or name == "style" and _NONE.search(value) or name == "aria-hidden" and value.strip().lower() == "true" for name, value in attributes(attrs))
 
 
 class Node:
@@ -59,141 +74,153 @@ class Node:
     def tokens(self) -> list[str]:
         if "=" not in self.attrs:
             return []
-        return [w.lower() for m in _NAMED.finditer(self.attrs) for w in _WORD.findall(m[2] or m[3] or m[4] or "")]
+        return [w.lower() for name, value in attributes(self.attrs) if name in _NAMES for w in _WORD.findall(value)]
 
 
-def parse(source: str | None) -> Node:
-    root = Node("#root")
-    at = root
-    stack: list[tuple[str, Node | None]] = []  # open elements; inline ones without a node
-    hidden = links = bolds = 0
-    run: list[str] = []
-    link = bold = 0
-    source = source or ""
-    n, pos = len(source), 0
+class Reader:
+    """The tree as it grows. Open blocks are a stack of frames, each with the inline elements that are open in it by number;
+    where says at which places of the stack a tag is open."""
+
+    def __init__(self):
+        self.root = self.at = Node("#root")
+        self.frames: list[tuple[str, Node, dict[str, int]]] = [("#root", self.root, {})]
+        self.where: dict[str, list[int]] = {}
+        self.hidden = self.links = self.bolds = 0
+        self.run: list[str] = []
+        self.link = self.bold = 0
 
-    def flush() -> None:
-        nonlocal link, bold
-        if run:
-            text = " ".join("".join(run).split())
+    def flush(self) -> None:
+        if self.run:
+            text = " ".join("".join(self.run).split())
             if text:
-                leaf = Node("#text", "", at)
-                leaf.text, leaf.link, leaf.bold = text, link, bold
-            run.clear()
-        link = bold = 0
-
-    def add(raw: str) -> None:
-        nonlocal link, bold
-        if hidden or not raw:
+                leaf = Node("#text", "", self.at)
+                leaf.text, leaf.link, leaf.bold = text, self.link, self.bold
+            self.run.clear()
+        self.link = self.bold = 0
+
+    def add(self, raw: str, plain: bool = False) -> None:
+        if self.hidden or not raw:
+            return
+        text = html.unescape(raw) if "&" in raw and not plain else raw
+        self.run.append(text)
+        if self.links:
+            self.link += len(text)
+        if self.bolds:
+            self.bold += len(text)
+
+    def inline(self, tag: str, n: int) -> None:
+        """Opens (1) or closes (-1) an inline element of the block at hand; one that isn't open can't be closed."""
+        own = self.frames[-1][2]
+        if n < 0 and not own.get(tag) or n > 0 and tag == "a" and own.get(tag):
             return
-        text = html.unescape(raw) if "&" in raw else raw
-        run.append(text)
-        if links:
-            link += len(text)
-        if bolds:
-            bold += len(text)
-
-    def pop() -> None:
-        nonlocal at, hidden, links, bolds
-        tag, node = stack.pop()
-        if tag in HIDDEN:
-            hidden -= 1
-        if tag == "a":
-            links -= 1
-        elif tag in ("b", "strong"):
-            bolds -= 1
-        if node is not None:
-            flush()
-            if node.hidden:
-                hidden -= 1
-            at = node.parent
-
-    def close(tags: frozenset, stop: frozenset) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i][0] in stop:
-                return
-
-    while pos < n:
-        m = _TOKEN.search(source, pos)
+        own[tag] = own.get(tag, 0) + n
+        self.links += n * (tag == "a")
+        self.bolds += n * (tag in ("b", "strong"))
+
+    def broken(self) -> None:
+        """Ends all inline elements of the block at hand."""
+        own = self.frames[-1][2]
+        self.links -= own.get("a", 0)
+        self.bolds -= own.get("b", 0) + own.get("strong", 0)
+        own.clear()
+
+    def foreign(self) -> bool:
+        own = self.frames[-1][2]
+        return bool(own) and any(own.get(t) for t in FOREIGN)
+
+    def open(self, tag: str, attrs: str) -> None:
+        self.flush()
+        self.broken()
+        node = Node(tag, attrs, self.at)
+        node.hidden = tag == "template" or bool(attrs) and hides(attrs)
+        self.where.setdefault(tag, []).append(len(self.frames))
+        self.frames.append((tag, node, {}))
+        self.hidden += node.hidden
+        self.at = node
+
+    def pop(self) -> None:
+        self.flush()
+        self.broken()
+        tag, node, _ = self.frames.pop()
+        self.where[tag].pop()
+        self.hidden -= node.hidden
+        self.at = node.parent
+
+    def last(self, tags) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def close(self, tags, stop=()) -> None:
+        """Ends the innermost open block of these tags, with all in it, unless one of stop stands between."""
+        at = self.last(tags)
+        if at and at > self.last(stop):
+            while len(self.frames) > at:
+                self.pop()
+
+    def start(self, tag: str, attrs: str) -> None:
+        if tag in ("html", "body") and self.where.get(tag):
+            self.flush()
+            return
+        if self.where.get("head") and tag not in HEAD:
+            self.close(("head",))
+        if tag in ENDS_P:
+            self.close(_CUTS_P, _BARRIER)
+        if tag in ENDS:
+            self.close(*ENDS[tag])
+        self.open(tag, attrs)
+
+    def end(self, tag: str) -> None:
+        self.flush()
+        self.close((tag,), () if tag in _PARTS else _CELLS - {tag})
+
+
+def parse(source: str | None) -> Node:
+    r = Reader()
+    source = source or ""
+    n, pos, look = len(source), 0, 0  # what precedes pos is read; look: where the next tag may begin
+    while (at := source.find("<", look)) >= 0:
+        m = _TAG.match(source, at)
         if m is None:
-            rest = source[pos:]
-            cut = rest.find("<")
-            while cut >= 0 and not (rest[cut + 1 : cut + 2].isalpha() or rest[cut + 1 : cut + 2] in ("/", "!")):
-                cut = rest.find("<", cut + 1)
-            add(rest if cut < 0 else rest[:cut])  # a tag that never ends is no text
-            break
-        add(source[pos : m.start()])
-        pos = m.end()
-        if m[1]:
-            end = source.find("-->", pos - 2)
-            pos = n if end < 0 else end + 3
-            continue
-        if not m[3]:
-            continue
-        tag = m[3].lower()
-        if m[2]:
-            if tag in INLINE:
-                if tag == "br":
-                    add(" ")
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        closed = [t for t, node in stack[i + 1 :] if node is None]
-                        if all(node is None for _, node in stack[i:]):
-                            while len(stack) > i:
-                                pop()
-                            for t in closed:
-                                stack.append((t, None))
-                                links += t == "a"
-                                bolds += t in ("b", "strong")
-                        break
-                    if stack[i][1] is not None:
-                        break
-            else:
-                flush()
-                close(frozenset([tag]), frozenset(["td", "th", "table"]) - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else frozenset())
+            kind, after = source[at + 1 : at + 2], source[at + 2 : at + 3]
+            first = after if kind == "/" else kind
+            if first.isascii() and first.isalpha():  # a tag that never ends is no text
+                r.add(source[pos:at])
+                pos = n
+                break
+            if kind not in ("!", "?", "/") or kind == "/" and not after:
+                look = at + 1
+                continue
+            r.add(source[pos:at])
+            comment = source.startswith("<!--", at)
+            end = source.find("-->" if comment else ">", at + 2)
+            pos = look = n if end < 0 else end + (3 if comment else 1)
             continue
-        attrs = m[4]
+        r.add(source[pos:at])
+        pos = look = m.end()
+        tag, attrs = m[2].lower(), m[3]
         if tag == "br":
-            add(" ")
-            continue
-        if tag in VOID:
-            if tag not in INLINE:
-                flush()
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(source, pos)
-            if tag == "textarea":
-                flush()
-            pos = n if end is None else source.find(">", end.end() - 1) + 1 or n
-            continue
-        if tag in INLINE:
-            if tag == "a" and links:
-                close(frozenset(["a"]), _BARRIER)
-            stack.append((tag, None))
-            links += tag == "a"
-            bolds += tag in ("b", "strong")
-            continue
-        flush()
-        if tag in ("html", "body"):
-            if any(t == tag for t, _ in stack):
-                continue
-            if tag == "body":
-                close(frozenset(["head"]), frozenset())
-        if tag in ENDS_P:
-            close(frozenset(["p"]), _BARRIER)
-        if tag in ENDS:
-            close(*ENDS[tag])
-        # inline elements that a block interrupts end with it
-        while stack and stack[-1][1] is None and tag not in HIDDEN:
-            pop()
-        node = Node(tag, attrs, at)
-        node.hidden = bool(attrs) and hides(attrs)
-        stack.append((tag, node))
-        hidden += (tag in HIDDEN) + node.hidden
-        at = node
-    flush()
-    return root
+            r.add(" ")
+        elif m[1]:
+            if tag in INLINE or tag not in _BLOCKS and r.foreign():
+                r.inline(tag, -1)
+            else:
+                r.end(tag)
+        elif tag in VOID:
+            if tag in ("hr", "input"):
+                r.flush()
+        elif tag in RAW:
+            end = None if tag == "plaintext" else _RAW_END[tag].search(source, pos)
+            if tag in SHOWN:
+                r.start(tag, attrs)
+                r.add(source[pos : end.start() if end else n], plain=True)
+                r.end(tag)
+            elif tag == "textarea":
+                r.flush()
+            pos = look = n if end is None else source.find(">", end.end() - 1) + 1 or n
+        elif tag in INLINE or tag not in _BLOCKS and r.foreign():
+            if tag in INLINE and tag not in FOREIGN or not attrs.endswith("/"):
+                r.inline(tag, 1)
+        else:
+            r.start(tag, attrs)
+    r.add(source[pos:])
+    r.flush()
+    return r.root

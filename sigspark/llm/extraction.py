@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -57,10 +58,15 @@ def nodes_of(root: Node) -> list[Node]:
 
 
 def describe(nodes: list[Node]) -> np.ndarray:
+    """The features of all nodes."""
+    return np.concatenate([*described(nodes)])
+
+
+def described(nodes: list[Node], size: int = 4096) -> Iterator[np.ndarray]:
+    """The same in blocks of so many nodes, so that a page of any length takes little room."""
     index = {id(n): i for i, n in enumerate(nodes)}
     k = len(nodes)
     parent = [-1 if n.parent is None else index[id(n.parent)] for n in nodes]
-    x = np.zeros((k, N_FEATURES), dtype=np.float32)
     chars, links, bold, leaves, marks, paras, items, depth = ([0] * k for _ in range(8))
     own = np.zeros((k, N_GROUPS), dtype=np.float32)
     above = np.zeros((k, N_GROUPS), dtype=np.float32)
@@ -104,19 +110,23 @@ def describe(nodes: list[Node]) -> np.ndarray:
         if n.tag == "#text":
             seen += len(n.text)
     base = len(TAGS) + 1
-    for i, n in enumerate(nodes):
-        x[i, _TAG.get(n.tag, len(TAGS))] = 1
-        p = max(parent[i], 0)
-        q = max(parent[p], 0)
-        c = chars[i]
-        brothers = len(nodes[p].children)
-        x[i, base + 3 * N_GROUPS :] = (
-            depth[i], np.log1p(c), c / total, links[i] / max(1, c), bold[i] / max(1, c), leaves[i], marks[i] / max(1, c) * 20, np.log1p(marks[i]),
-            paras[i], items[i], c / max(1, sizes[i]), np.log1p(sizes[i]), rank[i], rank[i] / max(1, brothers - 1), brothers, alike[i] / max(1, brothers),
-            c / max(1, chars[p]), chars[p] / total, links[p] / max(1, chars[p]), paras[p], before[i] / total, links[q] / max(1, chars[q]),
-        )
-    x[:, base : base + N_GROUPS], x[:, base + N_GROUPS : base + 2 * N_GROUPS], x[:, base + 2 * N_GROUPS : base + 3 * N_GROUPS] = own, above, near
-    return x
+    for low in range(0, k, size):
+        part = nodes[low : low + size]
+        x = np.zeros((len(part), N_FEATURES), dtype=np.float32)
+        for i, n in enumerate(part, low):
+            x[i - low, _TAG.get(n.tag, len(TAGS))] = 1
+            p = max(parent[i], 0)
+            q = max(parent[p], 0)
+            c = chars[i]
+            brothers = len(nodes[p].children)
+            x[i - low, base + 3 * N_GROUPS :] = (
+                depth[i], np.log1p(c), c / total, links[i] / max(1, c), bold[i] / max(1, c), leaves[i], marks[i] / max(1, c) * 20, np.log1p(marks[i]),
+                paras[i], items[i], c / max(1, sizes[i]), np.log1p(sizes[i]), rank[i], rank[i] / max(1, brothers - 1), brothers, alike[i] / max(1, brothers),
+                c / max(1, chars[p]), chars[p] / total, links[p] / max(1, chars[p]), paras[p], before[i] / total, links[q] / max(1, chars[q]),
+            )
+        for g, a in enumerate((own, above, near)):
+            x[:, base + g * N_GROUPS : base + (g + 1) * N_GROUPS] = a[low : low + size]
+        yield x
 
 
 class Trees:
@@ -173,25 +183,25 @@ class Trees:
         return f
 
 
-def decode(nodes: list[Node], odds: np.ndarray) -> list[Node]:
-    """The kept runs of text under the likeliest choice in which kept nodes have kept parents."""
+def chosen(nodes: list[Node], odds: np.ndarray) -> list[bool]:
+    """The likeliest choice of nodes, the root among them, in which kept nodes have kept parents; at equal odds the smaller."""
     index = {id(n): i for i, n in enumerate(nodes)}
-    k = len(nodes)
-    keep, drop = odds.astype(float).copy(), np.zeros(k)  # logs, less that of dropping all
-    for i in range(k - 1, 0, -1):
-        p = index[id(nodes[i].parent)]
-        keep[p] += max(keep[i], drop[i])
-    chosen = [False] * k
-    chosen[0] = True
-    out = []
-    for i, n in enumerate(nodes):
-        if i:
-            chosen[i] = chosen[index[id(n.parent)]] and keep[i] > drop[i]
-        if chosen[i] and n.tag == "#text":
-            out.append(n)
+    parent = [-1 if n.parent is None else index[id(n.parent)] for n in nodes]
+    keep = [float(x) for x in odds]  # the best of each subtree with its top kept, less that of dropping it
+    for i in range(len(nodes) - 1, 0, -1):
+        if keep[i] > 0:
+            keep[parent[i]] += keep[i]
+    out = [True] * len(nodes)
+    for i in range(1, len(nodes)):
+        out[i] = out[parent[i]] and keep[i] > 0
     return out
 
 
+def decode(nodes: list[Node], odds: np.ndarray) -> list[Node]:
+    """The kept runs of text."""
+    return [n for n, kept in zip(nodes, chosen(nodes, odds), strict=True) if kept and n.tag == "#text"]
+
+
 # ---- pages that teach ----
 
 
@@ -318,19 +328,40 @@ def model(pages: int = PAGES, seed: int = SEED) -> Trees:
     return Trees().fit(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 
+#: Nodes whose features are scored together.
+NODES = 8192
+
+
 def texts(sources: list[str | None], trees: Trees) -> list[str]:
     """The main text of each page."""
-    pages = [nodes_of(parse(s)) for s in sources]
-    if not pages:
-        return []
-    odds = trees.log_odds(np.concatenate([describe(p) for p in pages]))
-    out, at = [], 0
-    for p in pages:
-        out.append("\n\n".join(n.text for n in decode(p, odds[at : at + len(p)])))
-        at += len(p)
+    out, held, size = [], [], 0
+
+    def scored() -> None:
+        odds, at = trees.log_odds(np.concatenate([describe(p) for p in held])), 0
+        for p in held:
+            out.append(written(p, odds[at : at + len(p)]))
+            at += len(p)
+        held.clear()
+
+    for s in sources:
+        nodes = nodes_of(parse(s))
+        if size + len(nodes) > NODES and held:
+            scored()
+            size = 0
+        if len(nodes) > NODES:
+            out.append(written(nodes, np.concatenate([trees.log_odds(x) for x in described(nodes)])))
+        else:
+            held.append(nodes)
+            size += len(nodes)
+    if held:
+        scored()
     return out
 
 
+def written(nodes: list[Node], odds: np.ndarray) -> str:
+    return "\n\n".join(n.text for n in decode(nodes, odds))
+
+
 def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """page_id, url, text of every page."""
     held = pages.sparkSession.sparkContext.broadcast(trees or model())

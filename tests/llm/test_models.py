@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -134,23 +135,52 @@ def test_extraction_on_pages_it_has_not_seen():
 
 
 def test_decoding_is_the_likeliest_consistent_choice():
-    draw = random.Random(15)
-    for _ in range(200):
+    draw, sizes = random.Random(15), set()
+    for n in range(300):
         nodes = extraction.nodes_of(parse("".join(draw.choice(["<div>", "</div>", "<p>", "t", "</p>"]) for _ in range(9))))[:12]
         at = {id(n): i for i, n in enumerate(nodes)}
-        odds = np.array([draw.gauss(0, 2) for _ in nodes])
+        odds = np.array([draw.choice([-1.0, 0.0, 1.0]) if n % 2 else draw.gauss(0, 2) for _ in nodes])  # every other one with ties
         best = -1e9
         for mask in range(1 << len(nodes)):
             if mask & 1 and all(not mask >> i & 1 or mask >> at[id(n.parent)] & 1 for i, n in enumerate(nodes) if i):
                 best = max(best, sum(odds[i] for i in range(len(nodes)) if mask >> i & 1))
-        kept = extraction.decode(nodes, odds)
-        chosen = {0}
-        for n in kept:
-            while n.parent is not None:
-                chosen.add(at[id(n)])
-                n = n.parent
-        # kept inner nodes without kept text aren't visible in the result; they can only add
-        assert sum(odds[i] for i in chosen) <= best + 1e-9
+        kept = extraction.chosen(nodes, odds)
+        assert all(not k or i == 0 or kept[at[id(nodes[i].parent)]] for i, k in enumerate(kept))
+        assert np.isclose(sum(odds[i] for i, k in enumerate(kept) if k), best)
+        assert extraction.decode(nodes, odds) == [n for n, k in zip(nodes, kept) if k and n.tag == "#text"]
+        sizes.add(sum(kept))
+    assert len(sizes) > 4
+
+
+@pytest.mark.parametrize("inside", ["<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "<object>x=2</object>", "<video src=a>x=2</video>", "<svg viewBox='0 0 1 1'><path d='M0'/><text>x=2</text></svg>", "<audio>x=2</audio>", "<canvas>x=2</canvas>"])
+def test_inline_elements_keep_their_text(inside):
+    assert leaves(parse(f"<p>Let {inside} be")) == ["Let x=2 be"]
+
+
+def test_more_of_markup():
+    for page, want in (
+        ("<noscript><p>a</p></noscript>b", ["a", "b"]), ("<head><title>t</title><p>a", ["a"]), ("<template>a</template>b", ["b"]), ("<xmp><b>&amp;</xmp>c", ["<b>&amp;", "c"]), ("a<plaintext><p>b", ["a", "<p>b"]),
+        ('<p title="5" tall">a</p>b', ["a", "b"]), ("<p data-note='is hidden here'>a", ["a"]), ("a<br", ["a"]), ("<p>a</", ["a</"]), ("<p>a</>b", ["ab"]), ("<p a='b>c</p>d", ["c", "d"]), ("<p>a<meta itemprop=x>b", ["ab"]), ("<svg><g><p>a</svg>b", ["ab"]),
+    ):
+        assert leaves(parse(page)) == want, page
+    names = lambda attrs: parse(f"<div {attrs}>x</div>").children[0].tokens()
+    assert names('title="class=ad" class=post') == ["post"] and names("data-x='a' ID=\"mainContent\"") == ["main", "content"]
+
+
+@pytest.mark.parametrize("piece", ["<a b ", "<a b='", '<a b=">', '<a ">" ', "<", "</", "<!--", "<!", "<div>", "</div>", "<b>", "<a>", "<b><i>", "<p><table>", "<p><button><div>", "<li><ul>", "<a =", "&amp", "<svg><g>", "<x <y='"])
+def test_time_grows_with_the_page_alone(piece):
+    began = time.perf_counter()
+    page = "<article><p>start</p>" + piece * (1_000_000 // len(piece))
+    nodes = extraction.nodes_of(parse(page))
+    assert time.perf_counter() - began < 12 and any(n.text.startswith("start") for n in nodes)
+
+
+def test_a_page_of_many_nodes_is_scored_in_blocks(monkeypatch):
+    pages = ["<article>" + "<p>some text, with a comma</p>" * n + "</article><nav><a href=x>menu</a></nav>" for n in (3, 50, 4, 120, 1)]
+    trees = extraction.model()
+    whole = extraction.texts(pages, trees)
+    monkeypatch.setattr(extraction, "NODES", 20)
+    assert extraction.texts(pages, trees) == whole and all(whole)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title></head><body><header><h1>Site name</h1></header><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>
