@@ -2,8 +2,8 @@
 
 Beside the base kinds, candidates are token-like strings shortly after words that announce a secret. For each, a zstandard
 compressor is primed with a dictionary of identifiers that code uses and with the text around the candidate; the bytes
-that the candidate adds to its output are its marginal size. Its copies behind announcing words aren't part of that text. A string that compresses badly so, of mixed characters, is
-reported as kind novel, unless a base span overlaps it.
+that the candidate adds to its output are its marginal size. Its copies behind announcing words aren't part of that text. A string that
+compresses badly so, of mixed characters, is reported as kind novel, unless a base span overlaps it.
 
 A null text is the empty text: it holds nothing. Repeated rows give repeated results, an empty table none. Offsets are
 code points, ends exclusive.
@@ -105,6 +105,17 @@ def without(text: str, start: int, end: int, s: str, spans: list[tuple]) -> str:
     return "".join([*out, text[at:end]])
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same stretches in order, those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def novel_spans(text: str, low: str, taken: list[tuple]) -> list[tuple]:
     if not any(k in low for k in CONTEXT):
         return []
@@ -130,18 +141,12 @@ def novel_spans(text: str, low: str, taken: list[tuple]) -> list[tuple]:
                 parts.append(p.span())
                 done = p.end()
             runs.append((a, stop, parts))
-    spans = []  # all that may be a secret: a copy there doesn't make another known
-    for a, b in sorted([(a, b) for a, b, _ in runs] + [(t[3], t[4]) for t in taken]):
-        if spans and a < spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-        else:
-            spans.append((a, b))
-
-    out = []
+    spans = joined([(a, b) for a, b, _ in runs] + [(t[3], t[4]) for t in taken])  # all that may be a secret: a copy there doesn't make another known
+    base, out = joined([(t[1], t[2]) for t in taken]), []
 
     def novel(a: int, b: int) -> bool:
         s = text[a:b]
-        if b - a < LEAST or not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or entropy(s) < ENTROPY or any(x < b and a < y for _, x, y, *_ in taken):
+        if b - a < LEAST or not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)) or entropy(s) < ENTROPY or (k := bisect.bisect_left(base, (b,)) - 1) >= 0 and base[k][1] > a:
             return False
         x = marginal(s, without(text, max(0, a - AROUND), a, s, spans), without(text, b, min(len(text), b + AROUND), s, spans))
         if x >= enough(s):
