@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, narrow
+from .common import LOWER, UPPER, WORD_BYTES, narrow
 
 #: The phrases that count on their own, with their labels.
 BASE = [
@@ -68,7 +68,7 @@ def template_rows() -> list[tuple]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, places (base, label, start, length, cover) of every document; words count from 0."""
     spark = docs.sparkSession
-    df = narrow(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("h"), F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), _BREAK), "").alias("words"))
+    df = narrow(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("h"), F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), _BREAK), "").alias("words"))
     pairs = df.select("doc_id", "h", "words", F.posexplode_outer("words").alias("pos", "w1")).select("doc_id", "h", "pos", "w1", F.get("words", F.col("pos") + 1).alias("w2"))
     pairs = pairs.filter("w2 is not null").withColumn("gram", F.xxhash64("w1", "w2"))
     # A fixed table of a few hundred rows.
@@ -119,17 +119,22 @@ def sql(words: str) -> str:
     """The query in DuckDB's SQL; words: the expression for a text's words."""
     rows = ",\n".join(f"({n}, {str(base).lower()}, '{label}', {pairs}, {place}, '{a}', '{b}')" for n, base, label, pairs, place, a, b in template_rows())
     assert not re.search(r"'[^',() ]*'[^',() ]*'", rows)
+    fits = f"(bit_count(bit_or(mask) over (partition by {{0}})) / cast(pairs as double) >= {COVER} and max(l) over (partition by {{0}}) + 2 - min(f) over (partition by {{0}}) <= {STRETCH} * (pairs + 1))"
     return f"""
 with t(template, base, label, pairs, place, t1, t2) as (values {rows}),
 d as (select row_number() over () as r, doc_id, coalesce({words.format("text")}, []) as w from documents),
 p as (select r, i - 1 as pos, w[i] as w1, w[i + 1] as w2 from (select r, w, unnest(range(1, len(w))) as i from d)),
-v as (select r, template, base, label, pairs, pos - place as diagonal, bit_or(cast(1 as bigint) << place) as mask, min(pos) as f, max(pos) as l
+v as (select r, template, base, label, pairs, pos - place as diagonal, bit_or(cast(1 as bigint) << place) as mask, min(pos) as f, max(pos) as l, min(place) as low
       from p join t on w1 = t1 and w2 = t2 group by all),
 k as (select * from v where case when base then bit_count(mask) = pairs else bit_count(mask) >= least({VOTES}, pairs) end),
 g as (select *, case when base or diagonal - lag(diagonal) over (partition by r, template order by diagonal) > {NEAR} then 1 else 0 end as new from k),
 s as (select *, sum(new) over (partition by r, template order by diagonal) as island from g),
+p1 as (select *, case when low <= lag(low) over (partition by r, template, island order by f, diagonal) then 1 else 0 end as back, {fits.format("r, template, island")} as fits from s),
+q1 as (select *, case when fits then 0 else sum(back) over (partition by r, template, island order by f, diagonal) end as part from p1),
+p2 as (select *, {fits.format("r, template, island, part")} as fits_part from q1),
+q2 as (select *, case when fits_part then 0 else row_number() over (partition by r, template, island, part order by f, diagonal) end as single from p2),
 m as (select r, base, label, pairs, bit_count(bit_or(mask)) / cast(pairs as double) as cover, min(f) as start, max(l) + 2 - min(f) as length
-      from s group by r, template, base, label, pairs, island),
+      from q2 group by r, template, base, label, pairs, island, part, single),
 a as (select * from m where cover >= {COVER} and length <= {STRETCH} * (pairs + 1)),
 o as (select r, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
       string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(cover) as score
