@@ -3,10 +3,12 @@
 Vectors are laid out by dimension. For each query the scores of a block of candidates grow a few dimensions at a time;
 what the rest can still add is at most the product of the remaining lengths of the two vectors (Cauchy-Schwarz), so
 candidates that can't reach the k best are dropped and the survivors compacted. The dimensions with the largest squares
-come first. Queries are taken in blocks of bounded size, each sent to all tasks; every task keeps k rows a query.
+come first. Queries are taken in blocks of bounded size, one at a time, each sent to all tasks and dropped when its results are
+stored; every task keeps k rows a query.
 
 Vectors that are null, hold null or non-finite components, or have no id take no part; nor do, for a query, vectors of
-another length or with its own id. Repeated rows each count as candidates; repeated queries count once. Scores outside
+another length or with its own id. Repeated rows each count as candidates; queries of one id that are equal once quantised
+count once, and of those that aren't the best are ranked together. Scores outside
 64 bits are held at its ends. An empty table gives no rows.
 """
 
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import narrow, scratch, written
 
-#: Queries sent to the tasks at once, candidates in a block, dimensions in a step.
-QUERIES, CANDIDATES, STEP = 16_384, 8_192, 8
+#: Queries sent to the tasks at once and their bytes, candidates in a block, dimensions in a step.
+QUERIES, BYTES, CANDIDATES, STEP = 16_384, 64 << 20, 8_192, 8
 FOUND = "query_id long, vec_id long, score long"
 LONG = np.iinfo(np.int64)
 
@@ -98,25 +100,53 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, m:
         b.add(ids[alive], score.astype(np.int64))
 
 
+def asked(df: DataFrame, scale: float) -> DataFrame:
+    """Quantised queries (vec_id, vector as binary of 64-bit floats) without repeats: rows of one id that are equal once quantised
+    are one query. df: vec_id, embedding."""
+
+    def task(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, CANDIDATES):
+                part = b.slice(i, CANDIDATES)
+                for ids, m in quantized(part.column(0), part.column(1), scale):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([(row + 0.0).tobytes() for row in m], pa.binary())], ["vec_id", "vector"])
+
+    return df.mapInArrow(task, "vec_id long, vector binary").distinct()
+
+
+def blocks(queries: DataFrame) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The queries, ids and vectors by length, in blocks of at most QUERIES rows and BYTES bytes (one row at least). The driver
+    holds a block and the partition at hand."""
+    held: dict[int, list] = {}
+    n = size = 0
+
+    def block():
+        return [(np.array([k for k, _ in own], np.int64), np.frombuffer(b"".join(v for _, v in own)).reshape(len(own), -1)) for _, own in sorted(held.items())]
+
+    for r in queries.toLocalIterator():
+        if n and (n == QUERIES or size + len(r.vector) > BYTES):
+            yield block()
+            held, n, size = {}, 0, 0
+        held.setdefault(len(r.vector), []).append((r.vec_id, r.vector))
+        n, size = n + 1, size + len(r.vector)
+    if n:
+        yield block()
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query picks (over columns vec_id, embedding), its k best among all rows."""
+    spark = vectors.sparkSession
     df = narrow(vectors, id, vector).toDF("vec_id", "embedding")
-    out = None
-
-    def blocks():
-        block = []
-        for r in df.filter(is_query & F.col("embedding").isNotNull()).dropDuplicates(["vec_id", "embedding"]).toLocalIterator():
-            block.append(r)
-            if len(block) == QUERIES:
-                yield block
-                block = []
-        yield block
-
-    for block in blocks():
-        if not block and out is not None:
-            break
-        asked = [*quantized(pa.array([r.vec_id for r in block], pa.int64()), pa.array([r.embedding for r in block], pa.list_(pa.float64())), scale)]
-        held = vectors.sparkSession.sparkContext.broadcast(asked)
+    queries = written(spark, asked(df.filter(is_query & F.col("embedding").isNotNull()), scale), "queries")
+    path = scratch(spark, "best")
+    ranked(spark.createDataFrame([], FOUND), k).drop("rank").write.parquet(path)
+    for block in blocks(queries):
+        held = spark.sparkContext.broadcast(block)
 
         def task(batches, held=held):
             best = [[Best(k) for _ in ids] for ids, _ in held.value]
@@ -124,9 +154,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
             def run(rows):
                 table = pa.Table.from_batches(rows).combine_chunks()
                 for ids, m in quantized(table.column(0).combine_chunks(), table.column(1).combine_chunks(), scale):
-                    for (query_ids, queries), b in zip(held.value, best, strict=True):
-                        if queries.shape[1] == m.shape[1]:
-                            search_block(query_ids, queries, ids, m, b)
+                    for (query_ids, own), b in zip(held.value, best, strict=True):
+                        if own.shape[1] == m.shape[1]:
+                            search_block(query_ids, own, ids, m, b)
 
             rows, n = [], 0
             for batch in batches:
@@ -139,11 +169,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
             if rows:
                 run(rows)
             for (query_ids, _), b in zip(held.value, best, strict=True):
-                if len(query_ids):
-                    n = [len(x.ids) for x in b]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([x.ids for x in b])), pa.array(np.concatenate([x.scores for x in b]))], ["query_id", "vec_id", "score"])
+                n = [len(x.ids) for x in b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([x.ids for x in b])), pa.array(np.concatenate([x.scores for x in b]))], ["query_id", "vec_id", "score"])
 
-        found = df.mapInArrow(task, FOUND)
-        out = found if out is None else out.unionAll(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ranked(df.mapInArrow(task, FOUND), k).drop("rank").write.mode("append").parquet(path)
+        held.destroy()
+    # An id whose rows differ is several queries, also of several blocks: their best are ranked together.
+    return ranked(spark.read.schema(FOUND).parquet(path), k).select("query_id", "rank", "vec_id", "score")

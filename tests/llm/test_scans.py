@@ -1,9 +1,11 @@
 import hashlib
+import os
 import random
 import re
 import time
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +250,49 @@ def test_license_places(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+@pytest.fixture(scope="module")
+def duck():
+    return duckdb.connect()
+
+
+def equals_sql(spark, duck, folder, name):
+    for t in ("documents", "embeddings"):
+        if os.path.exists(f"{folder}/{t}.parquet"):
+            duck.sql(f"create or replace view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    out = queries.queries()[name](spark, str(folder))
+    return sorted(map(repr, (tuple(r[c] for c in sorted(out.columns)) for r in out.collect()))), sorted(map(repr, (tuple(r) for r in duck.sql(f"select {','.join(sorted(out.columns))} from ({queries.oracle_sql()[name]})").fetchall())))
+
+
+def test_licenses_equal_their_sql(spark, duck, tmp_path):
+    """Repeated and altered notices, and letters whose small form is another character's: only A-Z are folded."""
+    draw = random.Random(18)
+    rows = [(0, "under the M\u0130T license, apache \u212aey license, CC BY \u212a"), (1, None), (2, ""), (3, "\u212awork licensed by apache license " * 3), (3, "All rights reserved. " * 40)]
+    for i in range(120):
+        words = []
+        for _ in range(draw.randint(1, 6)):
+            own = draw.choice([t for _, t in licenses.BASE + licenses.NOTICES]).split()
+            for _ in range(draw.choice([0, 0, 1, 2, 5])):
+                own.insert(draw.randrange(len(own)), draw.choice(["really", "\u212a", "license"])) if draw.random() < 0.5 else own.pop(draw.randrange(len(own)))
+                own = own or ["x"]
+            words += own * draw.choice([1, 1, 2, 3]) + [draw.choice(["", "and", "Copyright 2020 B."])]
+        rows.append((100 + i, " ".join(words)))
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = equals_sql(spark, duck, tmp_path, "op4_licenses")
+    assert got == want and len(got) == len(rows)
+
+
+def test_topk_equals_its_sql_with_repeated_ids(spark, duck, tmp_path, monkeypatch):
+    """Rows of one id, equal only once quantised or not equal, and one repeated very often."""
+    draw = random.Random(19)
+    rows = [(i, [round(draw.gauss(0, 0.3), 3) for _ in range(6)]) for i in range(120)] + [(0, None), (50, [0.1] * 6), (50, [0.1001] * 6), (50, [0.4] * 6), (100, [0.5, None, 0.0, 0.0, 0.0, 0.0]), (None, [0.1] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").unionAll(spark.range(50_000).selectExpr("cast(50 as long)", "array(0.1f, 0.2f, 0.3f, 0.4f, 0.5f, 0.6f)"))
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = equals_sql(spark, duck, tmp_path, "op3_topk")
+    assert got == want and len(got) == 3 * 5
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    assert equals_sql(spark, duck, tmp_path, "op3_topk")[0] == want
+
+
 def test_notices_in_a_row(spark):
     """However often and closely a notice is repeated, whole or with a word put in, each is found."""
     two = "Copyright 2019 A. All rights reserved. Copyright 2020 B. All rights reserved."
