@@ -3,9 +3,11 @@
 Each task packs its own documents, in the order in which it reads them, and keeps only an array with the number of
 partially filled windows at each fill level. A document goes to the level at which the sum of the squared counts
 becomes least (a new window is level 0, a full one doesn't count). Of a document over the window's size, all but the
-last part fill windows of their own. When the task ends, or too many windows are open, what the open ones hold is laid
-end to end and cut at the window's size; the rest of that is cut into powers of two, which need no padding. Nothing is
-shuffled, and a repeated task gives the same sequences: their ids hold the partition's number.
+last part fill windows of their own. At most `windows` windows are open. While all are, a document that fits none of
+them is cut: its first part fills up the window whose level leaves the least sum, and the rest is placed like a document.
+When the task ends, what the few open windows hold is laid end to end and cut at the window's size, and the rest of that
+into powers of two, which need no padding. Nothing is shuffled, and a repeated task gives the same sequences: their ids
+hold the partition's number.
 
 A null text is the empty text and has the end id alone. Repeated rows are each packed. An empty table gives no pieces.
 """
@@ -21,8 +23,8 @@ from .common import narrow
 from .encode import encoder
 
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Windows that a task holds open at once. Beyond it they are closed as at the task's end.
-MAX_OPEN = 2048
+#: Windows that a task holds open at once. More of them mean fewer cuts, and more to lay end to end when the task ends.
+WINDOWS = 16
 #: Sequence ids leave room for so many bits of a task's own count.
 OWN_BITS = 33
 
@@ -30,47 +32,53 @@ OWN_BITS = 33
 class Packer:
     """add() and close() return finished sequences: lists of (doc_id, start, ids, doc_tokens)."""
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, windows: int = WINDOWS):
+        self.size, self.windows = size, windows
         self.levels = np.zeros(size + 1, dtype=np.int64)
         self.open: dict[int, list[list[tuple]]] = {}
         self.n_open = 0
 
+    def after(self, g: int, s: int) -> int:
+        """How the sum of squares changes when s ids go to level g and what is over the window's size opens one of its own."""
+        n, size, to = self.levels, self.size, (g + s) % self.size
+        if not g:
+            return 2 * int(n[s]) + 1 if s < size else 0
+        if not to:
+            return 1 - 2 * int(n[g])
+        return 2 * (int(n[to]) - int(n[g])) + 2 if to != g else 0
+
     def level(self, s: int) -> int:
-        """Where a piece of s ids goes: at equal sums the fullest window."""
-        n = self.levels
-        after = n[s:].copy()
-        after[-1] = 0  # full windows don't count
-        gain = 2 * (after - n[: self.size - s + 1]) + 2
-        gain[0] = 2 * after[0] + 1  # a new window leaves no level
-        gain[-1] -= 1  # a full one enters none
-        ok = n[: self.size - s + 1] > 0
-        ok[0] = True
-        gain[~ok] = np.iinfo(np.int64).max
-        return len(gain) - 1 - int(np.argmin(gain[::-1]))
+        """Where s ids go: at equal sums to the fullest window; one that they overfill only if all are open and none has room."""
+        ways = [g for g in self.open if g + s <= self.size] + [0] * (self.n_open < self.windows) or [*self.open]
+        return min(ways, key=lambda g: (self.after(g, s), -g))
 
     def add(self, doc_id: int | None, ids: bytes) -> list[list[tuple]]:
         total, step, done = len(ids) // 4, self.size, []
-        whole = total - total % step
-        for start in range(0, whole, step):
+        at = total - total % step
+        for start in range(0, at, step):
             done.append([(doc_id, start, ids[start * 4 : (start + step) * 4], total)])
-        if s := total - whole:
-            g = self.level(s)
-            piece = (doc_id, whole, ids[whole * 4 :], total)
-            if g:
-                window = self.open[g].pop()
-                self.levels[g] -= 1
-                self.n_open -= 1
-            else:
-                window = []
-            window.append(piece)
+        while at < total:
+            g = self.level(total - at)
+            s = min(total - at, step - g)
+            window = self.taken(g) if g else []
+            window.append((doc_id, at, ids[at * 4 : (at + s) * 4], total))
+            at += s
             if g + s == step:
                 done.append(window)
             else:
                 self.open.setdefault(g + s, []).append(window)
                 self.levels[g + s] += 1
                 self.n_open += 1
-        return done + (self.close() if self.n_open > MAX_OPEN else [])
+        return done
+
+    def taken(self, g: int) -> list[tuple]:
+        """The last opened window of a level, which leaves it."""
+        window = self.open[g].pop()
+        if not self.open[g]:
+            del self.open[g]
+        self.levels[g] -= 1
+        self.n_open -= 1
+        return window
 
     def close(self) -> list[list[tuple]]:
         pieces = [p for g in sorted(self.open, reverse=True) for window in self.open[g] for p in window]
@@ -96,11 +104,11 @@ def padding(lengths: np.ndarray, size: int) -> int:
     return int(np.where(n & (n - 1) == 0, 0, size - n).sum())
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, windows: int = WINDOWS) -> DataFrame:
     """Every piece with its ids (binary, little-endian unsigned 32 bits), its sequence and its offset there."""
 
     def task(batches):
-        e, packer, n, rows = encoder(path), Packer(size), TaskContext.get().partitionId() << OWN_BITS, []
+        e, packer, n, rows = encoder(path), Packer(size, windows), TaskContext.get().partitionId() << OWN_BITS, []
         end = np.array([end_id], dtype="<u4").tobytes()
         held = 0
 

@@ -123,9 +123,10 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), BYTE).count() == 0
 
 
-def test_level_is_the_least_sum_of_squares():
-    draw = random.Random(1)
-    p = packing.Packer(20)
+@pytest.mark.parametrize("windows", [3, 8, 1000])
+def test_level_is_the_least_sum_of_squares(windows):
+    draw, cut = random.Random(1), 0
+    p = packing.Packer(20, windows)
     for _ in range(3000):
         s = draw.randint(1, 19)
         n = p.levels.copy()
@@ -134,21 +135,34 @@ def test_level_is_the_least_sum_of_squares():
             m = n.copy()
             if g:
                 m[g] -= 1
-            if g + s < 20:
-                m[g + s] += 1
+            if g + s != 20:
+                m[(g + s) % 20] += 1
             return int((m[1:20] ** 2).sum())
 
-        can = [g for g in range(20 - s + 1) if g == 0 or n[g] > 0]
+        can = [g for g in range(20 - s + 1) if n[g] > 0 or g == 0 and n.sum() < windows]
+        can = can or [g for g in range(20) if n[g] > 0]
         assert p.level(s) == max(g for g in can if after(g) == min(map(after, can)))
+        cut += p.level(s) + s > 20
         p.add(1, b"\0\0\0\0" * s)
+        assert p.n_open == p.levels.sum() <= windows and {g for g in range(21) if p.levels[g]} == set(p.open)
+    assert (cut > 0) == (windows < 1000)
 
 
-def test_open_windows_are_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "MAX_OPEN", 5)
-    p, out = packing.Packer(16), []
+def test_open_windows_are_bounded():
+    p, out = packing.Packer(16, 5), []
     for i in range(200):
         out += p.add(i, b"\0\0\0\0" * 9)
         assert p.n_open <= 5
     out += p.close()
     lengths = [sum(len(x[2]) // 4 for x in w) for w in out]
     assert sum(lengths) == 1800 and packing.padding(lengths, 16) == 0
+
+
+def test_few_pieces_are_of_the_last_step():
+    """Of 1,000 documents in one task, under one piece in twenty comes of the windows that are open at its end."""
+    draw = random.Random(2)
+    p, before = packing.Packer(1024), 0
+    for i in range(1000):
+        before += sum(map(len, p.add(i, b"\0\0\0\0" * int(draw.lognormvariate(6, 1.2) + 1))))
+    last = p.close()
+    assert sum(map(len, last)) < 0.05 * before and packing.padding([sum(len(x[2]) // 4 for x in w) for w in last], 1024) == 0
