@@ -49,6 +49,54 @@ def test_held_out_labels_teach_nothing(spark, trained):
     assert np.array_equal(model.score(x), other.score(x))
 
 
+def test_repeated_ids_teach_once(spark, trained, monkeypatch):
+    """One id in 50,000 rows, with and without a text of its own, brings one row to the driver and changes nothing."""
+    rows, labels, known, model = trained
+    k, t = next((k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 4 != 2)
+    many = spark.range(50_000).selectExpr(f"cast({k} as long) as doc_id", "id").join(docs(spark, [(k, t)]), "doc_id").drop("id")
+    seen = []
+    fit = quality.Model.fit
+    monkeypatch.setattr(quality.Model, "fit", lambda self, p, u: (seen.append((len(p), len(u))), fit(self, p, u))[1])
+    other = quality.train(docs(spark, rows).unionByName(many), known)
+    x = np.array([quality.features(t) for _, t in rows[:50]])
+    assert np.array_equal(model.score(x), other.score(x)) and seen[0][0] <= len(labels) and seen[0][1] <= len(rows)
+
+
+def test_risk_and_score_equal_a_plain_restatement():
+    draw = np.random.default_rng(3)
+    p, u = draw.normal(1, 1, (40, 6)).astype(np.float32), draw.normal(-1, 1, (60, 6)).astype(np.float32)
+    m = quality.Model(0.4)
+    turned = set()
+    both = np.concatenate([p, u])
+    scaled = lambda x: np.clip((x - both.mean(axis=0)) / (both.std(axis=0) + 0.02), -8, 8)
+
+    def margin(x):
+        w, b, v, c = m.weights
+        return [sum(max(0, sum(row[i] * w[i, h] for i in range(6)) + b[h]) * v[h] for h in range(len(v))) + c[0] for row in scaled(x)]
+
+    loss = lambda z: np.mean([1 / (1 + np.exp(x)) for x in z])
+    for seed, prior in ((1, 0.4), (2, 0.4), *((k, 0.95) for k in range(3, 11))):
+        m.prior = prior
+        m.start(p, u, np.random.default_rng(seed))
+        first, second = m.risk(p, u)
+        z = margin(p)
+        assert np.isclose(first, prior * loss(z), atol=1e-5) and np.isclose(second, loss([-x for x in margin(u)]) - prior * loss([-x for x in z]), atol=1e-5)
+        turned.add(bool(second < 0))
+        for w, g in zip(m.weights, m.gradient(p, u)):
+            for k in np.ndindex(w.shape):
+                own, values = w[k], []
+                for step in (1e-4, -1e-4):
+                    w[k] = own + step
+                    a, b = m.risk(p, u)
+                    values.append(a + b if second >= 0 else -b)
+                w[k] = own
+                assert np.isclose(g[k], (values[0] - values[1]) / 2e-4, atol=2e-3)
+    assert turned == {True, False}
+    m.fit(p, u).calibrate(both, np.r_[np.ones(40), np.zeros(60)])
+    a, b = m.curve
+    assert a > 0 and np.allclose(m.score(p), [1 / (1 + np.exp(-(a * z + b))) for z in margin(p)], atol=1e-4)
+
+
 def test_held_out_rule(spark):
     from pyspark.sql import functions as F
 
