@@ -6,29 +6,32 @@ signature's coordinates, and a document keeps the earliest dart of each. Only ra
 need be looked at, further ones where a coordinate is still empty. Two documents agree in a coordinate with the probability
 of their weighted Jaccard similarity.
 
-Exact copies are one node. Nodes that share a band are in a bucket. In each bucket all nodes are first compared with its
+Exact copies are one node. Two texts are similar if the weighted Jaccard similarity of their runs, by how often each stands in
+the text, is SIMILARITY or more. Nodes that share a band are in a bucket. In each bucket all nodes are first compared with its
 least node alone; what is similar by signature is verified on the words of the whole texts, the best partner of a node
 first. Then, in buckets that hold more than one class so far, the nodes outside the largest class are compared by signature
 with all nodes of the bucket, and what is similar becomes one coarse group; within each of these the nodes outside its
 largest class are compared with all its nodes on their word runs. Both go block by block, with blocks of bounded size, and
 give only links that join classes; so no pair of a bucket is left out unless both its ends are known to be of one class, or
-their signatures differ too much. Classes come from alternating large-star and small-star steps over tables in the shared
-folder.
+their signatures differ too much. A bucket of more than BLOCK nodes is first divided: similar texts share one of their rarest
+runs (n - ceil(SIMILARITY n) + 1 of n), so its nodes meet again by each of these, and what merely holds the same common
+passage doesn't. Classes come from alternating large-star and small-star steps over tables in the shared folder.
 
 Texts of fewer than five words are one element; texts without words are similar to their exact copies only; a null text is
 similar to nothing. Repeated rows are in one class. The class is named by its least doc_id; rows without one are in classes
-too, and a class of only such rows is null. An empty table gives an empty result.
+too, and a class of only such rows is null. Very long texts are whole: what a task holds grows with its longest text alone.
+Other columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import narrow, words_of, written
@@ -107,17 +110,31 @@ def digests(signature: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: list[bytes], b: list[bytes], size: int = WORDS) -> float:
-    """Jaccard similarity of the sets of word runs, on the words themselves."""
+    """Weighted Jaccard similarity of the word runs by their counts, on the words themselves."""
     x, y = runs(a, size), runs(b, size)
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
 def runs(words: list[bytes], size: int = WORDS) -> frozenset:
-    return frozenset(zip(*[words[i:] for i in range(size)], strict=False)) if len(words) >= size else frozenset([tuple(words)] if words else [])
+    """The word runs, and for each further time that one stands there an element of its own: so the plain similarity of these
+    sets is the weighted one of the counts."""
+    every = [*zip(*[words[i:] for i in range(size)], strict=False)] if len(words) >= size else [tuple(words)] if words else []
+    out = set(every)
+    if len(out) < len(every):
+        out.update((n, run) for run, count in Counter(every).items() for n in range(1, count))
+    return frozenset(out)
 
 
-def signed(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """doc_id, node (of the text), signature (16 bits a coordinate; null for no words). weights: set (1 each) or count."""
+def hashed_runs(words: list[bytes], size: int = WORDS) -> np.ndarray:
+    """The same as sorted 64-bit hashes."""
+    h = np.sort(shingles(words, size))
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return np.sort(np.where(nth > 0, mix(h + nth.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), h)) if len(first) < len(h) else h
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, node (of the text), signature (16 bits a coordinate; null for no words). A run weighs how often it stands there."""
 
     def task(batches):
         forget()
@@ -131,7 +148,7 @@ def signed(docs: DataFrame, weights: str = "set") -> DataFrame:
                     sets = [np.unique(own[j], return_counts=True) for j in full]
                     doc = np.repeat(np.arange(len(full)), [len(s) for s, _ in sets])
                     count = np.concatenate([c for _, c in sets]).astype(np.float64)
-                    found = digests(signatures(doc, np.concatenate([s for s, _ in sets]), count if weights == "count" else np.ones(len(doc)), len(full)))
+                    found = digests(signatures(doc, np.concatenate([s for s, _ in sets]), count, len(full)))
                     for j, row in zip(full, found, strict=True):
                         out[j] = row.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["doc_id", "node", "signature"])
@@ -262,6 +279,32 @@ def linked(table: pa.Table, alike) -> pa.Table:
     return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
+def divided(members: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (bucket, node), where those of buckets with more than one class and more than BLOCK nodes are in other buckets
+    instead, one for each of their rarest runs that several of them share. Rare is counted among these nodes, with the hash
+    for equals. Two similar texts share such a run: of n runs at most n - ceil(SIMILARITY n) can be missing from the other."""
+    spark = members.sparkSession
+    sizes = rooted(members, roots, "node").groupBy("bucket", "r_node").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("classes"))
+    large = written(spark, sizes.filter((F.col("classes") > 1) & (F.col("n") > BLOCK)).select("bucket"), "large")
+
+    def exploded(batches):
+        for b in batches:
+            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = hashed_runs(words_of(text)).view(np.int64)
+                for i in range(0, len(own), 1 << 16):
+                    part = own[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([node] * len(part), pa.binary()), pa.array(part), pa.array(np.full(len(part), len(own)))], ["node", "run", "size"])
+
+    nodes = members.join(large, "bucket", "left_semi").select("node").distinct()
+    every = written(spark, texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(exploded, "node binary, run long, size long"), "runs")
+    # Tables of their own, so that a very common run is split by the join, which shuffles both sides.
+    shared = written(spark, every.groupBy("run").agg(F.count("*").alias("n")), "counts")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "run"))
+    rare = every.join(shared, "run").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(SIMILARITY) - 1e-9) + 1)
+    finer = rare.filter("n > 1").select(F.xxhash64("run", F.lit("run")).alias("bucket"), "node")
+    return written(spark, members.join(large, "bucket", "left_anti").select("bucket", "node").unionAll(finer), "divided")
+
+
 def coarse(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Links that join what is similar by signature within the buckets: no pair of one bucket whose signatures agree well
     enough is left in two of the classes that roots and these links make."""
@@ -280,8 +323,10 @@ def settled(candidates: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFr
 
     def hashed(batches):
         for b in batches:
-            sets = [np.unique(shingles(words_of(t))).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "runs"])
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
+                sets = [hashed_runs(words_of(t)).astype("<u8").tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "runs"])
 
     def group(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(r, "<u8") for r in table.column("runs").to_pylist()]
@@ -309,18 +354,19 @@ def settled(candidates: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFr
     return dealt.groupBy("bucket", "i", "j").applyInArrow(group, "a binary, b binary").distinct()
 
 
-def classes(docs: DataFrame, weights: str = "set") -> DataFrame:
+def classes(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, node, class_id and root. Only root, a node, tells classes apart: class_id is null for all classes without
     ids, and a repeated doc_id can be the least of several."""
     spark = docs.sparkSession
     keep = lambda df, what: written(spark, df, what)
-    rows = keep(signed(docs, weights), "signatures")
+    rows = keep(signed(docs), "signatures")
     nodes = keep(rows.filter("signature is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "nodes")
     width = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(K // ROWS - 1))).alias("band")
     bands = nodes.select("node", "signature", band).select("node", F.xxhash64("band", F.expr(f"substring(signature, band * {width} + 1, {width})")).alias("bucket"))
+    # A table of its own, here and below, so that a hot bucket or class is split by the join, which shuffles both sides.
     hubs = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
-    members = keep(bands.join(hubs, "bucket"), "buckets")
+    members = keep(bands.join(keep(hubs, "hubs"), "bucket"), "buckets")
     star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = keep(estimated(star, nodes), "pairs")
     used = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select("node", F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"))
@@ -331,13 +377,13 @@ def classes(docs: DataFrame, weights: str = "set") -> DataFrame:
     more = rooted(pairs, roots, "a", "b").filter("r_a <> r_b").select("a", "b")
     edges = edges.unionAll(keep(verified(more, texts), "links"))
     roots = keep(components(edges), "roots")
-    links = keep(coarse(members.select("bucket", "node"), nodes, roots), "coarse")
+    links = keep(coarse(divided(members.select("bucket", "node"), texts, roots), nodes, roots), "coarse")
     groups = keep(components(edges.unionAll(links)), "groups")
     edges = edges.unionAll(keep(settled(groups, texts, roots), "links"))
     roots = keep(components(edges), "roots")
-    ids = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    named = rooted(ids, roots, "node").groupBy("r_node").agg(F.min("doc_id").alias("class_id"))
-    named = rooted(ids.select("node"), roots, "node").join(named, "r_node").select("node", "class_id", F.col("r_node").alias("root"))
+    ids = keep(rooted(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), roots, "node"), "ids")
+    named = keep(ids.groupBy("r_node").agg(F.min("doc_id").alias("class_id")), "names")
+    named = ids.select("node", "r_node").join(named, "r_node").select("node", "class_id", F.col("r_node").alias("root"))
     whole = rows.filter("node is not null").join(named, "node").select("doc_id", "node", "class_id", "root")
     return whole.unionAll(rows.filter("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.col("node").alias("root")))
 

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -9,9 +9,20 @@ from sigspark.llm.common import words_of
 from .helpers import clashing, docs
 
 
+def counted(text):
+    w = words_of(text)
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def alike(a, b):
+    """Weighted Jaccard similarity of two texts' counted runs."""
+    both = sum((a & b).values())
+    return both / (a.total() + b.total() - both) if a and b else 0.0
+
+
 def brute(rows):
     """Classes over all pairs, by doc_id of the rows' place."""
-    own = [nd.runs(words_of(t)) for _, t in rows]
+    own = [counted(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -21,8 +32,7 @@ def brute(rows):
 
     for i, (_, t) in enumerate(rows):
         for j in range(i):
-            both = len(own[i] & own[j])
-            if t is not None and (t == rows[j][1] or own[i] and own[j] and both >= 0.8 * (len(own[i]) + len(own[j]) - both)):
+            if t is not None and (t == rows[j][1] or alike(own[i], own[j]) >= 0.8):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     groups = defaultdict(set)
@@ -91,6 +101,60 @@ def test_large_group_loses_no_link(spark, monkeypatch):
     assert all(k == min(g) for k, g in got.items())
 
 
+def test_repeated_runs_count(spark):
+    """A line that stands there ten times is not one that stands there once; the forms of the runs agree with each other."""
+    draw = random.Random(20)
+    line = " ".join(f"v{i}" for i in range(12)) + ". "
+    rows = [(0, line), (1, line * 10), (2, line * 11), (3, line * 2), (4, (line * 10).upper()), (5, "la " * 40), (6, "la " * 44), (7, "la " * 90), (8, "one two three " * 30), (9, "one two three " * 31 + "four")]
+    rows += [(20 + i, " ".join(draw.choice("abc") for _ in range(draw.randint(3, 60)))) for i in range(60)]
+    got = found(nd.classes(docs(spark, rows)))
+    assert {frozenset(g) for g in got.values()} == brute(rows)
+    for _, t in rows:
+        w = words_of(t)
+        assert len(nd.hashed_runs(w)) == len(nd.runs(w)) == counted(t).total() == len(set(nd.hashed_runs(w).tolist()))
+    for _, a in rows[:12]:
+        for _, b in rows[:12]:
+            x, y = nd.hashed_runs(words_of(a)), nd.hashed_runs(words_of(b))
+            both = len(np.intersect1d(x, y))
+            assert np.isclose(both / (len(x) + len(y) - both), alike(counted(a), counted(b))) and np.isclose(nd.similarity(words_of(a), words_of(b)), alike(counted(a), counted(b)))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at a similarity of 0.80 to 0.86 share a class; pairs under 0.8 never do."""
+    draw, rows, want = random.Random(21), [], []
+    while len(want) < 300:
+        words = [f"w{draw.randrange(10**6)}" for _ in range(draw.choice([60, 150, 400]))]
+        other = mutated(draw, words, draw.choice([1, 2, 3, 5, 8]) * len(words) // 150 + 1)
+        a, b = " ".join(words), " ".join(other)
+        s = alike(counted(a), counted(b))
+        if 0.7 < s < 0.86:
+            want.append(s >= 0.8)
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    of = {r.doc_id: r.class_id for r in nd.classes(docs(spark, rows)).collect()}
+    got = [of[2 * i] == of[2 * i + 1] for i in range(len(want))]
+    assert 80 < sum(want) < 280 and not any(g and not w for g, w in zip(got, want))
+    assert sum(g for g, w in zip(got, want) if w) >= 0.99 * sum(want)
+
+
+def test_large_buckets_are_divided(spark, monkeypatch):
+    """Texts of different classes that share a long passage, in a bucket over BLOCK, and a very long text: no link is lost."""
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    draw = random.Random(22)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for g in range(40):
+        own = [f"g{g}x{i}" for i in range(60)]
+        rows += [" ".join(mutated(draw, own + passage, draw.choice([0, 1, 2, 3]))) for _ in range(draw.choice([1, 1, 2, 5]))]
+    rows += ["long " + " ".join(f"z{i % 977}" for i in range(200_000)), "Long, " + " ".join(f"z{i % 977}" for i in range(200_000))]
+    rows = list(enumerate(rows))
+    seen = []
+    dividing = nd.divided
+    monkeypatch.setattr(nd, "divided", lambda m, t, r: (seen.append((m.count(), (out := dividing(m, t, r)).count())), out)[1])
+    got = found(nd.classes(clashing(docs(spark, rows))))
+    assert {frozenset(g) for g in got.values()} == brute(rows)
+    assert len(seen) == 1 and seen[0][0] != seen[0][1]
+
+
 def test_kept(spark):
     rows = [(3, "a b c d e f g"), (1, "A b c d e f g!"), (1, "A b c d e f g!"), (7, None), (8, None), (None, "lone words only here now then"), (2, "")]
     got = nd.kept(clashing(docs(spark, rows)))
