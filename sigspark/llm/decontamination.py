@@ -4,8 +4,8 @@ The index lies in the shared folder, cut into segments of some 500,000 words. A
 of its terms, the ascending positions where the term stands; positions count through the segment, with a gap after each
 document. A search takes a block of windows to all segments: a window whose words aren't all among a segment's terms is
 out; else the lists are intersected from the rarest term on, each shifted by the term's place in the window. What remains
-are the places where the whole phrase stands. Nothing is shuffled but one row for each document with more than one block
-of windows, and no list leaves its segment.
+are the places where the whole phrase stands. Nothing is shuffled but, with more than one block of windows, what was found;
+and no list leaves its segment.
 
 An index may be limited to the words of one benchmark, which loses nothing for it. Null texts have no words. Repeated rows
 are each reported. Items without words have no window; items without id mark words but aren't listed. Items of one id count
@@ -14,11 +14,12 @@ once. An empty table gives an empty report, an empty benchmark one without hits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +129,26 @@ def windows(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(words)] if 0 < len(words) < size else [tuple(words[i : i + size]) for i in range(len(words) - size + 1)] if words else []
 
 
+def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str | None, list[tuple[bytes, ...]]]]]:
+    """The benchmark's items with their windows, in blocks of at most WINDOWS windows; the driver holds one block and one text."""
+    block, n = [], 0
+    for r in narrow(benchmark, "item_id", "text").select(F.col("item_id").cast("string"), "text").dropDuplicates().toLocalIterator():
+        words = words_of(r.text)
+        for i in range(0, max(1, len(words) - size + 1) if words else 0, WINDOWS):
+            own = windows(words[i : i + WINDOWS + size - 1], size)
+            if n and n + len(own) > WINDOWS:
+                yield block
+                block, n = [], 0
+            block.append((r.item_id, own))
+            n += len(own)
+    yield block
+
+
 def search(spark: SparkSession, stored: DataFrame, items: list[tuple[str | None, list[tuple[bytes, ...]]]], slop: int | None = None) -> DataFrame:
+    return searched(spark, stored, items, slop)[0]
+
+
+def searched(spark: SparkSession, stored: DataFrame, items: list[tuple[str | None, list[tuple[bytes, ...]]]], slop: int | None) -> tuple[DataFrame, Broadcast]:
     """Every indexed document: segment and row there, doc_id, n_words, hits (an item's overlapping occurrences joined). items: of one block, id and
     windows. slop: not phrases, but all words of a window within so many more words than it has."""
     vocabulary: dict[bytes, int] = {}
@@ -176,38 +196,35 @@ def search(spark: SparkSession, stored: DataFrame, items: list[tuple[str | None,
                 rows = [[{"item_id": names[h["item"]], "start": int(h["span"]["start"] - base[d]), "length": int(h["span"]["end"] - h["span"]["start"])} for h in own] for d, own in enumerate(hits)]
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(rows, pa.list_(struct))], ["segment", "row", "doc_id", "n_words", "hits"])
 
-    return stored.mapInArrow(task, f"segment long, row long, doc_id long, n_words long, hits {HITS}")
+    return stored.mapInArrow(task, f"segment long, row long, doc_id long, n_words long, hits {HITS}"), held
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int | None = None) -> DataFrame:
-    """The report on every document: doc_id, n_words, hits. The benchmark may have any size: its items are searched in blocks."""
+    """The report on every document: doc_id, n_words, hits. The benchmark may have any size: if one block holds its windows, the
+    index is limited to their words; else it holds all words, and block after block is searched, stored and let go."""
     spark = docs.sparkSession
-    blocks: list[list[tuple]] = [[]]
-    n = 0
-    only: set[bytes] = set()
-    for r in narrow(benchmark, "item_id", "text").select(F.col("item_id").cast("string"), "text").dropDuplicates().toLocalIterator():
-        own = windows(words_of(r.text), size)
-        only.update(x for w in own for x in w)
-        for i in range(0, len(own), WINDOWS):
-            if n and n + len(own) > WINDOWS:
-                blocks.append([])
-                n = 0
-            blocks[-1].append((r.item_id, own[i : i + WINDOWS]))
-            n += len(own[i : i + WINDOWS])
-    stored = index(docs, only)
-    every = search(spark, stored, blocks[0], slop)
-    if len(blocks) > 1:
-        for b in blocks[1:]:
-            every = every.unionAll(search(spark, stored, b, slop))
-        every = every.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+    blocks = item_blocks(benchmark, size)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return search(spark, index(docs, {x for _, own in block for w in own for x in w}), block, slop).drop("segment", "row")
+    stored, rows = index(docs), F.struct("segment", "row", "doc_id", "n_words")
+    every = None
+    while block:
+        found, held = searched(spark, stored, block, slop)
+        found = written(spark, found if every is None else found.filter(F.size("hits") > 0), "hits")
+        held.destroy()
+        every = found if every is None else every.unionAll(found)
+        block, more = more, next(blocks, None)
+    every = every.select(rows.alias("r"), F.explode_outer("hits").alias("h")).groupBy("r.segment", "r.row").agg(F.first("r.doc_id").alias("doc_id"), F.first("r.n_words").alias("n_words"), F.collect_list("h").alias("hits"))
     return every.drop("segment", "row")
 
 
 def digest(report: DataFrame) -> DataFrame:
-    """Of each document the words in any hit, the items and a digest of their ids."""
-    marked = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
+    """Of each document the words in any hit, the items and a digest of their ids. Hits are joined in order, not word by word."""
+    spans = F.array_sort(F.transform("hits", lambda h: F.struct(h["start"].alias("a"), (h["start"] + h["length"]).alias("b"))))
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    n_hit = F.aggregate(spans, start, lambda x, h: F.struct(F.greatest(x["end"], h["b"]).alias("end"), (x["n"] + F.greatest(h["b"] - F.greatest(x["end"], h["a"]), F.lit(0))).alias("n")))["n"].cast("long")
     items = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item_id"]), lambda x: x.isNotNull())))
-    n_hit = F.size(marked).cast("long")
     return report.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
