@@ -8,7 +8,7 @@ order. Each attempt of a task writes files of its own name, and only those of th
 manifest, itself a table in the shared folder: a lost executor loses nothing that was written.
 
 A null text is the empty text and gives the end id alone. Rows of one doc_id stand side by side, by a hash of their text;
-rows without doc_id come first. Repeated rows are each written. An empty table gives a manifest without rows.
+rows without doc_id come first. Repeated rows are each written, and dealt to several shards where they are very many. An empty table gives a manifest without rows.
 """
 
 from __future__ import annotations
@@ -95,8 +95,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> DataFrame
                 f.write(struct.pack("<IQ", width, len(rows)) + np.array(rows, dtype=INDEX).tobytes())
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [f"{folder}/{name}"], "n_docs": [len(rows)], "n_tokens": [tokens]})
 
-    df = narrow(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    df = df.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # The row's own number parts rows that are equal in id and text: a row that is repeated very often is in several ranges.
+    df = narrow(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text")).withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
+    df = df.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return written(docs.sparkSession, df.mapInArrow(shard, MANIFEST), "token-manifest")
 
 

@@ -96,6 +96,17 @@ def test_masked_differs_from_plain():
     assert token_files.masked(b"abc") != zlib.crc32(b"abc") and token_files.unframe(__import__("io").BytesIO(token_files.frame(b"abc")).read, 10) == b"abc"
 
 
+def test_a_row_repeated_very_often_is_in_several_shards(spark, tmp_path):
+    many = spark.range(50_000).selectExpr("cast(7 as long) as doc_id").join(docs(spark, [(7, "same text")]).drop("doc_id"))
+    df = many.select("doc_id", "text").unionAll(docs(spark, [(k, f"text {k}") for k in (1, 9)]).select("doc_id", "text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small shards are put together
+    manifest = token_files.write(df, f"file://{tmp_path}/tokens", WORD, 1)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.agg({"n_docs": "sum"}).first()[0] == 50_002 and manifest.agg({"n_docs": "max"}).first()[0] < 40_000
+    out = token_files.read(spark, manifest).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == [1] + [7] * 50_000 + [9] and len({r.start for r in out}) == 50_002
+
+
 def check_pieces(pieces, size, want):
     docs_, windows = {}, {}
     for p in pieces:
