@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, words_of, written
+from .common import dropped, narrow, words_of, written
 from .encode import forget
 
 WORDS, SIMILARITY = 5, 0.8
@@ -213,17 +213,22 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        m = least(both)
+        large = both.filter("v > u").join(m.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(spark, large, "edges")
+        dropped(e, m)
         m = least(large)
         small = large.join(m, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct()
         e = written(spark, small, "edges")
+        dropped(large, m)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
         mark = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = written(spark, roots, "roots")
+    dropped(e)
+    return out
 
 
 def rooted(df: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
@@ -358,7 +363,12 @@ def classes(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, node, class_id and root. Only root, a node, tells classes apart: class_id is null for all classes without
     ids, and a repeated doc_id can be the least of several."""
     spark = docs.sparkSession
-    keep = lambda df, what: written(spark, df, what)
+    made = []
+
+    def keep(df, what):
+        made.append(written(spark, df, what))
+        return made[-1]
+
     rows = keep(signed(docs), "signatures")
     nodes = keep(rows.filter("signature is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "nodes")
     width = 2 * ROWS
@@ -373,17 +383,18 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = keyed(docs).select("node", F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), "text").join(used, ["node", "doc_id"], "left_semi")
     texts = keep(texts.dropDuplicates(["node"]).select("node", "text"), "texts")
     edges = keep(verified(pairs.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")), texts), "links")
-    roots = keep(components(edges), "roots")
+    roots = components(edges)
     more = rooted(pairs, roots, "a", "b").filter("r_a <> r_b").select("a", "b")
     edges = edges.unionAll(keep(verified(more, texts), "links"))
-    roots = keep(components(edges), "roots")
+    roots = components(edges)
     links = keep(coarse(divided(members.select("bucket", "node"), texts, roots), nodes, roots), "coarse")
-    groups = keep(components(edges.unionAll(links)), "groups")
+    groups = components(edges.unionAll(links))
     edges = edges.unionAll(keep(settled(groups, texts, roots), "links"))
-    roots = keep(components(edges), "roots")
+    roots = components(edges)
     ids = keep(rooted(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), roots, "node"), "ids")
-    named = keep(ids.groupBy("r_node").agg(F.min("doc_id").alias("class_id")), "names")
-    named = ids.select("node", "r_node").join(named, "r_node").select("node", "class_id", F.col("r_node").alias("root"))
+    names = keep(ids.groupBy("r_node").agg(F.min("doc_id").alias("class_id")), "names")
+    named = ids.select("node", "r_node").join(names, "r_node").select("node", "class_id", F.col("r_node").alias("root"))
+    dropped(*[t for t in made if t is not rows and t is not ids and t is not names])
     whole = rows.filter("node is not null").join(named, "node").select("doc_id", "node", "class_id", "root")
     return whole.unionAll(rows.filter("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.col("node").alias("root")))
 
