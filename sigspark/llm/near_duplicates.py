@@ -42,8 +42,8 @@ WORDS, SIMILARITY = 5, 0.8
 K, ROWS = 96, 4
 #: By their signatures, pairs under this share aren't verified: four and a half standard deviations under 0.8.
 ESTIMATE = 0.62
-#: Nodes of a bucket that are compared at once.
-BLOCK = 1024
+#: Nodes of a bucket that are compared at once; edges in a part of a table.
+BLOCK, EDGES = 1024, 200_000
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, i + 1)) for i in range(16)])
 _U = np.uint64
 
@@ -202,31 +202,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its class) for all nodes of the edges a, b."""
+    """node, root (the least node of its class) for all nodes of the edges a, b. Tables are written in as many parts as their rows
+    need. It ends when every class is a star: then no node has two edges upwards, and none has edges of both kinds."""
     spark = edges.sparkSession
+    e = written(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    parts = 1 + e.count() // EDGES
+    keep = lambda df, what: written(spark, df.coalesce(parts), what)
 
     def least(e):
         # A table of its own: the join with it then shuffles both sides, and a node with very many links can be split.
-        return written(spark, e.groupBy("u").agg(F.min("v").alias("m")), "least")
+        return keep(e.groupBy("u").agg(F.min("v").alias("m")), "least")
 
-    e = written(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
-    while True:
+    def ends(e):
+        up = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        return up.unionAll(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+
+    while ends(e).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").limit(1).count():
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = least(both)
         large = both.filter("v > u").join(m.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(spark, large, "edges")
+        large = keep(large, "edges")
         dropped(e, m)
         m = least(large)
         small = large.join(m, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct()
-        e = written(spark, small, "edges")
+        e = keep(small, "edges")
         dropped(large, m)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    out = written(spark, roots, "roots")
+    out = keep(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
     dropped(e)
     return out
 
