@@ -54,9 +54,8 @@ def meth_frequency(v, spark, sf_dir):
 
 @query("--with x as (select c.read_id, chromosome, start_pos, num_motifs, llr, seq as sequence from v_calls c join v_seq s on s.read_id = c.read_id), y as (select *, list_filter(range(0, cast(len(sequence) as bigint)), lambda i: substr(sequence, i + 1, 2) = 'CG') as ats from x where num_motifs > 1), z as (select chromosome, start_pos + unnest(ats) - ats[1] as start_pos, 1 as num_motifs, llr from y), a as (select chromosome, start_pos, start_pos as end_pos, num_motifs, llr from z union all select chromosome, start_pos, start_pos as end_pos, num_motifs, llr from x where num_motifs <= 1) " + _FREQ.format("a"), "v_calls", "v_seq")
 def meth_frequency_split(v, spark, sf_dir):
-    places = v("v_seq").select("read_id", seq.motif_positions(F.col("seq"), "CG").alias("at"))
-    calls = v("v_calls").join(places, "read_id").withColumn("end_pos", F.col("start_pos"))
-    return methylation.frequency(methylation.split_groups(calls))
+    calls = v("v_calls").join(v("v_seq").select("read_id"), "read_id").withColumn("end_pos", F.col("start_pos"))
+    return methylation.frequency(methylation.split_by_places(calls, methylation.motif_scan(v("v_seq"), "CG")))
 
 
 @query("""--with a as (select chromosome || ':' || start_pos || '-' || start_pos as key, cast(sum(num_motifs) as bigint) as depth, cast(sum(case when llr > 0 then num_motifs else 0 end) as bigint) as methylated from v_calls where abs(llr) >= 2.0 * num_motifs and num_motifs = 1 group by all),
@@ -107,8 +106,7 @@ def site_positions(v, spark, sf_dir):
 
 @query("--with " + _MOTIF + ", c as (select m.read_id, pos, len(replace(replace(replace(substr(seq, 1, pos), 'A', ''), 'G', ''), 'T', '')) as n from m join v_seq s on s.read_id = m.read_id), d as (select *, n - coalesce(lag(n) over (partition by read_id order by pos) + 1, 0) as delta from c) select read_id, string_agg(cast(delta as varchar), ',' order by pos) as mm from d group by read_id", "v_seq")
 def mm_tag(v, spark, sf_dir):
-    s = v("v_seq")
-    return methylation.mm_tags(methylation.motif_scan(s, "CG"), s)
+    return v("v_seq").select("read_id", methylation.mm_tag(F.col("seq")).alias("mm")).filter("mm is not null")
 
 
 @query("select read_id, chromosome, start_pos, llr, cast(least(255, floor(255 * (1 / (1 + exp(0.0 - llr))))) as int) as ml from v_calls", "v_calls")
@@ -297,14 +295,8 @@ def kmer_count(v, spark, sf_dir):
     return v("v_seq").select(F.explode(seq.kmers(F.col("seq"), 5)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-@query("--with k as (select read_id, substr(seq, 1, 8) as kmer from v_seq where len(seq) >= 8) select read_id, kmer, list_reduce(string_split(kmer, ''), lambda a, b: a * 4 + instr('ACGT', b) - 1, 0::bigint) as rank from k", "v_seq")
-def kmer_rank(v, spark, sf_dir):
-    kmer = F.substring("seq", 1, 8)
-    return v("v_seq").filter(F.length("seq") >= 8).select("read_id", kmer.alias("kmer"), seq.kmer_rank(kmer).alias("rank"))
-
-
 @query("--with k as (select read_id, unnest(list_transform(range(1, cast(len(seq) as bigint) - 6), lambda i: substr(seq, i, 8))) as kmer from v_seq where len(seq) >= 8) select read_id, kmer, list_reduce(list_transform(string_split(kmer, ''), lambda b: cast(instr('ACGT', b) - 1 as bigint)), lambda a, b: a * 4 + b) as rank from k", "v_seq")
-def kmer_rank_all(v, spark, sf_dir):
+def kmer_rank(v, spark, sf_dir):
     kmers = v("v_seq").select("read_id", F.explode(seq.kmers(F.col("seq"), 8)).alias("kmer"))
     return kmers.select("read_id", "kmer", seq.kmer_rank(F.col("kmer")).alias("rank"))
 
@@ -384,19 +376,10 @@ def nearest_event(v, spark, sf_dir):
     return rangejoin.nearest(slots, ["read_id"], "k_idx", "ev")
 
 
-@query("""--with w as (select distinct read_id, ref_pos - 3 as s, ref_pos + 40 as e from v_events where event_idx % 5 = 0), p as (select read_id, ref_pos, min(event_idx) as v from v_events group by all)
-select w.read_id, s as start_pos, e as end_pos, arg_min(v, ref_pos) filter (ref_pos >= s) as first_value, arg_min(v, ref_pos) filter (ref_pos >= e) as last_value,
- coalesce(count(*) filter (ref_pos >= s) > 0 and count(*) filter (ref_pos >= e) > 0 and min(ref_pos) <= s, false) as bounded from w join p on p.read_id = w.read_id group by w.read_id, w.s, w.e""", "v_events")
-def lower_bound_lookup(v, spark, sf_dir):
-    e = v("v_events")
-    windows = e.filter("event_idx % 5 = 0").select("read_id", (F.col("ref_pos") - 3).alias("start_pos"), (F.col("ref_pos") + 40).alias("end_pos")).distinct()
-    return rangejoin.lower_bound(e, windows, ["read_id"], "ref_pos", "event_idx", "start_pos", "end_pos")
-
-
 @query("""--with w as (select distinct read_id, ref_pos - 3 as s, ref_pos + 40 as e from v_events), p as (select read_id, ref_pos, min(event_idx) as v from v_events group by all)
 select w.read_id, s as start_pos, e as end_pos, arg_min(v, ref_pos) filter (ref_pos >= s) as first_value, arg_min(v, ref_pos) filter (ref_pos >= e) as last_value,
  coalesce(count(*) filter (ref_pos >= s) > 0 and count(*) filter (ref_pos >= e) > 0 and min(ref_pos) <= s, false) as bounded from w join p on p.read_id = w.read_id group by w.read_id, w.s, w.e""", "v_events")
-def lower_bound_lookup_all(v, spark, sf_dir):
+def lower_bound_lookup(v, spark, sf_dir):
     e = v("v_events")
     windows = e.select("read_id", (F.col("ref_pos") - 3).alias("start_pos"), (F.col("ref_pos") + 40).alias("end_pos")).distinct()
     return rangejoin.lower_bound(e, windows, ["read_id"], "ref_pos", "event_idx", "start_pos", "end_pos")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _FREQ, _strand_counts, query
+from .catalog import _COUNTS, _FREQ, _strand_counts, query
 from .functions import stats
 from .operators import hmm, islands, signal
 from .plans import calling, consensus, polya, training
@@ -51,9 +51,15 @@ def em_mixture(v, spark, sf_dir):
     return training.mixtures(e.select("kmer", F.col("mean").alias("x"), (1 + (F.col("event_idx") % 5) / 10).alias("read_var"), "level_mean", "level_stdv"), least=10)
 
 
-@query()
+_HYPER = "lgamma(a + b + 1.0) + lgamma(c + d + 1.0) + lgamma(a + c + 1.0) + lgamma(b + d + 1.0) - lgamma(a + b + c + d + 1.0)"
+_TABLE = "lgamma(x + 1.0) + lgamma(a + b - x + 1.0) + lgamma(a + c - x + 1.0) + lgamma(d - a + x + 1.0)"
+
+
+@query(f"""--with n as ({_COUNTS}), t as (select site, a, {_HYPER} as m, {_HYPER} - ({_TABLE.replace("x", "a")}) as own, b, c, d from n),
+x as (select site, own, m, a, b, c, d, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) as x from t), p as (select site, own, m - ({_TABLE}) as lp from x)
+select site, round(least(1000.0, -10 * log10(least(1.0, sum(case when lp <= own + 1e-7 then exp(lp) else 0 end)))) + 0.0, 5) as fisher from p group by site""", "v_calls")
 def fisher_strand(v, spark, sf_dir):
-    return _strand_counts(v).select("site", stats.fisher_phred(*map(F.col, "abcd")).alias("fisher"))
+    return _strand_counts(v).select("site", F.round(stats.fisher_phred(*map(F.col, "abcd")), 5).alias("fisher"))
 
 
 @query()
@@ -99,7 +105,18 @@ def haplotype_scores(v, spark, sf_dir):
     return calling.score_haplotypes(e, hap, _modified_model(v), 3)
 
 
-@query()
+def _density(n: str) -> str:
+    a = f"(2.461964 * {n})"
+    return f"{a} * ln(2.0) - lgamma({a}) + ({a} - 1) * ln(duration) - 2.0 * duration"
+
+
+@query(f"""--with r as (select contig, regexp_extract_all(seq, 'A+|C+|G+|T+') as runs from v_ref), e as (select contig, unnest(range(1, len(runs) + 1)) as i, unnest(runs) as run from r),
+s as (select contig, i, cast(len(run) as bigint) as length, cast(coalesce(sum(len(run)) over (partition by contig order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as start_pos from e),
+h as (select contig, start_pos, length, cast(length as double) * 1.3 + start_pos % 7 as duration from s where length between 3 and 9),
+t as (select contig, start_pos, length, duration, n, {_density("n")} as score from h, (select unnest(range(3, 10)) as n)),
+g as (select contig, start_pos, length, n, sum(score) as score from t group by all),
+b as (select contig, start_pos, length, arg_max(n, score) as called, max(score) as top, max(score) filter (n = length) as own from g group by all)
+select contig, start_pos, length, case when top - own >= 10 then called else length end as called from b""", "v_ref")
 def homopolymer_lengths(v, spark, sf_dir):
     runs = islands.homopolymers(v("v_ref")).withColumn("duration", F.col("length") * 1.3 + F.col("start_pos") % 7)
     return calling.homopolymer_lengths(runs, F.lit(2.0))

@@ -33,7 +33,7 @@ def base_rank(base: Column, alphabet: str = "nucleotide") -> Column:
 def kmer_rank(kmer: Column, alphabet: str = "nucleotide") -> Column:
     """Place of a k-mer among all of its length, in alphabetical order."""
     bases = ALPHABETS[alphabet][0]
-    return F.aggregate(F.filter(F.split(kmer, ""), lambda b: b != ""), F.lit(0).cast("long"), lambda a, b: a * len(bases) + F.position(b, F.lit(bases)) - 1)
+    return F.conv(F.translate(kmer, bases, "0123456789"[: len(bases)]), len(bases), 10).cast("long")
 
 
 def kmer_at(rank: Column, k: int, alphabet: str = "nucleotide") -> Column:

@@ -98,11 +98,17 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
 
 
 def fisher_phred(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Strand bias as a phred score; 1000 where p underflows."""
-
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        p = np.array([fisher_exact(*map(int, r)) for r in zip(a, b, c, d, strict=True)])
-        return pd.Series(np.where(p > 0, np.minimum(1000.0, -10 * np.log10(np.maximum(p, 1e-300))), 1000.0) + 0.0)
-
-    return run(a, b, c, d)
+    """Strand bias as a phred score of the exact two-sided p; 1000 where p underflows."""
+    n, row, col = a + b + c + d, a + b, a + c
+    f = lambda x: lgamma(x + 1.0)  # noqa: E731  log of the factorial
+    # As a variable of an outer function the margins' part and the table's own probability are taken once.
+    margins = f(row) + f(n - row) + f(col) + f(n - col) - f(n)
+    log_p = lambda m, x: m - f(x) - f(row - x) - f(col - x) - f(n - row - col + x)
+    every = F.sequence(F.greatest(F.lit(0).cast("long"), row + col - n), F.least(row, col))
+
+    def p(m):
+        own = log_p(m, a) + 1e-7
+        return F.aggregate(every, F.lit(0.0), lambda s, x: s + F.when(log_p(m, x) <= own, F.exp(log_p(m, x))).otherwise(0.0))
+
+    total = F.least(F.lit(1.0), F.get(F.transform(F.array(margins), p), F.lit(0)))
+    return F.when(n == 0, 0.0).when(total > 0, F.least(F.lit(1000.0), -10 * F.log10(total)) + 0.0).otherwise(1000.0)

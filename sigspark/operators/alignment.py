@@ -39,15 +39,18 @@ def depth(alignments: DataFrame, by: list[str], bin_size: int = BIN) -> DataFram
     return carried(change, by, "d", "_n").select(*by, "pos", (F.col("_n") + F.sum("d").over(w)).cast("long").alias("depth"))
 
 
+def bases_of(seqs: DataFrame, key: str, position: str, base: str) -> DataFrame:
+    """A row for each base of each sequence."""
+    return seqs.select(key, F.posexplode(F.regexp_extract_all("seq", F.lit("(?s)."), F.lit(0))).alias("_p", base)).select(key, F.col("_p").cast("long").alias(position), base)
+
+
 def alleles(pairs: DataFrame, reads: DataFrame, ref: DataFrame, least_depth: int = 20, least_share: float = 0.2) -> DataFrame:
-    """Substitutions that a share of the reads at a position show. pairs: read_id, contig, ref_pos, read_pos. Depth and counts
-    come from one aggregation by position and base."""
-    read_base = F.expr("substring(read_seq, cast(read_pos as int) + 1, 1)")
-    ref_base = F.expr("substring(ref_seq, cast(ref_pos as int) + 1, 1)")
-    joined = pairs.join(reads.select("read_id", F.col("seq").alias("read_seq")), "read_id").join(ref.select("contig", F.col("seq").alias("ref_seq")), "contig")
-    counts = joined.select("contig", "ref_pos", ref_base.alias("ref"), read_base.alias("alt")).filter("ref <> '' and alt <> ''").groupBy("contig", "ref_pos", "ref", "alt").agg(F.count("*").alias("n"))
+    """Substitutions that a share of the reads at a position show. pairs: read_id, contig, ref_pos, read_pos. Bases, not sequences,
+    are joined to pairs; they are counted by position and base before the reference's base is looked up."""
+    seen = pairs.select("read_id", "contig", F.col("ref_pos").cast("long").alias("ref_pos"), F.col("read_pos").cast("long").alias("read_pos")).join(bases_of(reads, "read_id", "read_pos", "alt"), ["read_id", "read_pos"])
+    counts = seen.groupBy("contig", "ref_pos", "alt").agg(F.count("*").alias("n")).join(bases_of(ref, "contig", "ref_pos", "ref"), ["contig", "ref_pos"])
     total = F.sum("n").over(Window.partitionBy("contig", "ref_pos"))
-    out = counts.withColumn("depth", total).withColumn("share", F.col("n") / F.col("depth"))
+    out = counts.select("contig", "ref_pos", "ref", "alt", "n", total.alias("depth")).withColumn("share", F.col("n") / F.col("depth"))
     return out.filter((F.col("ref") != F.col("alt")) & (F.col("depth") >= least_depth) & (F.col("share") >= least_share))
 
 

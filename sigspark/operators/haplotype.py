@@ -25,8 +25,9 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
 def single_base_edits(ref: DataFrame) -> DataFrame:
     """Every substitution, insertion after a base (not of that base) and deletion of a base (not where it repeats)."""
     bases = F.array(*map(F.lit, "ACGT"))
-    chars = F.filter(F.split("seq", ""), lambda b: b != "")
-    at = ref.select("contig", "seq", F.posexplode(chars).alias("i", "base")).withColumn("next", F.expr("substring(seq, i + 2, 1)"))
+    # Each base with the next one, in one pass over the sequence.
+    two = F.regexp_extract_all("seq", F.lit("(?s)(?=(.{1,2}))"), F.lit(1))
+    at = ref.select("contig", F.posexplode(two).alias("i", "two")).select("contig", "i", F.substring("two", 1, 1).alias("base"), F.substring("two", 2, 1).alias("next"))
     subs = F.transform(F.filter(bases, lambda b: b != F.col("base")), lambda b: F.struct(F.col("i").cast("long").alias("pos"), F.col("base").alias("ref"), b.alias("alt")))
     ins = F.transform(F.filter(bases, lambda b: b != F.col("base")), lambda b: F.struct(F.col("i").cast("long").alias("pos"), F.col("base").alias("ref"), F.concat("base", b).alias("alt")))
     gone = F.filter(F.array(F.struct(F.col("i").cast("long").alias("pos"), F.concat("base", "next").alias("ref"), F.col("base").alias("alt"))), lambda _: (F.col("next") != "") & (F.col("next") != F.col("base")))

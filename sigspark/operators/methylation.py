@@ -20,11 +20,20 @@ def frequency(calls: DataFrame, threshold: float = 2.0) -> DataFrame:
 
 
 def split_groups(calls: DataFrame, motif: str = "CG") -> DataFrame:
-    """One call of one motif for each motif in a group's sequence, at its place relative to the first; single motifs stay.
-    Where many calls share a sequence, their places may come as a column at instead."""
-    at = F.col("at") if "at" in calls.columns else motif_positions(F.col("sequence"), motif)
-    many = calls.filter("num_motifs > 1").withColumn("at", at).withColumn("p", F.explode("at"))
-    start = F.col("start_pos") + F.col("p") - F.element_at("at", 1)
+    """One call of one motif for each motif in a group's sequence, at its place relative to the first; single motifs stay."""
+    many = calls.filter("num_motifs > 1").withColumn("at", motif_positions(F.col("sequence"), motif)).withColumn("p", F.explode("at"))
+    return _placed(calls, many.withColumn("p", F.col("p") - F.element_at("at", 1)))
+
+
+def split_by_places(calls: DataFrame, places: DataFrame, on: str = "read_id") -> DataFrame:
+    """The same where many calls share a sequence: places (on, pos) are its motifs', found once."""
+    first = places.groupBy(on).agg(F.min("pos").alias("_first"))
+    rows = places.join(first, on).select(on, (F.col("pos") - F.col("_first")).alias("p"))
+    return _placed(calls, calls.filter("num_motifs > 1").join(rows, on))
+
+
+def _placed(calls: DataFrame, many: DataFrame) -> DataFrame:
+    start = F.col("start_pos") + F.col("p")
     many = many.select("read_id", "chromosome", start.alias("start_pos"), start.alias("end_pos"), F.lit(1).alias("num_motifs"), "llr")
     return calls.filter("num_motifs <= 1").select("read_id", "chromosome", "start_pos", "end_pos", "num_motifs", "llr").unionAll(many)
 
@@ -44,7 +53,15 @@ def bisulfite(rows: DataFrame) -> DataFrame:
 
 
 def motif_scan(seqs: DataFrame, motif: str, key: str = "read_id") -> DataFrame:
-    return seqs.select(key, F.explode(motif_positions(F.col("seq"), motif)).alias("pos")).select(key, F.col("pos").cast("long").alias("pos"))
+    """Where the motif stands. Of a motif that can't overlap itself, a sequence is cut at its places, and a place is the sum of
+    what lies before it: a row a place, where a look at every position would make one of each base."""
+    if any(motif.startswith(motif[i:]) for i in range(1, len(motif))):
+        return seqs.select(key, F.explode(motif_positions(F.col("seq"), motif)).alias("pos")).select(key, F.col("pos").cast("long").alias("pos"))
+    parts = F.split(F.col("seq"), f"[{motif[0]}]{motif[1:]}")
+    cut = seqs.select(key, F.monotonically_increasing_id().alias("_row"), F.slice(parts, F.lit(1), F.size(parts) - 1).alias("_parts")).select(key, "_row", F.posexplode("_parts").alias("_i", "_part"))
+    cut = cut.select(key, "_row", "_i", (F.length("_part") + len(motif)).cast("long").alias("_n")).repartition(key)
+    w = Window.partitionBy(key, "_row").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    return cut.select(key, (F.sum("_n").over(w) - len(motif)).alias("pos"))
 
 
 def motif_groups(sites: DataFrame, key: str = "read_id", min_separation: int = 10) -> DataFrame:
@@ -75,6 +92,14 @@ def mm_tags(sites: DataFrame, seqs: DataFrame, base: str = "C", key: str = "read
     return deltas.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "delta"))), lambda x: x["delta"].cast("string")), ",").alias("mm"))
 
 
+def mm_tag(seq: Column, motif: str = "CG") -> Column:
+    """The deltas where every motif is called, at its first base: such bases in what lies between the motifs. One pass over a
+    sequence, nothing is joined; null where there is no motif."""
+    parts = F.split(seq, f"[{motif[0]}]{motif[1:]}")
+    skipped = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: (F.length(x) - F.length(F.replace(x, F.lit(motif[0])))).cast("string"))
+    return F.when(F.size(parts) > 1, F.array_join(skipped, ","))
+
+
 def ml_value(llr: Column) -> Column:
     """Probability byte of a call with this log-likelihood ratio."""
     return as_byte(modification_probability(llr, F.lit(0.0)))

@@ -37,9 +37,15 @@ def match_log_prob(level: Column, model_mean: Column, model_stdv: Column) -> Col
     return log_normal_pdf(level, model_mean, model_stdv)
 
 
-def with_model(events: DataFrame, model: DataFrame, rank: str = "kmer_rank") -> DataFrame:
-    """Events with their k-mer's state. A model has a row for each k-mer, 4,096 for six bases; it is broadcast up to ten."""
-    return events.join(model.withColumnRenamed("rank", rank), rank)
+def with_model(events: DataFrame, model: DataFrame, rank: str = "kmer_rank", how: str = "inner") -> DataFrame:
+    """Events with their k-mer's state. A model has a row for each k-mer, 4,096 for six bases; it is broadcast up to ten. how:
+    left keeps events whose k-mer the model lacks, with nulls."""
+    return events.join(model.withColumnRenamed("rank", rank), rank, how)
+
+
+def from_model_set(asked: DataFrame, models: DataFrame, key: tuple[str, ...] = ("kit", "alphabet", "strand", "k")) -> DataFrame:
+    """The model of each composite key asked for; nulls where the set has none."""
+    return asked.join(models, [*key], "left")
 
 
 def standardised(level: Column, model_mean: Column, model_stdv: Column, var: Column) -> Column:

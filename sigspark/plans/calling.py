@@ -45,8 +45,9 @@ def score_sites(events: DataFrame, ref: DataFrame, model: DataFrame, alphabet: s
     key = ["contig", "start_pos"]
     work = work.join(levels(work, model, "plain", k, "plain", key), key).join(levels(work, model, "modified", k, "modified", key), key)
     spans = events.groupBy("read_id", "contig").agg(F.min("ref_pos").alias("first"), F.max("ref_pos").alias("last"))
-    inside = rangejoin.points_in_intervals(work, spans, ["contig"], "sub_start", "first", "last").filter("sub_end <= last")
-    near = events.join(inside.select("read_id", "contig", "start_pos", "sub_start", "sub_end"), ["read_id", "contig"]).filter("ref_pos between sub_start and sub_end")
+    # Reads are laid into bins of their own order of length, a group's events into bins of a group's.
+    inside = rangejoin.points_in_intervals(work, spans, ["contig"], "sub_start", "first", "last", bin_size=1 << 13).filter("sub_end <= last")
+    near = rangejoin.points_in_intervals(events, inside.select("read_id", "contig", "start_pos", "sub_start", "sub_end"), ["read_id", "contig"], "ref_pos", "sub_start", "sub_end", bin_size=256)
     means = near.groupBy("read_id", "contig", "start_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_idx", "mean"))), lambda x: x["mean"]).alias("means"))
     rows = means.filter(F.size("means") > 10).join(work, key)
 

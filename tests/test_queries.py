@@ -63,7 +63,7 @@ def test_repeats_itself(spark, name):
 
 
 def test_all_kmers_and_windows(spark):
-    got = {n: catalog.queries()[n](spark, DATA) for n in ("kmer_rank_all", "lower_bound_lookup_all")}
+    got = {n: catalog.queries()[n](spark, DATA) for n in ("kmer_rank", "lower_bound_lookup")}
     v = lambda name: view(spark, DATA, name)
-    assert got["kmer_rank_all"].count() == v("v_seq").selectExpr("sum(greatest(length(seq) - 7, 0))").first()[0]
-    assert got["lower_bound_lookup_all"].count() == v("v_events").select("read_id", "ref_pos").distinct().count()
+    assert got["kmer_rank"].count() == v("v_seq").selectExpr("sum(greatest(length(seq) - 7, 0))").first()[0]
+    assert got["lower_bound_lookup"].count() == v("v_events").select("read_id", "ref_pos").distinct().count()
