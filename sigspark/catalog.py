@@ -359,8 +359,9 @@ def allele_pileup(v, spark, sf_dir):
     n = ref.select(F.count("*").alias("n"))
     lengths = ref.select("contig", F.length("seq").alias("size"))
     placed = reads_.join(F.broadcast(n)).withColumn("contig", F.col("read_id") % F.col("n")).join(lengths, "contig")
-    pairs = placed.select("read_id", "contig", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.length("seq"), F.col("size")).cast("long") - 1)).alias("ref_pos")).withColumn("read_pos", F.col("ref_pos"))
-    return alignment.alleles(pairs, reads_, ref)
+    zero = F.lit(0).cast("long")
+    blocks = placed.select("read_id", "contig", zero.alias("ref_pos"), zero.alias("read_pos"), F.least(F.length("seq"), F.col("size")).cast("long").alias("n"))
+    return alignment.alleles(blocks, reads_, ref)
 
 
 @query("select a.read_id, a.contig, a.start_pos, a.end_pos, v.pos, v.ref, v.alt from v_aln a join v_var v on v.contig = a.contig and v.pos between a.start_pos and a.end_pos", "v_aln", "v_var")

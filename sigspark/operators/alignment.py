@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .islands import BIN, carried
@@ -39,16 +39,24 @@ def depth(alignments: DataFrame, by: list[str], bin_size: int = BIN) -> DataFram
     return carried(change, by, "d", "_n").select(*by, "pos", (F.col("_n") + F.sum("d").over(w)).cast("long").alias("depth"))
 
 
-def bases_of(seqs: DataFrame, key: str, position: str, base: str) -> DataFrame:
-    """A row for each base of each sequence."""
-    return seqs.select(key, F.posexplode(F.regexp_extract_all("seq", F.lit("(?s)."), F.lit(0))).alias("_p", base)).select(key, F.col("_p").cast("long").alias(position), base)
+def aligned_blocks(alignments: DataFrame) -> DataFrame:
+    """Stretches of aligned bases, one row each: read_id, contig, where it begins on both (ref_pos, read_pos), and its length n."""
+    ops = cigar_ops(alignments).filter(F.col("op").isin("M", "=", "X"))
+    return ops.select("read_id", "contig", (F.col("pos") + F.col("ref")).alias("ref_pos"), F.col("read").alias("read_pos"), "n")
+
+
+def bases_at(rows: DataFrame, keep: list[str], text: Column, start: Column, base: str) -> DataFrame:
+    """A row for each base of a text whose first one lies at start: keep, ref_pos, base."""
+    return rows.select(*keep, start.alias("_s"), F.posexplode(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).alias("_p", base)).select(*keep, (F.col("_s") + F.col("_p")).cast("long").alias("ref_pos"), base)
 
 
-def alleles(pairs: DataFrame, reads: DataFrame, ref: DataFrame, least_depth: int = 20, least_share: float = 0.2) -> DataFrame:
-    """Substitutions that a share of the reads at a position show. pairs: read_id, contig, ref_pos, read_pos. Bases, not sequences,
-    are joined to pairs; they are counted by position and base before the reference's base is looked up."""
-    seen = pairs.select("read_id", "contig", F.col("ref_pos").cast("long").alias("ref_pos"), F.col("read_pos").cast("long").alias("read_pos")).join(bases_of(reads, "read_id", "read_pos", "alt"), ["read_id", "read_pos"])
-    counts = seen.groupBy("contig", "ref_pos", "alt").agg(F.count("*").alias("n")).join(bases_of(ref, "contig", "ref_pos", "ref"), ["contig", "ref_pos"])
+def alleles(blocks: DataFrame, reads: DataFrame, ref: DataFrame, least_depth: int = 20, least_share: float = 0.2) -> DataFrame:
+    """Substitutions that a share of the reads at a position show. blocks: as aligned_blocks gives them. A read's sequence is joined
+    to its few blocks; their bases are counted by position before anything else moves, and only then the reference's base at each
+    is looked up."""
+    part = F.expr("substring(seq, cast(read_pos as int) + 1, cast(n as int))")
+    seen = bases_at(blocks.join(reads.select("read_id", "seq"), "read_id"), ["contig"], part, F.col("ref_pos"), "alt")
+    counts = seen.groupBy("contig", "ref_pos", "alt").agg(F.count("*").alias("n")).join(bases_at(ref, ["contig"], F.col("seq"), F.lit(0), "ref"), ["contig", "ref_pos"])
     total = F.sum("n").over(Window.partitionBy("contig", "ref_pos"))
     out = counts.select("contig", "ref_pos", "ref", "alt", "n", total.alias("depth")).withColumn("share", F.col("n") / F.col("depth"))
     return out.filter((F.col("ref") != F.col("alt")) & (F.col("depth") >= least_depth) & (F.col("share") >= least_share))
