@@ -29,7 +29,7 @@ def query(text: str | None = None, *views: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_dp  # noqa: F401  registers the grouped functions' queries
+    from . import catalog_calls, catalog_dp  # noqa: F401  register their queries
 
     return _QUERIES
 

@@ -72,6 +72,10 @@ def disambiguate(seq: Column) -> Column:
     return F.translate(F.upper(seq), "MRWSYKVHDBN", "AAACCGAAACA")
 
 
+def without_gaps(seq: Column) -> Column:
+    return F.replace(seq, F.lit("-"), F.lit(""))
+
+
 def to_dna(seq: Column) -> Column:
     return F.replace(seq, F.lit("U"), F.lit("T"))
 

@@ -80,8 +80,8 @@ def within_kmers(pairs: DataFrame, read_length: str, k: int) -> DataFrame:
 
 
 def last_pair(pairs: DataFrame, by: list[str], limit: str) -> DataFrame:
-    """The last pair at or before a reference position, by group."""
-    return pairs.filter(F.col("ref_pos") <= F.col(limit)).groupBy(*by).agg(F.max("ref_pos").alias("ref_pos"), F.max_by("read_pos", "ref_pos").alias("read_pos"))
+    """The last pair at or before a reference position, by group; of several there the last on the read."""
+    return pairs.filter(F.col("ref_pos") <= F.col(limit)).groupBy(*by).agg(F.max("ref_pos").alias("ref_pos"), F.max_by("read_pos", F.struct("ref_pos", "read_pos")).alias("read_pos"))
 
 
 def events_at(pairs: DataFrame, positions: DataFrame, by: list[str]) -> DataFrame:

@@ -56,3 +56,9 @@ def bounded(first_event: Column, last_event: Column, first: Column, last: Column
     n = F.abs(last_event - first_event)
     ok = first_event.isNotNull() & last_event.isNotNull() & (n > 10)
     return F.coalesce(ok & (n / F.abs(last - first) <= most) if strict else ok, F.lit(False))
+
+
+def merged(first: DataFrame, second: DataFrame, value: str, by: str = "read_id") -> DataFrame:
+    """Two alignments of the same events side by side: what each gives an event, null where it doesn't have it."""
+    a, b = (x.select(by, "event_idx", F.col(value).alias(n)) for x, n in ((first, "first"), (second, "second")))
+    return a.join(b, [by, "event_idx"], "full").withColumn("same", F.coalesce(F.col("first") == F.col("second"), F.lit(False)))

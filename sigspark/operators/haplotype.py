@@ -85,6 +85,53 @@ def logsum_by(scores: DataFrame, by: list[str], score: str = "score") -> DataFra
     return scores.join(most, by).groupBy(*by).agg((F.max("_most") + F.ln(F.sum(F.exp(F.col(score) - F.col("_most"))))).alias("logsum"))
 
 
+def mixture_by(scores: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+    """The log of the mean likelihood of a group's forms, such as a sequence's modified ones."""
+    most = scores.groupBy(*by).agg(F.max(score).alias("_most"))
+    total = F.ln(F.sum(F.exp(F.col(score) - F.col("_most")))) - F.ln(F.count("*"))
+    return scores.join(most, by).groupBy(*by).agg((F.max("_most") + total).alias("mixture"))
+
+
+def thresholded(scores: DataFrame, by: list[str], order: str, score: str = "score", threshold: float = 100.0) -> DataFrame:
+    """A group's score summed read by read until its size reaches the threshold; later reads don't count."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = scores.withColumn("_sum", F.sum(score).over(w)).withColumn("_i", F.count("*").over(w))
+    met = F.abs("_sum") >= threshold
+    rank = F.when(met, -F.col("_i"))
+    return run.groupBy(*by).agg(F.coalesce(F.max_by("_sum", rank), F.max_by("_sum", "_i")).alias("score"), F.coalesce(F.min(F.when(met, F.col("_i"))), F.max("_i")).alias("n_reads"))
+
+
+def sub_haplotype(ref_seq: Column, changes: Column, start: Column, end: Column) -> Column:
+    """A haplotype between two reference positions, both included, as a struct start_pos, end_pos, seq. changes: its variants in order of
+    position, an array of structs pos, ref, alt that don't overlap. A bound inside a change moves out of it: to the base before
+    and to the base behind. Null where there is none."""
+    size = F.length(ref_seq)
+    past = lambda v: v["pos"] + F.length(v["ref"])
+    inside = lambda a, v: (a >= v["pos"]) & (a < past(v))
+    a = F.aggregate(F.reverse(changes), start.cast("long"), lambda a, v: F.when(inside(a, v), v["pos"] - 1).otherwise(a).cast("long"))
+    b = F.aggregate(changes, end.cast("long"), lambda b, v: F.when(inside(b, v), past(v)).otherwise(b).cast("long"))
+
+    def cut(a, b):
+        step = F.struct(a.alias("at"), F.lit("").alias("out"))
+        own = F.filter(changes, lambda v: (v["pos"] >= a) & (v["pos"] <= b))
+        f = F.aggregate(own, step, lambda s, v: F.struct(past(v).cast("long").alias("at"), F.concat(s["out"], F.substring(ref_seq, (s["at"] + 1).cast("int"), (v["pos"] - s["at"]).cast("int")), v["alt"]).alias("out")))
+        return F.struct(a.alias("start_pos"), b.alias("end_pos"), F.concat(f["out"], F.substring(ref_seq, (f["at"] + 1).cast("int"), (b + 1 - f["at"]).cast("int"))).alias("seq"))
+
+    return F.when((a >= 0) & (b < size) & (a <= b), cut(a, b))
+
+
+def product(lists: list[Column], *keep: str):
+    """Selects every choice of one item from each list, first lists first: a function of a DataFrame with columns keep, choice."""
+
+    def of(df: DataFrame) -> DataFrame:
+        out = df.select(*keep, *[x.alias(f"_l{i}") for i, x in enumerate(lists)])
+        for i in range(len(lists)):
+            out = out.withColumn(f"_x{i}", F.explode(f"_l{i}"))
+        return out.select(*keep, F.array(*[f"_x{i}" for i in range(len(lists))]).alias("choice"))
+
+    return of
+
+
 def support(scores: DataFrame, read: list[str], choice: str, score: str = "score") -> DataFrame:
     """Expected reads for each choice, from each read's posterior over them."""
     w = Window.partitionBy(*read)

@@ -17,8 +17,8 @@ def carried(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     return df.join(total.select(*by, "_bin", F.coalesce(before, F.lit(0)).alias(out)), [*by, "_bin"])
 
 
-def variant_groups(variants: DataFrame, distance: int = 10, most: int = 200, bin_size: int = BIN) -> DataFrame:
-    """Variants of a contig closer than distance to the one before are one group; groups of a span over most are dropped."""
+def grouped(variants: DataFrame, distance: int = 10, bin_size: int = BIN) -> DataFrame:
+    """Variants with group_id: those of a contig no further than distance from the one before are one group."""
     v = variants.withColumn("_bin", F.floor(F.col("pos") / bin_size))
     last = v.groupBy("contig", "_bin").agg(F.max("pos").alias("_last"))
     last = last.select("contig", "_bin", F.lag("_last").over(Window.partitionBy("contig").orderBy("_bin")).alias("_before"))
@@ -26,7 +26,12 @@ def variant_groups(variants: DataFrame, distance: int = 10, most: int = 200, bin
     v = v.join(last, ["contig", "_bin"])
     v = v.withColumn("far", F.coalesce((F.col("pos") - F.coalesce(F.lag("pos").over(w), "_before") > distance).cast("int"), F.lit(1)))
     v = carried(v, ["contig"], "far", "_n").withColumn("group_id", F.col("_n") + F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = v.groupBy("contig", "group_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("n"))
+    return v.drop("_bin", "_before", "far", "_n")
+
+
+def variant_groups(variants: DataFrame, distance: int = 10, most: int = 200, bin_size: int = BIN) -> DataFrame:
+    """Variants of a contig closer than distance to the one before are one group; groups of a span over most are dropped."""
+    out = grouped(variants, distance, bin_size).groupBy("contig", "group_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("n"))
     return out.filter(F.col("end_pos") - F.col("start_pos") <= most)
 
 

@@ -12,11 +12,13 @@ from ..functions.stats import as_byte, modification_probability
 def frequency(calls: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Modified share of each site (chromosome, start_pos, end_pos) over clear calls: those with |llr| at least threshold
     times the motifs in the group. A call counts once for each motif. Group size is the least of the site's calls, which
-    are equal where calls come from one reference."""
+    are equal where calls come from one reference; where calls have a sequence, the group's is that of the first read by name."""
     n = F.col("num_motifs")
     clear = calls.filter(F.abs("llr") >= threshold * n)
-    out = clear.groupBy("chromosome", "start_pos", "end_pos").agg(F.count("*").alias("num_reads"), F.min(n).cast("int").alias("num_motifs_in_group"), F.sum(n).cast("long").alias("called_sites"), F.sum(F.when(F.col("llr") > 0, n).otherwise(0)).cast("long").alias("called_sites_methylated"))
-    return out.withColumn("methylated_frequency", F.col("called_sites_methylated") / F.col("called_sites"))
+    text = [F.min_by("sequence", F.struct("read_id", "sequence")).alias("group_sequence")] if "sequence" in calls.columns else []
+    out = clear.groupBy("chromosome", "start_pos", "end_pos").agg(F.count("*").alias("num_reads"), F.min(n).cast("int").alias("num_motifs_in_group"), F.sum(n).cast("long").alias("called_sites"), F.sum(F.when(F.col("llr") > 0, n).otherwise(0)).cast("long").alias("called_sites_methylated"), *text)
+    share = (F.col("called_sites_methylated") / F.col("called_sites")).alias("methylated_frequency")
+    return out.select(*[c for c in out.columns if c != "group_sequence"], share, *["group_sequence"] * len(text))
 
 
 def split_groups(calls: DataFrame, motif: str = "CG") -> DataFrame:

@@ -71,3 +71,20 @@ def renamed(sequences: DataFrame) -> DataFrame:
 
 def paths_of(index: DataFrame) -> DataFrame:
     return index.select("path").distinct()
+
+
+def first_alignments(alignments: DataFrame, most: int) -> DataFrame:
+    """The first alignments in order of place, as many as asked for."""
+    return alignments.orderBy("contig", "start_pos", "end_pos", "read_id").limit(most)
+
+
+def with_alternatives(sequences: DataFrame, others: DataFrame) -> DataFrame:
+    """Reads whose sequence another base-caller's replaces, where it has one; their events stay as they are."""
+    j = sequences.join(others.select("read_id", F.col("seq").alias("_other")), "read_id", "left")
+    return j.withColumn("replaced", F.col("_other").isNotNull()).withColumn("seq", F.coalesce("_other", "seq")).drop("_other")
+
+
+def counters(tagged: DataFrame, tag: str = "tag") -> DataFrame:
+    """One row: how many reads there are, and how many of each outcome of quality_tag."""
+    n = lambda x: F.count_if(F.col(tag) == x)
+    return tagged.agg(F.count("*").alias("total"), n("PASS").alias("passed"), *[n(x).alias(x.lower()) for x in ("TOO_SHORT", "NO_SIGNAL", "BAD_CALIBRATION", "BAD_RATIO")])

@@ -212,3 +212,30 @@ def drop_k(model: DataFrame) -> DataFrame:
     """The model of k-mers one base shorter: mean of the means, and variance within plus between."""
     g = model.groupBy(F.expr("substring(kmer, 1, length(kmer) - 1)").alias("kmer"))
     return g.agg(F.avg("level_mean").alias("level_mean"), F.sqrt(F.avg(F.col("level_stdv") ** 2) + F.avg(F.col("level_mean") ** 2) - F.avg("level_mean") ** 2).alias("level_stdv"))
+
+
+def longest_read(events: DataFrame, by: str = "read_id") -> DataFrame:
+    """The read of most events; of equals the first by name."""
+    return events.groupBy(by).agg(F.count("*").alias("n_events")).orderBy(F.desc("n_events"), by).limit(1)
+
+
+def collapsed(events: DataFrame, by: str = "read_id") -> DataFrame:
+    """Durations of stretches of events on one position."""
+    w = Window.partitionBy(by).orderBy("event_idx")
+    new = F.when(F.lag("ref_pos").over(w) == F.col("ref_pos"), 0).otherwise(1)
+    run = events.select(by, "event_idx", "dur_us", new.alias("_new")).withColumn("_run", F.sum("_new").over(w))
+    return run.groupBy(by, "_run").agg(F.sum("dur_us").alias("dur_us")).select(by, "dur_us")
+
+
+def segment_moments(samples: DataFrame, tag: str, value: str) -> DataFrame:
+    """Number, mean and deviation of each kind of segment: the likeliest Gaussian."""
+    return samples.groupBy(tag).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stdv"))
+
+
+def tagged_samples(regions: DataFrame) -> DataFrame:
+    """A row for each sample with its region's name. regions: read_id, samples, and the last sample of start, leader, adapter and
+    polya; the tail's last sample counts with what follows it."""
+    i = F.col("sample_idx")
+    rows = regions.select("read_id", "start", "leader", "adapter", "polya", F.posexplode("samples").alias("sample_idx", "sample"))
+    tag = F.when(i < F.col("start") + 1, "START").when(i < F.col("leader") + 1, "LEADER").when(i < F.col("adapter") + 1, "ADAPTER").when(i < F.col("polya"), "POLYA").otherwise("TRANSCRIPT")
+    return rows.select("read_id", "sample_idx", "sample", tag.alias("tag"))

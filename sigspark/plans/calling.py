@@ -71,7 +71,7 @@ def score_haplotypes(reads: DataFrame, haplotypes: DataFrame, model: DataFrame,
         e = hmm.log_normal(np.array(r["means"])[:, None], np.array(r["hap_mean"]), np.array(r["hap_stdv"]))
         return [{n: r[n] for n in ("group_id", "haplotype_id", "read_id")} | {"score": hmm.forward(e, events_per_base, True, True)}] if e.size else []
 
-    return hmm.mapped(work.select("group_id", "haplotype_id", "read_id", "means", "hap_mean", "hap_stdv"), row, "group_id long, haplotype_id long, read_id long, score double")
+    return hmm.mapped(work.select("group_id", "haplotype_id", "read_id", "means", "hap_mean", "hap_stdv"), row, f"group_id {haplotypes.schema['group_id'].dataType.simpleString()}, haplotype_id long, read_id long, score double")
 
 
 def screen(scores: DataFrame, base: int = 0, least: float = 0.0) -> DataFrame:
