@@ -18,14 +18,15 @@ def carried(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
 
 
 def grouped(variants: DataFrame, distance: int = 10, bin_size: int = BIN) -> DataFrame:
-    """Variants with group_id: those of a contig no further than distance from the one before are one group."""
+    """Variants with group_id: those of a contig no further than distance from the one before are one group. Ties don't matter: the
+    frames go by position alone, so all variants of a place are of its group."""
     v = variants.withColumn("_bin", F.floor(F.col("pos") / bin_size))
     last = v.groupBy("contig", "_bin").agg(F.max("pos").alias("_last"))
     last = last.select("contig", "_bin", F.lag("_last").over(Window.partitionBy("contig").orderBy("_bin")).alias("_before"))
-    w = Window.partitionBy("contig", "_bin").orderBy("pos", "ref", "alt")
+    w = Window.partitionBy("contig", "_bin").orderBy("pos")
     v = v.join(last, ["contig", "_bin"])
     v = v.withColumn("far", F.coalesce((F.col("pos") - F.coalesce(F.lag("pos").over(w), "_before") > distance).cast("int"), F.lit(1)))
-    v = carried(v, ["contig"], "far", "_n").withColumn("group_id", F.col("_n") + F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    v = carried(v, ["contig"], "far", "_n").withColumn("group_id", F.col("_n") + F.sum("far").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return v.drop("_bin", "_before", "far", "_n")
 
 

@@ -145,3 +145,20 @@ def test_sub_haplotypes(spark):
     df = spark.createDataFrame([(a, b, ref, changes) for a, b in pairs], "a long, b long, seq string, changes array<struct<pos: long, ref: string, alt: string>>")
     got = {(r.a, r.b): r.h and tuple(r.h) for r in df.select("a", "b", haplotype.sub_haplotype(F.col("seq"), F.col("changes"), F.col("a"), F.col("b")).alias("h")).collect()}
     assert got == {x: brute(*x) for x in pairs}
+
+
+def test_tied_variants_share_a_group(spark):
+    """Equal variants come in any order after a shuffle; whichever is first, all are of their place's group."""
+    from sigspark.operators import islands
+
+    rows = [("c", 7 * i + 30 * (i // 5), "A", "G") for i in range(3000)] * 20
+    v = spark.createDataFrame(rows, "contig string, pos long, ref string, alt string").repartition(16)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that rows are sorted anew behind each join
+    try:
+        got = sorted((r.start_pos, r.end_pos, r.n) for r in islands.variant_groups(v, bin_size=256).collect())
+        numbers = islands.grouped(v, bin_size=256).select("pos", "group_id").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == [(65 * g, 65 * g + 28, 100) for g in range(600)]
+    assert numbers == 3000
