@@ -98,17 +98,26 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
 
 
 def fisher_phred(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Strand bias as a phred score of the exact two-sided p; 1000 where p underflows."""
-    n, row, col = a + b + c + d, a + b, a + c
+    """Strand bias as a phred score of the exact two-sided p; 1000 where p underflows. Tables are walked from the own one to both
+    ends, each by its ratio to the one before, so that a table costs one logarithm; their weights are relative to the own one."""
+    row, col, n = a + b, a + c, a + b + c + d
     f = lambda x: lgamma(x + 1.0)  # noqa: E731  log of the factorial
-    # As a variable of an outer function the margins' part and the table's own probability are taken once.
-    margins = f(row) + f(n - row) + f(col) + f(n - col) - f(n)
-    log_p = lambda m, x: m - f(x) - f(row - x) - f(col - x) - f(n - row - col + x)
-    every = F.sequence(F.greatest(F.lit(0).cast("long"), row + col - n), F.least(row, col))
+    own = f(row) + f(n - row) + f(col) + f(n - col) - f(n) - f(a) - f(b) - f(c) - f(d)
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("s"))
+
+    def side(down, across, near, far):
+        """Sum over the tables that lose from down and across and gain in near and far."""
+
+        def step(v, i):
+            w = v["l"] + F.ln((down - i + 1.0) * (across - i + 1.0) / ((near + i) * (far + i)))
+            # As a variable of an inner function the weight is taken once.
+            return F.get(F.transform(F.array(w), lambda w: F.struct(w.alias("l"), (v["s"] + F.when(w <= 1e-7, F.exp(w)).otherwise(0.0)).alias("s"))), F.lit(0))
 
-    def p(m):
-        own = log_p(m, a) + 1e-7
-        return F.aggregate(every, F.lit(0.0), lambda s, x: s + F.when(log_p(m, x) <= own, F.exp(log_p(m, x))).otherwise(0.0))
+        most = F.least(down, across)
+        steps = F.when(most > 0, F.sequence(zero + 1, F.greatest(most, zero + 1))).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(steps, start, step)["s"]
 
-    total = F.least(F.lit(1.0), F.get(F.transform(F.array(margins), p), F.lit(0)))
-    return F.when(n == 0, 0.0).when(total > 0, F.least(F.lit(1000.0), -10 * F.log10(total)) + 0.0).otherwise(1000.0)
+    total = F.least(F.lit(1.0), F.exp(own) * (1.0 + side(b, c, a, d) + side(a, d, b, c)))
+    scaled = lambda p: F.when(p > 0, F.least(F.lit(1000.0), -10 * F.log10(p)) + 0.0).otherwise(1000.0)
+    return F.when(n == 0, 0.0).otherwise(F.get(F.transform(F.array(total), scaled), F.lit(0)))

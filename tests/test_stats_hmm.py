@@ -160,3 +160,20 @@ def test_mixture_recovers_components():
 def test_common_kmers():
     got = hmm.longest_common_kmers("ACGTACGTTT", "ACGTAGGTTT", 3)
     assert got == sorted(got) and all("ACGTACGTTT"[i : i + 3] == "ACGTAGGTTT"[j : j + 3] for i, j in got)
+
+
+def test_fisher_of_many_reads(spark):
+    """The expression against the NumPy form; a table costs one logarithm, so tables of many reads take little."""
+    import time
+
+    draw = np.random.default_rng(5)
+    rows = [tuple(map(int, draw.integers(0, m, 4))) for m in (3, 12, 60, 500) for _ in range(30)] + [(0, 0, 0, 0), (5, 0, 0, 5), (0, 7, 7, 0), (900, 2, 3, 800)]
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    got = df.select("*", stats.fisher_phred(*map(F.col, "abcd")).alias("q")).collect()
+    for r in got:
+        p = stats.fisher_exact(r.a, r.b, r.c, r.d)
+        assert r.q == pytest.approx(min(1000.0, -10 * math.log10(p)) if p > 0 else 1000.0, abs=1e-6)
+    large = spark.range(40).select(*[(F.lit(40_000) + F.col("id") * k).alias(n) for k, n in enumerate("abcd")])
+    began = time.time()
+    large.select(F.sum(stats.fisher_phred(*map(F.col, "abcd")))).first()
+    assert time.time() - began < 12
