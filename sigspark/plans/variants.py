@@ -103,14 +103,18 @@ def scores(grouped: DataFrame, reads: DataFrame, model: DataFrame, k: int, alpha
 def call(scored: DataFrame, grouped: DataFrame, ploidy: int = 2, least_gain: float = 20.0, genotype_all: bool = False) -> DataFrame:
     """The variants of each group's likeliest set of haplotypes, if it beats the base's by least_gain: group_id, contig, pos, ref, alt,
     quality, total_reads, allele_count, support_fraction, ref_fwd, ref_rev, alt_fwd, alt_rev, fisher, sor, genotype. scored: group_id,
-    haplotype_id (place in combos), read_id, score, rc if known. Of equal sets the first counts. With genotype_all all variants
+    haplotype_id (place in combos), read_id, score, rc if known; or a row a read, with its scores in order as s. Of equal sets the first counts. With genotype_all all variants
     stay, uncalled ones with quality 0, and with genotype '.' where no read spans the group. A read without a score of every
     haplotype says nothing about the sets and is left out. Groups of one haplotype give nothing."""
     rc = F.col("rc") if "rc" in scored.columns else F.lit(False)
     g = grouped.select("group_id", "contig", "variants", F.transform("combos", lambda c: c["items"]).alias("items")).filter(F.size("items") > 1)
-    read = scored.groupBy("group_id", "read_id").agg(F.first(rc).alias("rc"), F.transform(F.array_sort(F.collect_list(F.struct("haplotype_id", "score"))), lambda x: x["score"]).alias("s"))
+    if "s" in scored.columns:
+        read = scored.select("group_id", "read_id", rc.alias("rc"), "s")
+    else:
+        read = scored.groupBy("group_id", "read_id").agg(F.first(rc).alias("rc"), F.transform(F.array_sort(F.collect_list(F.struct("haplotype_id", "score"))), lambda x: x["score"]).alias("s"))
     n_items = g.select("group_id", F.size("items").alias("_n"), "items", F.size("variants").alias("n_variants"))
-    read = read.join(n_items, "group_id").filter(F.size("s") == F.col("_n"))
+    # A sorted join: reads pass by their group one by one, and lie by group for the sums below, which then shuffle nothing.
+    read = read.join(n_items.hint("merge"), "group_id").filter(F.size("s") == F.col("_n"))
 
     # Sets of haplotypes, ascending with repeats: a generator a member, so that a row never holds all of them.
     sets, members = read.select("group_id", "s", "_n"), []

@@ -162,3 +162,14 @@ def test_tied_variants_share_a_group(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert got == [(65 * g, 65 * g + 28, 100) for g in range(600)]
     assert numbers == 3000
+
+
+def test_scores_as_rows_or_arrays(spark):
+    """A row a read with its scores gives the calls that a row a score gives."""
+    draw = np.random.default_rng(4)
+    rows = [(g, r, bool(r % 2), [float(x) for x in draw.normal(0, 6, 2)]) for g in range(4) for r in range(25)]
+    arrays = spark.createDataFrame(rows, "group_id long, read_id long, rc boolean, s array<double>")
+    each = arrays.select("group_id", "read_id", "rc", F.posexplode("s").alias("haplotype_id", "score"))
+    g = spark.range(4).select(F.col("id").alias("group_id"), F.lit("c").alias("contig"), F.expr("array(named_struct('pos', id, 'ref', 'A', 'alt', 'G')) as variants"), F.expr("array(named_struct('items', cast(array() as array<int>)), named_struct('items', array(0))) as combos"))
+    both = [sorted(map(repr, variants.call(x, g, genotype_all=True).drop("support_fraction", "ref_fwd", "ref_rev", "alt_fwd", "alt_rev", "sor", "quality", "fisher").collect())) for x in (arrays, each)]
+    assert both[0] == both[1] and len(both[0]) == 4
