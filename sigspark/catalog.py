@@ -54,8 +54,8 @@ def meth_frequency(v, spark, sf_dir):
 
 @query("--with x as (select c.read_id, chromosome, start_pos, num_motifs, llr, seq as sequence from v_calls c join v_seq s on s.read_id = c.read_id), y as (select *, list_filter(range(0, cast(len(sequence) as bigint)), lambda i: substr(sequence, i + 1, 2) = 'CG') as ats from x where num_motifs > 1), z as (select chromosome, start_pos + unnest(ats) - ats[1] as start_pos, 1 as num_motifs, llr from y), a as (select chromosome, start_pos, start_pos as end_pos, num_motifs, llr from z union all select chromosome, start_pos, start_pos as end_pos, num_motifs, llr from x where num_motifs <= 1) " + _FREQ.format("a"), "v_calls", "v_seq")
 def meth_frequency_split(v, spark, sf_dir):
-    calls = v("v_calls").join(v("v_seq").select("read_id"), "read_id").withColumn("end_pos", F.col("start_pos"))
-    return methylation.frequency(methylation.split_by_places(calls, methylation.motif_scan(v("v_seq"), "CG")))
+    calls = v("v_calls").withColumn("end_pos", F.col("start_pos"))
+    return methylation.frequency(methylation.split_by_places(calls, methylation.motif_places(v("v_seq"), "CG")))
 
 
 @query("""--with a as (select chromosome || ':' || start_pos || '-' || start_pos as key, cast(sum(num_motifs) as bigint) as depth, cast(sum(case when llr > 0 then num_motifs else 0 end) as bigint) as methylated from v_calls where abs(llr) >= 2.0 * num_motifs and num_motifs = 1 group by all),
@@ -81,12 +81,12 @@ def motif_scan(v, spark, sf_dir):
 
 @query("--with " + _MOTIF + _GROUP + " select * from g", "v_seq")
 def motif_groups(v, spark, sf_dir):
-    return methylation.motif_groups(methylation.motif_scan(v("v_seq"), "CG"))
+    return methylation.scanned_groups(v("v_seq"), "CG")
 
 
 @query("--with " + _MOTIF + _GROUP + " select * from g where start_pos - 10 > 10 and end_pos - start_pos <= 200", "v_seq")
 def scoreable_groups(v, spark, sf_dir):
-    return methylation.scoreable_groups(methylation.motif_groups(methylation.motif_scan(v("v_seq"), "CG")))
+    return methylation.scoreable_groups(methylation.scanned_groups(v("v_seq"), "CG"))
 
 
 _CONTEXT = ", x as (select g.read_id, start_pos, end_pos, num_motifs, substr(seq, greatest(start_pos - 5, 0) + 1, end_pos + 7 - greatest(start_pos - 5, 0)) as sequence from g join v_seq s on s.read_id = g.read_id)"
@@ -94,14 +94,12 @@ _CONTEXT = ", x as (select g.read_id, start_pos, end_pos, num_motifs, substr(seq
 
 @query("--with " + _MOTIF + _GROUP + _CONTEXT + " select * from x", "v_seq")
 def site_output_context(v, spark, sf_dir):
-    s = v("v_seq")
-    return methylation.group_context(methylation.motif_groups(methylation.motif_scan(s, "CG")), s)
+    return methylation.scanned_groups(v("v_seq"), "CG", flank=5)
 
 
 @query("--with " + _MOTIF + _GROUP + _CONTEXT + ", y as (select *, list_filter(range(0, cast(len(sequence) as bigint)), lambda i: substr(sequence, i + 1, 2) = 'CG') as ats from x), z as (select read_id, start_pos, ats[1] as f, unnest(ats) as p from y) select read_id, start_pos, start_pos + p - f as pos from z", "v_seq")
 def site_positions(v, spark, sf_dir):
-    s = v("v_seq")
-    return methylation.expand_sites(methylation.group_context(methylation.motif_groups(methylation.motif_scan(s, "CG")), s))
+    return methylation.expand_sites(methylation.scanned_groups(v("v_seq"), "CG", flank=5))
 
 
 @query("--with " + _MOTIF + ", c as (select m.read_id, pos, len(replace(replace(replace(substr(seq, 1, pos), 'A', ''), 'G', ''), 'T', '')) as n from m join v_seq s on s.read_id = m.read_id), d as (select *, n - coalesce(lag(n) over (partition by read_id order by pos) + 1, 0) as delta from c) select read_id, string_agg(cast(delta as varchar), ',' order by pos) as mm from d group by read_id", "v_seq")

@@ -1,16 +1,18 @@
 """Sequence functions as Column expressions, and alphabets with modified bases.
 
-Everything but the functions on partial recognition sites is a native expression. Those (unmethylate, methylation-aware
+Everything but the functions over Arrow's buffers and those on partial recognition sites is a native expression. The latter (unmethylate, methylation-aware
 reverse complement, disambiguate with sites) look at sites that a string's end may cut, and are Python functions wrapped
 as Arrow functions where a Column is asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bases of an alphabet in order; recognition sites, their methylated form, and the complement of that form.
@@ -85,6 +87,74 @@ def motif_positions(seq: Column, motif: str) -> Column:
     return F.filter(F.transform(kmers(seq, len(motif)), lambda x, i: F.when(x == motif, i)), lambda i: i.isNotNull())
 
 
+# ---- over Arrow's buffers: a batch of texts at once, nothing leaves its row ----
+
+
+def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a batch's texts, one behind the other, and where each begins; a null is empty."""
+    text = text.fill_null("").cast(pa.large_string())
+    _, at, data = text.buffers()
+    at = np.frombuffer(at, np.int64, len(text) + 1, text.offset * 8)
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8)), at - at[0]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about most bytes, or one row."""
+    for b in batches:
+        size = buffers(b.column(b.schema.get_field_index(text)))[1]
+        i = 0
+        while i < b.num_rows:
+            n = max(int(np.searchsorted(size, size[i] + most, "right")) - 1 - i, 1)
+            yield b.slice(i, n)
+            i += n
+
+
+def places(text: pa.Array, motif: str) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the motif in a batch of texts, in order: the row, and the start in characters."""
+    data, at = buffers(text)
+    m = motif.encode()
+    n = max(len(data) - len(m) + 1, 0)
+    hit = data[:n] == m[0]
+    for i in range(1, len(m)):
+        hit &= data[i : i + n] == m[i]
+    hit = np.flatnonzero(hit)
+    row = np.searchsorted(at, hit, "right") - 1
+    own = hit + len(m) <= at[row + 1]
+    hit, row = hit[own], row[own]
+    if len(data) and data.max() > 127:
+        before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        return row, before[hit] - before[at[row]]
+    return row, hit - at[row]
+
+
+def ranked_kmers(seqs: DataFrame, k: int, key: str = "read_id", most: int = 1 << 19) -> DataFrame:
+    """Every k-mer of the sequences with its rank, in rows of their reads: key, kmer, rank. The rank of a k-mer with other letters
+    than ACGT is null. A text's k-mers go out in batches of most."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    schema = StructType([seqs.schema[key], StructField("kmer", StringType()), StructField("rank", LongType())])
+    digit = np.full(256, -1, np.int64)
+    digit[list(b"ACGT")] = np.arange(4)
+    power = 4 ** np.arange(k - 1, -1, -1)
+
+    def task(batches):
+        for b in pieces(batches, "seq", most):
+            data, at = buffers(b.column("seq"))
+            if len(data) and data.max() > 127:
+                raise ValueError("k-mers are ranked in ASCII texts alone")
+            for low in range(0, len(data) - k + 1, most):
+                x = np.lib.stride_tricks.sliding_window_view(data[low : low + most + k - 1], k)
+                start = low + np.arange(len(x))
+                row = np.searchsorted(at, start, "right") - 1
+                own = start + k <= at[row + 1]
+                x, row = np.ascontiguousarray(x[own]), row[own]
+                d = digit[x]
+                text = pa.StringArray.from_buffers(len(x), pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * np.int32(k)), pa.py_buffer(x))
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row)), text, pa.array(d @ power, mask=(d < 0).any(axis=1))], names=[key, "kmer", "rank"])
+
+    return seqs.select(key, "seq").mapInArrow(task, schema)
+
+
 # ---- strings whose ends may cut a site ----
 
 

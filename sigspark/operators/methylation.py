@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ..functions.sequence import motif_positions
+from ..functions.sequence import motif_positions, pieces, places
 from ..functions.stats import as_byte, modification_probability
 
 
@@ -28,10 +31,10 @@ def split_groups(calls: DataFrame, motif: str = "CG") -> DataFrame:
 
 
 def split_by_places(calls: DataFrame, places: DataFrame, on: str = "read_id") -> DataFrame:
-    """The same where many calls share a sequence: places (on, pos) are its motifs', found once."""
-    first = places.groupBy(on).agg(F.min("pos").alias("_first"))
-    rows = places.join(first, on).select(on, (F.col("pos") - F.col("_first")).alias("p"))
-    return _placed(calls, calls.filter("num_motifs > 1").join(rows, on))
+    """The same where many calls share a sequence: places (on, at) are its motifs', found once, a row a sequence. Calls without one
+    are left out."""
+    j = calls.join(places, on)
+    return _placed(j, j.filter("num_motifs > 1").withColumn("p", F.explode("at")).withColumn("p", F.col("p") - F.get("at", F.lit(0))))
 
 
 def _placed(calls: DataFrame, many: DataFrame) -> DataFrame:
@@ -55,15 +58,28 @@ def bisulfite(rows: DataFrame) -> DataFrame:
 
 
 def motif_scan(seqs: DataFrame, motif: str, key: str = "read_id") -> DataFrame:
-    """Where the motif stands. Of a motif that can't overlap itself, a sequence is cut at its places, and a place is the sum of
-    what lies before it: a row a place, where a look at every position would make one of each base."""
-    if any(motif.startswith(motif[i:]) for i in range(1, len(motif))):
-        return seqs.select(key, F.explode(motif_positions(F.col("seq"), motif)).alias("pos")).select(key, F.col("pos").cast("long").alias("pos"))
-    parts = F.split(F.col("seq"), f"[{motif[0]}]{motif[1:]}")
-    cut = seqs.select(key, F.monotonically_increasing_id().alias("_row"), F.slice(parts, F.lit(1), F.size(parts) - 1).alias("_parts")).select(key, "_row", F.posexplode("_parts").alias("_i", "_part"))
-    cut = cut.select(key, "_row", "_i", (F.length("_part") + len(motif)).cast("long").alias("_n")).repartition(key)
-    w = Window.partitionBy(key, "_row").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    return cut.select(key, (F.sum("_n").over(w) - len(motif)).alias("pos"))
+    """Where the motif stands: a row a place, key and pos. Found in the row's own batch; nothing is shuffled or sorted."""
+    schema = StructType([seqs.schema[key], StructField("pos", LongType())])
+
+    def task(batches):
+        for b in pieces(batches, "seq"):
+            row, pos = places(b.column("seq"), motif)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row)), pa.array(pos)], names=[key, "pos"])
+
+    return seqs.select(key, "seq").mapInArrow(task, schema)
+
+
+def motif_places(seqs: DataFrame, motif: str, key: str = "read_id") -> DataFrame:
+    """The same as an array for each row: key, at."""
+    schema = StructType([seqs.schema[key], StructField("at", ArrayType(LongType(), False))])
+
+    def task(batches):
+        for b in pieces(batches, "seq"):
+            row, pos = places(b.column("seq"), motif)
+            bounds = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(bounds), pa.array(pos))], names=[key, "at"])
+
+    return seqs.select(key, "seq").mapInArrow(task, schema)
 
 
 def motif_groups(sites: DataFrame, key: str = "read_id", min_separation: int = 10) -> DataFrame:
@@ -74,6 +90,42 @@ def motif_groups(sites: DataFrame, key: str = "read_id", min_separation: int = 1
     return numbered.groupBy(key, "group_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("num_motifs"))
 
 
+def repeated(seqs: DataFrame, key: str = "read_id") -> bool:
+    """Whether two rows have one key; only the keys are read."""
+    return not seqs.groupBy(key).count().filter("count > 1").isEmpty()
+
+
+def scanned_groups(seqs: DataFrame, motif: str, key: str = "read_id", min_separation: int = 10, flank: int | None = None) -> DataFrame:
+    """motif_groups of motif_scan, and with flank group_context of them. Where each key has one row, groups are made in the row's own
+    batch and nothing is shuffled; else places of several rows may share a group, and rows meet by their key."""
+    if repeated(seqs, key):
+        groups = motif_groups(motif_scan(seqs, motif, key), key, min_separation)
+        return groups if flank is None else group_context(groups, seqs, len(motif), flank, key)
+    names = [*(["group_id"] if flank is None else []), "start_pos", "end_pos", "num_motifs"]
+    schema = StructType([seqs.schema[key], *[StructField(n, LongType()) for n in names], *([] if flank is None else [StructField("sequence", StringType())])])
+
+    def task(batches):
+        for b in pieces(batches, "seq"):
+            row, pos = places(b.column("seq"), motif)
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (pos[1:] - pos[:-1] > min_separation)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(row))[: len(first)] - 1
+            of, start, end = row[first], pos[first], pos[last]
+            cols = [b.column(key).take(pa.array(of))]
+            if flank is None:
+                # A row's groups are numbered from 1: a group's place less that of the row's first.
+                cols.append(pa.array(np.arange(len(of)) - np.searchsorted(of, of) + 1))
+            cols += [pa.array(start), pa.array(end), pa.array(last - first + 1)]
+            if flank is not None:
+                text = b.column("seq").to_pylist()
+                cols.append(pa.array([text[r][max(x - flank, 0) : y + len(motif) + flank] for r, x, y in zip(of.tolist(), start.tolist(), end.tolist(), strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    seqs = seqs.select(key, "seq")
+    return (seqs if flank is None else seqs.filter(F.col(key).isNotNull())).mapInArrow(task, schema)  # a context is looked up by key
+
+
 def group_context(groups: DataFrame, seqs: DataFrame, motif_size: int = 2, flank: int = 5, key: str = "read_id") -> DataFrame:
     """The sequence that a group's row shows: flank bases on each side of its motifs, cut at the ends."""
     start = F.greatest(F.col("start_pos") - flank, F.lit(0))
@@ -109,4 +161,13 @@ def ml_value(llr: Column) -> Column:
 
 def expand_sites(groups: DataFrame, key: str = "read_id", motif: str = "CG") -> DataFrame:
     """A row for each motif of a group's sequence (which starts flank bases before start_pos, or at 0)."""
-    return groups.select(key, "start_pos", F.explode(motif_positions(F.col("sequence"), motif)).alias("p"), F.element_at(motif_positions(F.col("sequence"), motif), 1).alias("first")).select(key, "start_pos", (F.col("start_pos") + F.col("p") - F.col("first")).alias("pos"))
+    schema = StructType([groups.schema[key], StructField("start_pos", LongType()), StructField("pos", LongType())])
+
+    def task(batches):
+        for b in pieces(batches, "sequence"):
+            row, p = places(b.column("sequence"), motif)
+            start = b.column("start_pos").take(pa.array(row))
+            pos = start.to_numpy(zero_copy_only=False) + p - p[np.searchsorted(row, row)]
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row)), start, pa.array(pos)], names=[key, "start_pos", "pos"])
+
+    return groups.select(key, "start_pos", "sequence").mapInArrow(task, schema)

@@ -40,7 +40,7 @@ def score_sites(events: DataFrame, ref: DataFrame, model: DataFrame, alphabet: s
     read spans: read_id, contig, start_pos, end_pos, num_motifs, ll_methylated, ll_unmethylated, llr. events: read_id,
     contig, event_idx, mean, ref_pos."""
     motif = seq.ALPHABETS[alphabet][1][0]
-    groups = methylation.scoreable_groups(methylation.motif_groups(methylation.motif_scan(ref, motif, "contig"), "contig", min_separation), min_separation)
+    groups = methylation.scoreable_groups(methylation.scanned_groups(ref, motif, "contig", min_separation), min_separation)
     work = site_work(groups, ref, alphabet)
     key = ["contig", "start_pos"]
     work = work.join(levels(work, model, "plain", k, "plain", key), key).join(levels(work, model, "modified", k, "modified", key), key)

@@ -84,3 +84,28 @@ def test_kmers_and_motifs(spark):
     assert one(spark, seq.motif_positions(F.col("s"), "AA"), s="AAAC") == [0, 1]
     assert one(spark, seq.revcomp(F.col("s")), s="GATGA") == "TCATC"
     assert one(spark, seq.arrow(lambda s: seq.revcomp_text(s, "cpg"))(F.col("s")), s="AMG") == "MGT"
+
+
+def test_places_in_buffers(spark):
+    """Places, groups, contexts and ranked k-mers against plain Python: nulls, empty texts, ends that touch, letters of several bytes;
+    nothing is shuffled."""
+    from sigspark.operators import methylation
+
+    texts = ["", None, "C", "GCG", "CGCG", "ACGTTTTTTTTTTTTCGA", "éCG中CG", "G", "AAAA" * 50 + "CG"]
+    df = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string")
+    want = [(i, p) for i, t in enumerate(texts) for p in range(len(t or "")) if t[p : p + 2] == "CG"]
+    scan = methylation.motif_scan(df, "CG")
+    assert sorted(map(tuple, scan.collect())) == want
+    assert "Exchange" not in scan._jdf.queryExecution().toString() and "Window" not in scan._jdf.queryExecution().toString()
+    assert sorted((r.read_id, p) for r in methylation.motif_places(df, "CG").collect() for p in r["at"]) == want
+    for rows in (df, df.unionAll(df.filter("read_id = 5").withColumn("seq", F.lit("ACGTTTTTCG")))):  # also where a key repeats
+        groups = methylation.motif_groups(methylation.motif_scan(rows, "CG"))
+        got = methylation.scanned_groups(rows, "CG")
+        assert sorted(map(tuple, got.select(groups.columns).collect())) == sorted(map(tuple, groups.collect()))
+        shown = methylation.group_context(groups, rows)
+        assert sorted(map(tuple, methylation.scanned_groups(rows, "CG", flank=5).collect())) == sorted(map(tuple, shown.collect()))
+    assert "Window" not in methylation.scanned_groups(df, "CG")._jdf.queryExecution().toString()
+    bases = spark.createDataFrame([(1, "ACGTACGTT"), (2, ""), (3, None), (4, "TTTNA"), (5, "GG"), (6, "GGG")], "read_id long, seq string")
+    want = [(r.read_id, r.seq[i : i + 3], None if "N" in r.seq[i : i + 3] else int("".join(str("ACGT".index(c)) for c in r.seq[i : i + 3]), 4)) for r in bases.collect() for i in range(len(r.seq or "") - 2)]
+    for most in (1, 4, 1 << 19):
+        assert sorted(map(repr, map(tuple, seq.ranked_kmers(bases, 3, most=most).collect()))) == sorted(map(repr, want))
