@@ -295,8 +295,7 @@ def kmer_count(v, spark, sf_dir):
 
 @query("--with k as (select read_id, unnest(list_transform(range(1, cast(len(seq) as bigint) - 6), lambda i: substr(seq, i, 8))) as kmer from v_seq where len(seq) >= 8) select read_id, kmer, list_reduce(list_transform(string_split(kmer, ''), lambda b: cast(instr('ACGT', b) - 1 as bigint)), lambda a, b: a * 4 + b) as rank from k", "v_seq")
 def kmer_rank(v, spark, sf_dir):
-    kmers = v("v_seq").select("read_id", F.explode(seq.kmers(F.col("seq"), 8)).alias("kmer"))
-    return kmers.select("read_id", "kmer", seq.kmer_rank(F.col("kmer")).alias("rank"))
+    return seq.ranked_kmers(v("v_seq"), 8)
 
 
 @query("--with k as (select read_id, unnest(list_transform(range(1, cast(len(seq) as bigint) - 1), lambda i: substr(seq, i, 3))) as kmer from v_seq where len(seq) >= 3) select read_id, count(*) as n, sum(level_mean) as total from k join v_model using (kmer) group by read_id", "v_seq", "v_model")
