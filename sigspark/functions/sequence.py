@@ -101,7 +101,7 @@ def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts have about most bytes, or one row."""
     for b in batches:
-        size = buffers(b.column(b.schema.get_field_index(text)))[1]
+        size = buffers(b.column(text))[1]
         i = 0
         while i < b.num_rows:
             n = max(int(np.searchsorted(size, size[i] + most, "right")) - 1 - i, 1)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from ..functions.sequence import buffers, pieces
 from .islands import BIN, carried
 
 
@@ -23,11 +28,68 @@ def cigar_ops(alignments: DataFrame) -> DataFrame:
     return alignments.select(*keep, F.explode(ops).alias("o")).select(*keep, "o.*")
 
 
-def aligned_pairs(alignments: DataFrame) -> DataFrame:
-    """Aligned reference and read positions, one row each. Nothing is shuffled: a CIGAR is folded in its row."""
-    ops = cigar_ops(alignments).filter(F.col("op").isin("M", "=", "X"))
+def read_cigars(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The operations of a batch of CIGAR strings, in order: row, letter, length, where it begins on reference and read, segment."""
+    data, at = buffers(text)
+    digit = (data >= 48) & (data <= 57)
+    end = np.flatnonzero(np.isin(data, np.frombuffer(b"MIDNSHP=X", np.uint8)))
+    row = np.searchsorted(at, end, "right") - 1
+    other = np.maximum.accumulate(np.where(digit, -1, np.arange(len(data))))
+    size = end - np.maximum(np.where(end > 0, other[end - 1] + 1, 0), at[row]) if len(end) else end
+    end, row, size = (x[size > 0] for x in (end, row, size))
+    n = np.zeros(len(end), np.int64)
+    for i in range(int(size.max(initial=0))):
+        own = size > i
+        n[own] += (data[end[own] - 1 - i].astype(np.int64) - 48) * 10**i
+    op = data[end]
+
+    def before(x):
+        """The sum over the row's earlier operations."""
+        run = np.cumsum(x) - x
+        return run - run[np.searchsorted(row, row)] if len(run) else run
+
+    on = lambda letters: np.isin(op, np.frombuffer(letters, np.uint8))
+    return row, op, n, before(n * on(b"M=XDN")), before(n * on(b"M=XIS")), before(on(b"N").astype(np.int64))
+
+
+def pair_blocks(alignments: DataFrame) -> DataFrame:
+    """Stretches of aligned positions, one row each: the alignments' columns, segment, where it begins on both (ref0, read0), and its
+    length n. Nothing is shuffled: CIGARs are read in their own batch."""
     keep = [c for c in alignments.columns if c not in ("cigar", "pos")]
-    return ops.select(*keep, "segment", (F.col("pos") + F.col("ref")).alias("ref0"), F.col("read").alias("read0"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select(*keep, "segment", (F.col("ref0") + F.col("i")).alias("ref_pos"), (F.col("read0") + F.col("i")).alias("read_pos"))
+    fields = [StructField("segment", IntegerType()), *[StructField(n, LongType()) for n in ("ref0", "read0", "n")]]
+    schema = StructType([*[alignments.schema[c] for c in keep], *fields])
+
+    def task(batches):
+        for b in pieces(batches, "cigar", 1 << 20):
+            row, op, n, ref, read, segment = read_cigars(b.column("cigar"))
+            m = np.isin(op, np.frombuffer(b"M=X", np.uint8)) & (n > 0)
+            of = pa.array(row[m])
+            start = pc.add(b.column("pos").cast(pa.int64()).take(of), pa.array(ref[m]))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(of) for c in keep], pa.array(segment[m].astype(np.int32)), start, pa.array(read[m]), pa.array(n[m])], names=schema.names)
+
+    return alignments.select(*keep, "pos", "cigar").mapInArrow(task, schema)
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """The blocks' aligned reference and read positions, one row each."""
+    keep = [c for c in blocks.columns if c not in ("ref0", "read0", "n")]
+    return blocks.select(*keep, "ref0", "read0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select(*keep, (F.col("ref0") + F.col("i")).alias("ref_pos"), (F.col("read0") + F.col("i")).alias("read_pos"))
+
+
+def aligned_pairs(alignments: DataFrame) -> DataFrame:
+    """Aligned reference and read positions, one row each. Nothing is shuffled."""
+    return block_pairs(pair_blocks(alignments))
+
+
+def pairs_at(blocks: DataFrame, positions: DataFrame, by: list[str], bin_size: int = 64) -> DataFrame:
+    """Pairs at exactly the positions asked for (by, ref_pos, ...): blocks meet them by bin, so that pairs nobody asked for are never
+    made. A block's row is laid into the bins that it touches."""
+    last = F.col("ref0") + F.col("n") - 1
+    b = blocks.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("ref0") / bin_size), F.floor(last / bin_size))))
+    # A sorted join: a plan's size doesn't show how many rows the CIGARs become, so neither side may be sent to all.
+    j = positions.withColumn("_bin", F.floor(F.col("ref_pos") / bin_size)).hint("merge").join(b, [*by, "_bin"])
+    j = j.filter((F.col("ref_pos") >= F.col("ref0")) & (F.col("ref_pos") <= last)).withColumn("read_pos", F.col("read0") + F.col("ref_pos") - F.col("ref0"))
+    return j.drop("_bin", "ref0", "read0", "n")
 
 
 def depth(alignments: DataFrame, by: list[str], bin_size: int = BIN) -> DataFrame:
@@ -69,13 +131,20 @@ def usable(alignments: DataFrame, least_mapq: int = 20, read_group: str | None =
 
 
 def called_bases(sites: DataFrame, pairs: DataFrame, reads: DataFrame, base: str = "C") -> DataFrame:
-    """Read positions of calls on the reference, where the read has the base: sites (read_id, ref_pos, ...) joined to pairs."""
-    j = sites.join(pairs.select("read_id", "ref_pos", "read_pos"), ["read_id", "ref_pos"]).join(reads.select("read_id", F.col("seq").alias("_seq")), "read_id")
+    """Read positions of calls on the reference, where the read has the base: sites (read_id, ref_pos, ...) joined to pairs, or to
+    blocks as pair_blocks gives them."""
+    if "n" in pairs.columns:
+        met = pairs_at(pairs.select("read_id", "ref0", "read0", "n"), sites, ["read_id"])
+    else:
+        met = sites.join(pairs.select("read_id", "ref_pos", "read_pos"), ["read_id", "ref_pos"])
+    j = met.join(reads.select("read_id", F.col("seq").alias("_seq")), "read_id")
     return j.filter(F.expr("substring(_seq, cast(read_pos as int) + 1, 1)") == base).drop("_seq")
 
 
 def within_kmers(pairs: DataFrame, read_length: str, k: int) -> DataFrame:
-    """Pairs whose read position still begins a k-mer."""
+    """Pairs, or blocks of them cut to size, whose read position still begins a k-mer."""
+    if "read0" in pairs.columns:
+        return pairs.withColumn("n", F.least(F.col("n"), F.col(read_length) - k + 1 - F.col("read0"))).filter("n > 0")
     return pairs.filter(F.col("read_pos") <= F.col(read_length) - k)
 
 

@@ -138,3 +138,22 @@ def test_homopolymer_lengths_sum_over_reads(spark):
     frame = lambda rows: spark.createDataFrame(rows, "contig string, start_pos long, length long, duration double")
     called = lambda rows: [r.called for r in calling.homopolymer_lengths(frame(rows), F.lit(2.0)).collect()]
     assert called(few) == [4] and called(many) == [9]
+
+
+def test_pairs_from_blocks(spark):
+    """CIGARs read from bytes against the fold over their operations; positions meet blocks as they meet single pairs."""
+    from sigspark.operators import alignment
+
+    texts = ["3S10M2I4D100M5N3M", "", None, "*", "0M5M", "12M", "M7=1X2H", "70M1P1D64M", "1000000M"[1:] + "1M", "9Q4M"]
+    a = spark.createDataFrame([(i % 4, i, 60 * i, t) for i, t in enumerate(texts)], "read_id long, line int, pos long, cigar string")
+    ops = alignment.cigar_ops(a).filter(F.col("op").isin("M", "=", "X") & (F.col("n") > 0))
+    want = sorted((r.read_id, r.line, r.segment, r.pos + r.ref, r["read"], r.n) for r in ops.collect())
+    assert sorted((r.read_id, r.line, r.segment, r.ref0, r.read0, r.n) for r in alignment.pair_blocks(a).collect()) == want
+    pairs = [(i, line, s, r + j, q + j) for i, line, s, r, q, n in want for j in range(n)]
+    assert sorted((r.read_id, r.line, r.segment, r.ref_pos, r.read_pos) for r in alignment.aligned_pairs(a).collect()) == sorted(pairs)
+    at = [(i, p) for i in range(4) for p in range(0, 900, 7)]
+    found = alignment.pairs_at(alignment.pair_blocks(a), spark.createDataFrame(at, "read_id long, ref_pos long"), ["read_id"])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.read_id, r.line, r.segment, r.ref_pos, r.read_pos) for r in found.collect()) == sorted(p for p in pairs if (p[0], p[3]) in set(at))
+    cut = alignment.block_pairs(alignment.within_kmers(alignment.pair_blocks(a).withColumn("size", F.lit(40)), "size", 6))
+    assert sorted((r.read_id, r.line, r.ref_pos, r.read_pos) for r in cut.collect()) == sorted((p[0], p[1], p[3], p[4]) for p in pairs if p[4] <= 34)
