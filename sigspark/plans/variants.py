@@ -1,7 +1,7 @@
 """Variant calling from events: groups of candidates, their haplotypes, scores, genotypes; and consensus by rounds of it.
 
-A group's row holds its variants and haplotypes, whose number has a bound; reads are never gathered by group. Sets of
-haplotypes are scored read by read and summed, with partial sums before the shuffle.
+A group's row holds its variants and haplotypes, whose number has a bound; reads pass by their group one by one and are never gathered in a row. Sets of
+haplotypes are scored read by read and summed behind the join by group, without a further shuffle.
 """
 
 from __future__ import annotations
