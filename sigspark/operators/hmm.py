@@ -8,9 +8,11 @@ events times k-mers cells.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Probabilities of skipping a k-mer, of a bad event, of a further skip; of clipping at the ends; background.
@@ -143,73 +145,132 @@ def forward_of_set(emissions: list[np.ndarray], events_per_base: float) -> float
 def banded_align(means: np.ndarray, level_mean: np.ndarray, level_stdv: np.ndarray, bandwidth: int = 100, min_emission: float = -5.0, max_gap: int = 50) -> tuple[list[tuple[int, int]], dict]:
     """Events to k-mers along a band that follows the better of its ends: pairs (k-mer, event), empty if the alignment is
     poor, doesn't reach both ends or jumps too far; and its quality figures."""
-    n, k = len(means), len(level_mean)
-    if not n or not k:
+    if not len(means) or not len(level_mean):
         return [], {"ok": False}
-    half = bandwidth // 2
-    stay = math.log(1 - 1 / (n / k + 1))
+    kmer, event, figures = banded_align_many([(means, level_mean, level_stdv)], bandwidth, min_emission, max_gap)[0]
+    return list(zip(kmer.tolist(), event.tolist(), strict=True)), figures
+
+
+def padded(rows: list[np.ndarray], fill: float = 0.0) -> np.ndarray:
+    """Rows of different lengths as one matrix."""
+    out = np.full((len(rows), max(map(len, rows))), fill)
+    for x, r in zip(out, rows, strict=True):
+        x[: len(r)] = r
+    return out
+
+
+def blocks(cells: list[int], most: int, rows: int = 256) -> Iterator[list[int]]:
+    """The numbers of pieces of work, those of like size together: a block has at most rows of them, and its largest times their number
+    is at most most, or it is one piece."""
+    block: list[int] = []
+    for i in sorted(range(len(cells)), key=cells.__getitem__):
+        if block and (len(block) == rows or cells[i] * (len(block) + 1) > most):
+            yield block
+            block = []
+        block.append(i)
+    if block:
+        yield block
+
+
+def banded_align_many(work: list[tuple], bandwidth: int = 100, min_emission: float = -5.0, max_gap: int = 50) -> list[tuple[np.ndarray, np.ndarray, dict]]:
+    """banded_align of many reads (means, level_mean, level_stdv; none empty), read by read the same: arrays of k-mers and events,
+    and the figures. Reads of like length go along their bands together; of a band's cells only their origins are kept."""
+    out: list = [None] * len(work)
+    for block in blocks([(len(m) + len(a) + 2) * bandwidth for m, a, _ in work], 1 << 25):
+        for i, x in zip(block, _banded_block([work[i] for i in block], bandwidth, min_emission, max_gap), strict=True):
+            out[i] = x
+    return out
+
+
+def _banded_block(work: list[tuple], bandwidth: int, min_emission: float, max_gap: int) -> list[tuple[np.ndarray, np.ndarray, dict]]:
+    means, level_mean, level_stdv = (padded([np.asarray(w[i], dtype=float) for w in work], fill) for i, fill in ((0, 0.0), (1, 0.0), (2, 1.0)))
+    n, k = (np.array([len(w[i]) for w in work]) for i in (0, 1))
+    size, half = len(work), bandwidth // 2
+    per_base = [(a / b + 1) for a, b in zip(n.tolist(), k.tolist(), strict=True)]
     skip, trim = math.log(1e-10), math.log(0.01)
-    step = math.log(1 - math.exp(skip) - math.exp(stay))
-    bands = n + k + 2
-    score = np.full((bands, bandwidth), NONE)
-    origin = np.zeros((bands, bandwidth), dtype=np.uint8)  # 0 diagonal, 1 event alone, 2 k-mer alone
-    event0, kmer0 = np.zeros(bands, dtype=np.int64), np.zeros(bands, dtype=np.int64)  # of the band's lower left cell
+    stays = [math.log(1 - 1 / x) for x in per_base]
+    stay, step = np.array(stays)[:, None], np.array([math.log(1 - math.exp(skip) - math.exp(x)) for x in stays])[:, None]
+    bands = int((n + k).max()) + 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        constant = -LOG_SQRT_2PI - np.log(level_stdv)
+    origin = np.zeros((bands, size, bandwidth), dtype=np.uint8)  # 0 diagonal, 1 event alone, 2 k-mer alone
+    event0, kmer0 = np.zeros((bands, size), dtype=np.int64), np.zeros((bands, size), dtype=np.int64)  # of the band's lower left cell
     event0[0], kmer0[0] = half - 1, -1 - half
-    event0[1], kmer0[1] = event0[0] + 1, kmer0[0]
-    score[0, -1 - kmer0[0]] = 0.0
-    score[1, event0[1]] = trim
-    origin[1, event0[1]] = 1
-    cells = np.arange(bandwidth)
-    for b in range(2, bands):
-        low, high = score[b - 1, 0], score[b - 1, -1]
-        right = b % 2 == 1 if low == NONE and high == NONE else low < high
-        event0[b], kmer0[b] = event0[b - 1] + (not right), kmer0[b - 1] + right
-        t = -1 - kmer0[b]
-        if 0 <= t < bandwidth and 0 <= event0[b] - t < n:
-            score[b, t] = trim * (event0[b] - t + 1)
-            origin[b, t] = 1
-        lo = max(-kmer0[b], event0[b] - (n - 1), 0)
-        hi = min(k - kmer0[b], event0[b] + 1, bandwidth)
-        if lo >= hi:
-            continue
-        o = cells[lo:hi]
-        e, j = event0[b] - o, kmer0[b] + o
-        take = lambda row, at: np.where((at >= 0) & (at < bandwidth), score[row, np.clip(at, 0, bandwidth - 1)], NONE)
-        emit = log_normal(means[e], level_mean[j], level_stdv[j])
-        ways = np.stack([take(b - 2, j - 1 - kmer0[b - 2]) + step + emit, take(b - 1, event0[b - 1] - (e - 1)) + stay + emit, take(b - 1, j - 1 - kmer0[b - 1]) + skip])
-        origin[b, o] = 2 - ways[::-1].argmax(axis=0)
-        score[b, o] = ways.max(axis=0)
-
-    def cell(e, j):
-        b = e + j + 2
+    event0[1], kmer0[1] = half, -1 - half
+    # A band's scores stand between two cells that no path reaches.
+    older, last = np.full((size, bandwidth + 2), NONE), np.full((size, bandwidth + 2), NONE)
+    older[:, 1 + half] = 0.0
+    last[:, 1 + half] = trim
+    origin[1, :, half] = 1
+    cells, reads = np.arange(bandwidth), np.arange(size)
+    event_at, kmer_at = (reads * means.shape[1])[:, None], (reads * level_mean.shape[1])[:, None]
+    ends = np.full(means.shape, NONE)  # scores of the last k-mer's cells
+
+    def ended(b, score):
+        e = b - k - 1
         o = event0[b] - e
-        return (b, o) if 0 <= o < bandwidth else None
-
-    best, event = NONE, 0
-    for e in range(n):
-        c = cell(e, k - 1)
-        if c and (x := score[c] + (n - e) * trim) > best:
-            best, event = x, e
-    kmer, pairs, gap, widest, total = k - 1, [], 0, 0, 0.0
-    while kmer >= 0 and event >= 0:
-        pairs.append((kmer, event))
-        total += float(log_normal(means[event], level_mean[kmer], level_stdv[kmer]))
-        c = cell(event, kmer)
-        if c is None:
-            break
-        o = origin[c]
-        if o == 2:
-            gap += 1
-            widest = max(widest, gap)
-            kmer -= 1
-        else:
-            gap = 0
-            event -= 1
-            kmer -= o == 0
-    pairs.reverse()
-    mean = total / len(pairs)
-    ok = mean >= min_emission and pairs[0][0] == 0 and pairs[-1][0] == k - 1 and widest <= max_gap
-    return (pairs if ok else []), {"ok": ok, "mean_emission": mean, "max_gap": widest, "score": float(best)}
+        r = np.flatnonzero((e >= 0) & (e < n) & (o >= 0) & (o < bandwidth))
+        ends[r, e[r]] = score[r, 1 + o[r]]
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for b in range(2, bands):
+            low, high = last[:, 1], last[:, -2]
+            right = np.where((low == NONE) & (high == NONE), b % 2 == 1, low < high)
+            event0[b], kmer0[b] = event0[b - 1] + ~right, kmer0[b - 1] + right
+            e, j = event0[b][:, None] - cells, kmer0[b][:, None] + cells
+            valid = (e >= 0) & (e < n[:, None]) & (j >= 0) & (j < k[:, None])
+            at_kmer = kmer_at + np.clip(j, 0, (k - 1)[:, None])
+            z = (means.ravel()[event_at + np.clip(e, 0, (n - 1)[:, None])] - level_mean.ravel()[at_kmer]) / level_stdv.ravel()[at_kmer]
+            emit = constant.ravel()[at_kmer] - 0.5 * z * z
+            to_right, moved = right[:, None], (kmer0[b] - kmer0[b - 2])[:, None]
+            diagonal = np.where(moved == 1, older[:, 1:-1], np.where(moved == 2, older[:, 2:], older[:, :-2])) + step + emit
+            event = np.where(to_right, last[:, 2:], last[:, 1:-1]) + stay + emit
+            kmer = np.where(to_right, last[:, 1:-1], last[:, :-2]) + skip
+            best = np.maximum(diagonal, event)
+            o = np.where((event >= diagonal) | (event != event), 1, 0)
+            origin[b] = np.where(valid, np.where((kmer >= best) | (kmer != kmer), 2, o), 0)
+            older, last = last, older
+            last[:, 1:-1] = np.where(valid, np.maximum(best, kmer), NONE)
+            t = -1 - kmer0[b]
+            r = np.flatnonzero((t >= 0) & (t < bandwidth) & (event0[b] - t >= 0) & (event0[b] - t < n))
+            last[r, 1 + t[r]] = trim * (event0[b][r] - t[r] + 1)
+            origin[b, r, t[r]] = 1
+            ended(b, last)
+
+    x = ends + (n[:, None] - np.arange(means.shape[1])) * trim
+    x[np.isnan(x)] = NONE
+    event = x.argmax(axis=1)
+    best = x[reads, event]
+    kmer = k - 1
+    gap, widest = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    going, path = reads, []
+    while len(going):
+        path.append((going, kmer[going], event[going]))
+        b = event[going] + kmer[going] + 2
+        o = event0[b, going] - event[going]
+        inside = (o >= 0) & (o < bandwidth)
+        going, b, o = going[inside], b[inside], o[inside]
+        o = origin[b, going, o]
+        alone = o == 2
+        gap[going] = np.where(alone, gap[going] + 1, 0)
+        widest[going] = np.maximum(widest[going], gap[going])
+        event[going] -= ~alone
+        kmer[going] -= o != 1
+        going = going[(kmer[going] >= 0) & (event[going] >= 0)]
+    r, kmer, event = (np.concatenate(c)[::-1] for c in zip(*path, strict=True))
+    by_read = np.argsort(r, kind="stable")
+    bounds = np.searchsorted(r[by_read], np.arange(size + 1)).tolist()
+    kmer, event = kmer[by_read], event[by_read]
+    r = r[by_read]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = (means[r, event] - level_mean[r, kmer]) / level_stdv[r, kmer]
+        emission = constant[r, kmer] - 0.5 * z * z
+    out = []
+    for i, (a, c) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        mean = float(np.cumsum(emission[a:c][::-1])[-1]) / (c - a)
+        ok = bool(mean >= min_emission and kmer[a] == 0 and widest[i] <= max_gap)
+        out.append((kmer[a : c if ok else a], event[a : c if ok else a], {"ok": ok, "mean_emission": mean, "max_gap": int(widest[i]), "score": float(best[i])}))
+    return out
 
 
 def segment(samples: np.ndarray, mixed_tail: bool = False) -> np.ndarray:
@@ -374,6 +435,46 @@ def mapped(df: DataFrame, row, schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """Each row's numbers; a null row has none, a null number is NaN."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+    return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def by_read(reads: pa.Array, rows: list[int], found: list[tuple]) -> list[pa.Array]:
+    """The reads' names beside what was found for the given rows: a tuple of arrays each, of one length."""
+    if not rows:
+        return []
+    names = reads.take(pa.array(np.repeat(rows, [len(x[0]) for x in found])))
+    return [names, *(pa.array(np.concatenate(c)) for c in zip(*found, strict=True))]
+
+
+def batched(df: DataFrame, rows, schema: str, most: int = 512, values: int = 1 << 21) -> DataFrame:
+    """Runs rows(Arrow batch) -> columns over slices of at most most rows and about so many values of their lists, or one row."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def task(batches):
+        for b in batches:
+            size = np.zeros(b.num_rows, dtype=np.int64)
+            for c in b.columns:
+                if pa.types.is_list(c.type):
+                    size += pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+            size = np.concatenate([[0], np.cumsum(size)])
+            i = 0
+            while i < b.num_rows:
+                n = min(max(int(np.searchsorted(size, size[i] + values, "right")) - 1 - i, 1), most, b.num_rows - i)
+                if out := rows(b.slice(i, n)):
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+                i += n
+
+    return df.mapInArrow(task, schema)
+
+
 def score_reads(work: DataFrame, pre_clip: bool = False, post_clip: bool = False) -> DataFrame:
     """read_id, n_events, n_kmers, forward score, best path's score. work: read_id, means, level_mean, level_stdv (arrays),
     events_per_base."""
@@ -396,11 +497,14 @@ def align_reads(work: DataFrame) -> DataFrame:
 
 
 def align_banded(work: DataFrame, bandwidth: int = 100, min_emission: float = -5.0, max_gap: int = 50) -> DataFrame:
-    def row(r):
-        m, a, b = (np.array(r[k] or [], dtype=float) for k in ("means", "level_mean", "level_stdv"))
-        return [{"read_id": r["read_id"], "kmer_idx": k, "event_idx": e} for k, e in banded_align(m, a, b, bandwidth, min_emission, max_gap)[0]]
-
-    return mapped(work, row, "read_id long, kmer_idx int, event_idx int")
+    def rows(b):
+        reads = b.column("read_id")
+        work = [*zip(*(lists(b.column(c)) for c in ("means", "level_mean", "level_stdv")), strict=True)]
+        some = [i for i, (m, a, _) in enumerate(work) if len(m) and len(a)]
+        found = banded_align_many([work[i] for i in some], bandwidth, min_emission, max_gap)
+        return by_read(reads, some, [(k, e) for k, e, _ in found])
+
+    return batched(work.select("read_id", "means", "level_mean", "level_stdv"), rows, "read_id long, kmer_idx int, event_idx int")
 
 
 def segment_reads(signal: DataFrame, mixed_tail: bool = False) -> DataFrame:
