@@ -22,6 +22,7 @@ LOG_SQRT_2PI = math.log(math.sqrt(2 * math.pi))
 NONE = -np.inf
 M, B, K = 0, 1, 2
 STATE_NAMES = "MBK"
+ALIGNED = "read_id long, event_idx int, kmer_idx int, state string"
 
 
 def log_normal(x: np.ndarray, mean: np.ndarray, stdv: np.ndarray) -> np.ndarray:
@@ -75,31 +76,70 @@ def _score(emission: np.ndarray, lp: dict[str, float], pre_clip: bool, post_clip
     return float(end)
 
 
-def _trace(emission: np.ndarray, lp: dict[str, float], pre_clip: bool, post_clip: bool) -> tuple[np.ndarray, np.ndarray, float]:
-    """All rows of the best paths' scores, their origins, and the best score."""
-    n, k = emission.shape
-    score = np.full((n + 1, 3, k), NONE)
-    origin = np.full((n + 1, 3, k), -1, dtype=np.int8)
-    before, after = flanks(n)
-    end = NONE
-    shift = lambda x: np.concatenate([[NONE], x[:-1]])
-    steps = np.arange(k) * lp["kk"]
-    for r in range(1, n + 1):
-        last = score[r - 1]
-        soft = np.full(k, NONE)
-        if r == 1 or pre_clip:
-            soft[0] = before[r - 1]
-        ways = np.stack([lp["mm_self"] + last[M], lp["mm_next"] + shift(last[M]), lp["bm_self"] + last[B], lp["bm_next"] + shift(last[B]), lp["km"] + shift(last[K]), soft])
-        bad = np.stack([lp["mb"] + last[M], lp["bb"] + last[B]])
-        score[r, M], score[r, B] = ways.max(axis=0) + emission[r - 1], bad.max(axis=0)
-        start = np.maximum(lp["mk"] + shift(score[r, M]), lp["bk"] + shift(score[r, B]))
-        score[r, K] = np.maximum.accumulate(start - steps) + steps
-        skip = np.stack([lp["mk"] + shift(score[r, M]), lp["bk"] + shift(score[r, B]), lp["kk"] + shift(score[r, K])])
-        for state, x in ((M, ways), (B, bad), (K, skip)):
-            origin[r, state] = len(x) - 1 - x[::-1].argmax(axis=0)  # of equals the later
-        if r == n or post_clip:
-            end = max(end, float((score[r, :, k - 1] + after[r - 1]).max()))
-    return score, origin, end
+def _trace(emission, n: np.ndarray, k: np.ndarray, lp: dict[str, np.ndarray], pre_clip: bool, post_clip: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For a block of reads, each with n events and k k-mers: the origins of the best paths' cells (event from 1, read, state,
+    k-mer), -1 where no path leads, and the best scores. emission(i): of all reads' i-th events, reads x most k-mers; what
+    lies beyond a read's own events and k-mers touches none of its cells. Two rows of scores are held."""
+    size, most_n, most_k = len(n), int(n.max()), int(k.max())
+    origin = np.full((most_n + 1, size, 3, most_k), -1, dtype=np.int8)
+    last, row = np.full((3, size, most_k + 1), NONE), np.full((3, size, most_k + 1), NONE)
+    first = flanks(most_n)[0]
+    end = np.full(size, NONE)
+    steps = np.arange(most_k) * lp["kk"]
+
+    def choose(out, *ways):
+        out[:] = ways[0]
+        came = np.zeros(out.shape, dtype=np.int8)
+        for i, x in enumerate(ways[1:], 1):
+            came[x >= out] = i  # of equals the later
+            np.maximum(out, x, out=out)
+        return came
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for r in range(1, most_n + 1):
+            m, b, s = last
+            match, bad, skip = row[:, :, 1:]
+            came = choose(match, lp["mm_self"] + m[:, 1:], lp["mm_next"] + m[:, :-1], lp["bm_self"] + b[:, 1:], lp["bm_next"] + b[:, :-1], lp["km"] + s[:, :-1])
+            if r == 1 or pre_clip:
+                came[first[r - 1] >= match[:, 0], 0] = 5
+                match[:, 0] = np.maximum(match[:, 0], first[r - 1])
+            match += emission(r - 1)
+            origin[r, :, M] = np.where(match > NONE, came, -1)
+            came = choose(bad, lp["mb"] + m[:, 1:], lp["bb"] + b[:, 1:])
+            origin[r, :, B] = np.where(bad > NONE, came, -1)
+            from_m, from_b = lp["mk"] + row[M, :, :-1], lp["bk"] + row[B, :, :-1]
+            start = np.maximum(from_m, from_b)
+            skip[:] = np.maximum.accumulate(start - steps, axis=1) + steps
+            came = np.where(lp["kk"] + row[K, :, :-1] >= start, 2, from_b >= from_m)
+            origin[r, :, K] = np.where(skip > NONE, came, -1)
+            at = np.flatnonzero(n >= r if post_clip else n == r)
+            x = row[:, at, k[at]].max(axis=0) + first[n[at] - r]
+            end[at] = np.where(x > end[at], x, end[at])
+            last, row = row, last
+    return origin, end
+
+
+def _traced(origin: np.ndarray, n: np.ndarray, k: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each read's path back from the last event's match of the last k-mer: arrays of events, k-mers, states, in order."""
+    r, j, s = n.copy(), k - 1, np.zeros(len(n), dtype=np.int64)
+    going, path = np.arange(len(n)), []
+    event, kmer = np.array([[1, 1, 1, 1, 1, 0], [1, 1, 0, 0, 0, 0], [0] * 6]), np.array([[0, 1, 0, 1, 1, 0], [0] * 6, [1, 1, 1, 0, 0, 0]])
+    state = np.array([[M, M, B, B, K, M], [M, B, 0, 0, 0, 0], [M, B, K, 0, 0, 0]])
+    while len(going):
+        o = origin[r[going], going, s[going], j[going]]
+        going, o = going[o >= 0], o[o >= 0]
+        path.append((going, r[going] - 1, j[going], s[going]))
+        going, o = going[(s[going] != M) | (o != 5)], o[(s[going] != M) | (o != 5)]
+        at = s[going], o
+        r[going] -= event[at]
+        j[going] -= kmer[at]
+        s[going] = state[at]
+        going = going[(r[going] > 0) & (j[going] >= 0)]
+    of, *cells = (np.concatenate(c)[::-1] for c in zip(*path, strict=True))
+    order = np.argsort(of, kind="stable")
+    bounds = np.searchsorted(of[order], np.arange(len(n) + 1)).tolist()
+    cells = [c[order] for c in cells]
+    return [tuple(c[a:b] for c in cells) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def forward(emission: np.ndarray, events_per_base: float, pre_clip: bool = False, post_clip: bool = False, indel_bias: float = 1.0) -> float:
@@ -120,21 +160,39 @@ def viterbi(emission: np.ndarray, events_per_base: float, pre_clip: bool = False
     """Score of the best path, and the path traced from the last event's match of the last k-mer: (event, k-mer, state)."""
     if not emission.size:
         return NONE, []
-    score, origin, end = _trace(emission, transitions(events_per_base, indel_bias), pre_clip, post_clip)
-    n, k = emission.shape
-    r, j, s, path = n, k - 1, M, []
-    while r > 0 and j >= 0 and score[r, s, j] > NONE:
-        path.append((r - 1, j, STATE_NAMES[s]))
-        o = int(origin[r, s, j])
-        if s == M:
-            if o == 5:
-                break
-            r, j, s = r - 1, j - (o in (1, 3, 4)), (M, M, B, B, K)[o]
-        elif s == B:
-            r, s = r - 1, (M, B)[o]
-        else:
-            j, s = j - 1, (M, B, K)[o]
-    return end, path[::-1]
+    n, k = (np.array([x]) for x in emission.shape)
+    origin, end = _trace(lambda i: emission[i], n, k, transitions(events_per_base, indel_bias), pre_clip, post_clip)
+    return float(end[0]), [(r, j, STATE_NAMES[s]) for r, j, s in zip(*(c.tolist() for c in _traced(origin, n, k)[0]), strict=True)]
+
+
+def viterbi_many(work: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """viterbi's paths of many reads (means, level_mean, level_stdv, events_per_base; none empty), without clipping: arrays of
+    events, k-mers, states. Reads of like size go through their rows together."""
+    out: list = [None] * len(work)
+    for block in blocks([len(m) * len(a) for m, a, *_ in work], 1 << 23):
+        some = [work[i] for i in block]
+        n, k = (np.array([len(w[i]) for w in some]) for i in (0, 1))
+        if n.max() * k.max() * len(some) > 1 << 25:  # very unlike each other
+            for i in block:
+                m, a, s, e = work[i]
+                out[i] = _paths(m[None], a[None], s[None], *(np.array([len(x)]) for x in (m, a)), [e])[0]
+            continue
+        for i, x in zip(block, _paths(*(padded([w[i] for w in some], fill) for i, fill in ((0, 0.0), (1, 0.0), (2, 1.0))), n, k, [w[3] for w in some]), strict=True):
+            out[i] = x
+    return out
+
+
+def _paths(means: np.ndarray, level_mean: np.ndarray, level_stdv: np.ndarray, n: np.ndarray, k: np.ndarray, events_per_base: list[float]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    every = {e: transitions(e) for e in set(events_per_base)}
+    lp = {x: np.array([every[e][x] for e in events_per_base])[:, None] for x in every[events_per_base[0]]}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        constant = -LOG_SQRT_2PI - np.log(level_stdv)
+
+    def emission(i):
+        z = (means[:, i, None] - level_mean) / level_stdv
+        return constant - 0.5 * z * z
+
+    return _traced(_trace(emission, n, k, lp, False, False)[0], n, k)
 
 
 def forward_of_set(emissions: list[np.ndarray], events_per_base: float) -> float:
@@ -390,29 +448,43 @@ def align_chained(means: np.ndarray, level_mean: np.ndarray, level_stdv: np.ndar
     """A long read along its reference, stretch by stretch: between an anchor (k-mer, event) and the next one at least stride
     k-mers on, the best path; of it the first emit events count, and the next stretch begins at the last of them. Matrices
     stay small however long the read is. Returns (event, k-mer, state)."""
-    out: list[tuple[int, int, str]] = []
-    anchors = sorted(anchors)
-    if len(anchors) < 2:
-        return out
-    kmer, event = anchors[0]
-    last_kmer, last_event = anchors[-1]
-    at = 0
-    while event < last_event:
-        while at < len(anchors) - 1 and (anchors[at][0] < kmer + stride or anchors[at][1] <= event):
-            at += 1
-        end_kmer, end_event = anchors[at]
-        if end_event <= event or end_kmer < kmer:
-            break
-        e = log_normal(means[event : end_event + 1, None], level_mean[kmer : end_kmer + 1], level_stdv[kmer : end_kmer + 1])
-        path = [(event + i, kmer + j, s) for i, j, s in viterbi(e, events_per_base)[1] if s != "K"]
-        if out:
-            path = path[1:]  # the event that both stretches share
-        if at == len(anchors) - 1 or not path:
-            out += path
-            break
-        out += path[:emit]
-        event, kmer = out[-1][0], out[-1][1]
-    return out
+    event, kmer, state = align_chained_many([(means, level_mean, level_stdv, anchors, events_per_base)], stride, emit)[0]
+    return [(e, k, STATE_NAMES[s]) for e, k, s in zip(event.tolist(), kmer.tolist(), state.tolist(), strict=True)]
+
+
+def align_chained_many(work: list[tuple], stride: int = 100, emit: int = 50) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """align_chained of many reads, read by read the same: arrays of events, k-mers, states. All reads' next stretches are aligned
+    together."""
+    empty = np.empty(0, dtype=np.int64)
+    out = [[(empty, empty, empty)] for _ in work]
+    anchors = [sorted(w[3]) for w in work]
+    at = [0] * len(work)
+    place = [x[0] if len(x) > 1 else None for x in anchors]
+    going = [i for i, x in enumerate(place) if x]
+    while going:
+        todo = []
+        for i in going:
+            (kmer, event), known = place[i], anchors[i]
+            if event >= known[-1][1]:
+                continue
+            while at[i] < len(known) - 1 and (known[at[i]][0] < kmer + stride or known[at[i]][1] <= event):
+                at[i] += 1
+            end_kmer, end_event = known[at[i]]
+            if end_event > event and end_kmer >= kmer:
+                m, a, s, _, e = work[i]
+                todo.append((i, (m[event : end_event + 1], a[kmer : end_kmer + 1], s[kmer : end_kmer + 1], e)))
+        going = []
+        for (i, _), path in zip(todo, viterbi_many([x for _, x in todo]), strict=True):
+            kmer, event = place[i]
+            emitted = path[2] != K
+            e, k, s = (c[emitted][len(out[i]) > 1 :] for c in path)  # without the event that both stretches share
+            if at[i] < len(anchors[i]) - 1 and len(e):
+                e, k, s = e[:emit], k[:emit], s[:emit]
+                going.append(i)
+                place[i] = kmer + int(k[-1]), event + int(e[-1])
+            if len(e):
+                out[i].append((event + e, kmer + k, s))
+    return [tuple(np.concatenate(c) for c in zip(*x, strict=True)) for x in out]
 
 
 # ---- over DataFrames ----
@@ -489,11 +561,17 @@ def score_reads(work: DataFrame, pre_clip: bool = False, post_clip: bool = False
 def align_reads(work: DataFrame) -> DataFrame:
     """The best path of each read: read_id, event, k-mer, state."""
 
-    def row(r):
-        e = _emission(r)
-        return [{"read_id": r["read_id"], "event_idx": i, "kmer_idx": j, "state": s} for i, j, s in viterbi(e, r["events_per_base"])[1]] if e.size else []
+    def rows(b):
+        reads, per_base = b.column("read_id"), b.column("events_per_base").to_pylist()
+        work = [*zip(*(lists(b.column(c)) for c in ("means", "level_mean", "level_stdv")), per_base, strict=True)]
+        some = [i for i, (m, a, *_) in enumerate(work) if len(m) and len(a)]
+        return _stated(by_read(reads, some, viterbi_many([work[i] for i in some])))
 
-    return mapped(work, row, "read_id long, event_idx int, kmer_idx int, state string")
+    return batched(work.select("read_id", "means", "level_mean", "level_stdv", "events_per_base"), rows, ALIGNED)
+
+
+def _stated(columns: list[pa.Array]) -> list[pa.Array]:
+    return [*columns[:3], pa.array(list(STATE_NAMES)).take(columns[3])] if columns else []
 
 
 def align_banded(work: DataFrame, bandwidth: int = 100, min_emission: float = -5.0, max_gap: int = 50) -> DataFrame:
@@ -539,9 +617,11 @@ def align_to_reference(work: DataFrame, stride: int = 100, emit: int = 50) -> Da
     """Events of long reads along the reference: read_id, event_idx, kmer_idx, state. work: as for align_reads, with anchors
     (array of structs kmer, event), such as the base alignment's pairs give."""
 
-    def row(r):
-        m, a, b = (np.array(r[k] or [], dtype=float) for k in ("means", "level_mean", "level_stdv"))
-        pairs = [(x["kmer"], x["event"]) for x in r["anchors"] or [] if 0 <= x["kmer"] < len(a) and 0 <= x["event"] < len(m)]
-        return [{"read_id": r["read_id"], "event_idx": i, "kmer_idx": j, "state": s} for i, j, s in align_chained(m, a, b, pairs, r["events_per_base"], stride, emit)]
+    def rows(b):
+        reads, per_base, anchors = b.column("read_id"), b.column("events_per_base").to_pylist(), b.column("anchors").to_pylist()
+        levels = [*zip(*(lists(b.column(c)) for c in ("means", "level_mean", "level_stdv")), strict=True)]
+        pairs = [[(x["kmer"], x["event"]) for x in p or [] if 0 <= x["kmer"] < len(a) and 0 <= x["event"] < len(m)] for p, (m, a, _) in zip(anchors, levels, strict=True)]
+        work = [(*x, p, e) for x, p, e in zip(levels, pairs, per_base, strict=True)]
+        return _stated(by_read(reads, [*range(len(work))], align_chained_many(work, stride, emit)))
 
-    return mapped(work, row, "read_id long, event_idx int, kmer_idx int, state string")
+    return batched(work.select("read_id", "means", "level_mean", "level_stdv", "events_per_base", "anchors"), rows, ALIGNED)

@@ -175,6 +175,46 @@ def test_lists_of_nothing(spark):
     assert sorted(tuple(r) for r in got) == [(i, j, j) for i in (1, 5) for j in range(4)]
 
 
+def test_paths_of_many_reads_together(spark):
+    """Reads of all sizes in one call: each as alone, and far faster than one by one; whole and stretch by stretch."""
+    import time
+
+    draw = np.random.default_rng(9)
+    work = []
+    for i in range(300):
+        levels = np.round(draw.uniform(60, 120, draw.integers(1, 60)))
+        truth = np.repeat(np.arange(len(levels)), draw.integers(0 if i % 2 else 1, 4, len(levels)))
+        truth = np.append(truth, len(levels) - 1)
+        means = levels[truth] + np.round(draw.normal(0, 2, len(truth)))
+        anchors = [(int(truth[e]), e) for e in range(0, len(truth), 7)] + [(len(levels) - 1, len(truth) - 1)] * (i % 3)
+        work.append((means, levels, np.full(len(levels), 2.0), anchors, 1.2 + 0.3 * (i % 4)))
+    took = [0.0] * 4
+    took[0] -= time.time()
+    whole = hmm.viterbi_many([(m, a, s, e) for m, a, s, _, e in work])
+    took[0] += time.time()
+    took[1] -= time.time()
+    for (m, a, s, _, e), path in zip(work, whole, strict=True):
+        assert [(i, j, hmm.STATE_NAMES[x]) for i, j, x in zip(*path)] == hmm.viterbi(hmm.log_normal(m[:, None], a, s), e)[1]
+    took[1] += time.time()
+    took[2] -= time.time()
+    chained = hmm.align_chained_many(work, 10, 5)
+    took[2] += time.time()
+    took[3] -= time.time()
+    for w, path in zip(work, chained, strict=True):
+        assert [(i, j, hmm.STATE_NAMES[x]) for i, j, x in zip(*path)] == hmm.align_chained(*w, 10, 5)
+    took[3] += time.time()
+    assert took[1] > 2 * took[0] and took[3] > 3 * took[2]
+    # A stretch that takes in all of a read gives the whole read's path.
+    ends = [(m, a, s, [(0, 0), (len(a) - 1, len(m) - 1)], e) for m, a, s, _, e in work if len(m) > 1]
+    for w, path in zip(ends, hmm.align_chained_many(ends, 1, 10**6), strict=True):
+        assert [(i, j, hmm.STATE_NAMES[x]) for i, j, x in zip(*path)] == [x for x in hmm.viterbi(hmm.log_normal(w[0][:, None], w[1], w[2]), w[4])[1] if x[2] != "K"]
+    x = [70.0, 80.0, 90.0]
+    rows = [(1, x, x, [1.0] * 3, 1.5, [(0, 0), (2, 2)]), (2, [], [], [], 1.5, []), (3, x, x, [1.0] * 3, 1.5, None), (4, None, None, None, 1.5, [(0, 0), (2, 2)])]
+    df = spark.createDataFrame(rows, "read_id long, means array<double>, level_mean array<double>, level_stdv array<double>, events_per_base double, anchors array<struct<kmer:int,event:int>>")
+    assert sorted(tuple(r) for r in hmm.align_to_reference(df).collect()) == [(1, i, i, "M") for i in range(3)]
+    assert sorted(tuple(r) for r in hmm.align_reads(df).collect()) == [(r, i, i, "M") for r in (1, 3) for i in range(3)]
+
+
 def test_segmentation():
     draw = np.random.default_rng(4)
     parts = [(70, 3, 300), (111, 4, 400), (79, 6, 800), (108.9, 2.5, 900), (79, 6, 200)]
