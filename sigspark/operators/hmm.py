@@ -46,34 +46,62 @@ def flanks(n: int) -> tuple[np.ndarray, np.ndarray]:
     return before, before[:n][::-1].copy()
 
 
-def _score(emission: np.ndarray, lp: dict[str, float], pre_clip: bool, post_clip: bool, best: bool) -> float:
-    """Log-probability of the best path (best) or of all paths, over events x k-mers. Two rows are held, whatever the number of
+def _sum(*ways: np.ndarray) -> np.ndarray:
+    """The log of the summed exponentials, cell by cell: one logarithm, whatever the number of ways."""
+    top = ways[0]
+    for x in ways[1:]:
+        top = np.maximum(top, x)
+    base = np.where(top == NONE, 0.0, top)
+    total = np.exp(ways[0] - base)
+    for x in ways[1:]:
+        total += np.exp(x - base)
+    return np.log(total) + base
+
+
+def _running_sum(x: np.ndarray) -> np.ndarray:
+    """The same of all cells of a row up to each. A row whose cells lie too far apart for one scale goes cell by cell."""
+    top = x.max(axis=1, keepdims=True)
+    base = np.where(top == NONE, 0.0, top)
+    out = np.log(np.cumsum(np.exp(x - base), axis=1)) + base
+    far = ((x < base - 700) & (x > NONE)).any(axis=1)
+    if far.any():
+        out[far] = np.logaddexp.accumulate(x[far], axis=1)
+    return out
+
+
+def _score(emission, n: np.ndarray, k: np.ndarray, lp: dict[str, np.ndarray], pre_clip: bool, post_clip: bool, best: bool) -> np.ndarray:
+    """For a block of reads, each with n events (most first) and k k-mers: log-probability of the best path (best) or of all
+    paths. emission(i, a): of the first a reads' i-th events, a x most k-mers. Two rows are held, whatever the number of
     events; their first column stands for what lies before the first k-mer."""
-    n, k = emission.shape
-    join = np.maximum if best else np.logaddexp
-    last, row = np.full((3, k + 1), NONE), np.full((3, k + 1), NONE)
-    before, after = flanks(n)
-    end = NONE
-    steps = np.arange(k) * lp["kk"]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for r in range(n):
-            m, b, s = last
-            x = join(m[1:] + lp["mm_self"], m[:-1] + lp["mm_next"])
-            join(x, b[1:] + lp["bm_self"], out=x)
-            join(x, b[:-1] + lp["bm_next"], out=x)
-            join(x, s[:-1] + lp["km"], out=x)
+    size, most_n, most_k = len(n), int(n[0]), int(k.max())
+    join = (lambda *x: np.maximum.reduce(x)) if best else _sum
+    scan = (lambda x: np.maximum.accumulate(x, axis=1)) if best else _running_sum
+    last, row = np.full((3, size, most_k + 1), NONE), np.full((3, size, most_k + 1), NONE)
+    first = flanks(most_n)[0]
+    end = np.full(size, NONE)
+    steps = np.arange(most_k) * lp["kk"]
+    beyond = np.arange(most_k) >= k[:, None] if k.min() < most_k else None
+    active = np.searchsorted(-n, -np.arange(most_n), "left").tolist()
+    with np.errstate(divide="ignore", invalid="ignore", under="ignore"):
+        for r, a in enumerate(active):
+            m, b, s = last[:, :a]
+            p = {x: v[:a] for x, v in lp.items()}
+            x = join(m[:, 1:] + p["mm_self"], m[:, :-1] + p["mm_next"], b[:, 1:] + p["bm_self"], b[:, :-1] + p["bm_next"], s[:, :-1] + p["km"])
             if r == 0 or pre_clip:
-                x[0] = join(x[0], before[r])
-            row[M, 1:] = x + emission[r]
-            row[B, 1:] = join(m[1:] + lp["mb"], b[1:] + lp["bb"])
+                x[:, 0] = join(x[:, 0], np.full(a, first[r]))
+            row[M, :a, 1:] = x + emission(r, a)
+            row[B, :a, 1:] = join(m[:, 1:] + p["mb"], b[:, 1:] + p["bb"])
             # A skip emits nothing: it comes from the k-mer before in the same row, so it is a scan, here of start less its own steps.
-            start = join(row[M, :-1] + lp["mk"], row[B, :-1] + lp["bk"])
-            row[K, 1:] = join.accumulate(start - steps) + steps
-            if r == n - 1 or post_clip:
-                for x in row[:, k] + after[r]:
-                    end = join(end, x)
+            start = join(row[M, :a, :-1] + p["mk"], row[B, :a, :-1] + p["bk"]) - steps[:a]
+            if beyond is not None:
+                start[beyond[:a]] = NONE
+            row[K, :a, 1:] = scan(start) + steps[:a]
+            at = np.arange(a) if post_clip else np.flatnonzero(n[:a] == r + 1)
+            if len(at):
+                x = row[:, at, k[at]] + first[n[at] - r - 1]
+                end[at] = join(end[at], *x)
             last, row = row, last
-    return float(end)
+    return end
 
 
 def _trace(emission, n: np.ndarray, k: np.ndarray, lp: dict[str, np.ndarray], pre_clip: bool, post_clip: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -142,18 +170,53 @@ def _traced(origin: np.ndarray, n: np.ndarray, k: np.ndarray) -> list[tuple[np.n
     return [tuple(c[a:b] for c in cells) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def _alone(emission: np.ndarray, lp: dict[str, float], pre_clip: bool, post_clip: bool, best: bool) -> float:
+    n, k = (np.array([x]) for x in emission.shape)
+    return float(_score(lambda i, _: emission[i], n, k, {x: np.full((1, 1), v) for x, v in lp.items()}, pre_clip, post_clip, best)[0])
+
+
+def score_many(work: list[tuple], pre_clip: bool = False, post_clip: bool = False, best: bool = False) -> np.ndarray:
+    """forward, or best_score, of many reads (means, level_mean, level_stdv, events_per_base; none empty). Reads of like numbers of
+    k-mers go through their rows together."""
+    out = np.empty(len(work))
+    for block in blocks([len(a) for _, a, *_ in work], 1 << 20, 64):
+        block.sort(key=lambda i: -len(work[i][0]))
+        means, mean, stdv, n, k, lp = _block([work[i] for i in block])
+        out[block] = _score(emissions(means, mean, stdv), n, k, lp, pre_clip, post_clip, best)
+    return out
+
+
+def _block(work: list[tuple]) -> tuple:
+    """Reads as matrices: means, level_mean, level_stdv; numbers of events and k-mers; transitions, a column each."""
+    every = {e: transitions(e) for _, _, _, e in work}
+    lp = {x: np.array([every[e][x] for *_, e in work])[:, None] for x in every[work[0][3]]}
+    return *(padded([w[i] for w in work], fill) for i, fill in ((0, 0.0), (1, 0.0), (2, 1.0))), *(np.array([len(w[i]) for w in work]) for i in (0, 1)), lp
+
+
+def emissions(means: np.ndarray, level_mean: np.ndarray, level_stdv: np.ndarray):
+    """A function of i, and a: log_normal of the first a (or all) reads' i-th events under each of their k-mers."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        constant = -LOG_SQRT_2PI - np.log(level_stdv)
+
+    def emission(i: int, a: int | None = None) -> np.ndarray:
+        z = (means[:a, i, None] - level_mean[:a]) / level_stdv[:a]
+        return constant[:a] - 0.5 * z * z
+
+    return emission
+
+
 def forward(emission: np.ndarray, events_per_base: float, pre_clip: bool = False, post_clip: bool = False, indel_bias: float = 1.0) -> float:
     """Log-probability of all events under the k-mers' model."""
     if not emission.size:
         return NONE
-    return _score(emission, transitions(events_per_base, indel_bias), pre_clip, post_clip, False)
+    return _alone(emission, transitions(events_per_base, indel_bias), pre_clip, post_clip, False)
 
 
 def best_score(emission: np.ndarray, events_per_base: float, pre_clip: bool = False, post_clip: bool = False, indel_bias: float = 1.0) -> float:
     """Log-probability of the best path alone."""
     if not emission.size:
         return NONE
-    return _score(emission, transitions(events_per_base, indel_bias), pre_clip, post_clip, True)
+    return _alone(emission, transitions(events_per_base, indel_bias), pre_clip, post_clip, True)
 
 
 def viterbi(emission: np.ndarray, events_per_base: float, pre_clip: bool = False, post_clip: bool = False, indel_bias: float = 1.0) -> tuple[float, list[tuple[int, int, str]]]:
@@ -170,31 +233,15 @@ def viterbi_many(work: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.nda
     events, k-mers, states. Reads of like size go through their rows together."""
     out: list = [None] * len(work)
     for block in blocks([len(m) * len(a) for m, a, *_ in work], 1 << 23):
-        some = [work[i] for i in block]
-        n, k = (np.array([len(w[i]) for w in some]) for i in (0, 1))
-        if n.max() * k.max() * len(some) > 1 << 25:  # very unlike each other
-            for i in block:
-                m, a, s, e = work[i]
-                out[i] = _paths(m[None], a[None], s[None], *(np.array([len(x)]) for x in (m, a)), [e])[0]
-            continue
-        for i, x in zip(block, _paths(*(padded([w[i] for w in some], fill) for i, fill in ((0, 0.0), (1, 0.0), (2, 1.0))), n, k, [w[3] for w in some]), strict=True):
-            out[i] = x
+        unlike = max(len(work[i][0]) for i in block) * max(len(work[i][1]) for i in block) * len(block) > 1 << 25
+        for part in [[i] for i in block] if unlike else [block]:
+            means, mean, stdv, n, k, lp = _block([work[i] for i in part])
+            origin, _ = _trace(emissions(means, mean, stdv), n, k, lp, False, False)
+            for i, x in zip(part, _traced(origin, n, k), strict=True):
+                out[i] = x
     return out
 
 
-def _paths(means: np.ndarray, level_mean: np.ndarray, level_stdv: np.ndarray, n: np.ndarray, k: np.ndarray, events_per_base: list[float]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    every = {e: transitions(e) for e in set(events_per_base)}
-    lp = {x: np.array([every[e][x] for e in events_per_base])[:, None] for x in every[events_per_base[0]]}
-    with np.errstate(divide="ignore", invalid="ignore"):
-        constant = -LOG_SQRT_2PI - np.log(level_stdv)
-
-    def emission(i):
-        z = (means[:, i, None] - level_mean) / level_stdv
-        return constant - 0.5 * z * z
-
-    return _traced(_trace(emission, n, k, lp, False, False)[0], n, k)
-
-
 def forward_of_set(emissions: list[np.ndarray], events_per_base: float) -> float:
     """Mean likelihood over alternative sequences, as a log."""
     return float(np.logaddexp.reduce([forward(e, events_per_base) for e in emissions]) - math.log(len(emissions)))
@@ -522,6 +569,13 @@ def by_read(reads: pa.Array, rows: list[int], found: list[tuple]) -> list[pa.Arr
     return [names, *(pa.array(np.concatenate(c)) for c in zip(*found, strict=True))]
 
 
+def pieces_of_work(b: pa.RecordBatch, mean: str, stdv: str, events_per_base: list[float]) -> tuple[list[tuple], list[int]]:
+    """Work as score_many takes it, and its rows: those with events and k-mers."""
+    work = [*zip(*(lists(b.column(c)) for c in ("means", mean, stdv)), events_per_base, strict=True)]
+    some = [i for i, (m, a, *_) in enumerate(work) if len(m) and len(a)]
+    return [work[i] for i in some], some
+
+
 def batched(df: DataFrame, rows, schema: str, most: int = 512, values: int = 1 << 21) -> DataFrame:
     """Runs rows(Arrow batch) -> columns over slices of at most most rows and about so many values of their lists, or one row."""
     from pyspark.sql.types import _parse_datatype_string
@@ -551,21 +605,20 @@ def score_reads(work: DataFrame, pre_clip: bool = False, post_clip: bool = False
     """read_id, n_events, n_kmers, forward score, best path's score. work: read_id, means, level_mean, level_stdv (arrays),
     events_per_base."""
 
-    def row(r):
-        e = _emission(r)
-        return [{"read_id": r["read_id"], "n_events": e.shape[0], "n_kmers": e.shape[1], "forward": forward(e, r["events_per_base"], pre_clip, post_clip), "viterbi": best_score(e, r["events_per_base"], pre_clip, post_clip)}] if e.size else []
+    def rows(b):
+        work, some = pieces_of_work(b, "level_mean", "level_stdv", b.column("events_per_base").to_pylist())
+        sizes = (pa.array([len(x[i]) for x in work]) for i in (0, 1))
+        return [b.column("read_id").take(pa.array(some)), *sizes, *(pa.array(score_many(work, pre_clip, post_clip, best)) for best in (False, True))] if some else []
 
-    return mapped(work, row, "read_id long, n_events int, n_kmers int, forward double, viterbi double")
+    return batched(work.select("read_id", "means", "level_mean", "level_stdv", "events_per_base"), rows, "read_id long, n_events int, n_kmers int, forward double, viterbi double")
 
 
 def align_reads(work: DataFrame) -> DataFrame:
     """The best path of each read: read_id, event, k-mer, state."""
 
     def rows(b):
-        reads, per_base = b.column("read_id"), b.column("events_per_base").to_pylist()
-        work = [*zip(*(lists(b.column(c)) for c in ("means", "level_mean", "level_stdv")), per_base, strict=True)]
-        some = [i for i, (m, a, *_) in enumerate(work) if len(m) and len(a)]
-        return _stated(by_read(reads, some, viterbi_many([work[i] for i in some])))
+        work, some = pieces_of_work(b, "level_mean", "level_stdv", b.column("events_per_base").to_pylist())
+        return _stated(by_read(b.column("read_id"), some, viterbi_many(work)))
 
     return batched(work.select("read_id", "means", "level_mean", "level_stdv", "events_per_base"), rows, ALIGNED)
 
@@ -608,11 +661,6 @@ def segment_reads(signal: DataFrame, mixed_tail: bool = False) -> DataFrame:
     return mapped(signal, row, "read_id long, start int, leader int, adapter int, polya int, cliffs int" + ", polyi_end int, polya_start int" * mixed_tail)
 
 
-def _emission(r: dict) -> np.ndarray:
-    m, a, b = (np.array(r[k] or [], dtype=float) for k in ("means", "level_mean", "level_stdv"))
-    return log_normal(m[:, None], a, b) if len(m) and len(a) else np.empty((0, 0))
-
-
 def align_to_reference(work: DataFrame, stride: int = 100, emit: int = 50) -> DataFrame:
     """Events of long reads along the reference: read_id, event_idx, kmer_idx, state. work: as for align_reads, with anchors
     (array of structs kmer, event), such as the base alignment's pairs give."""

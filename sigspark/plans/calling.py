@@ -6,7 +6,7 @@ travel as arrays of levels, so the kernels need no lookups.
 
 from __future__ import annotations
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +51,13 @@ def score_sites(events: DataFrame, ref: DataFrame, model: DataFrame, alphabet: s
     means = near.groupBy("read_id", "contig", "start_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_idx", "mean"))), lambda x: x["mean"]).alias("means"))
     rows = means.filter(F.size("means") > 10).join(work, key)
 
-    def row(r):
-        x = np.array(r["means"])
-        both = [hmm.forward(hmm.log_normal(x[:, None], np.array(r[f"{n}_mean"]), np.array(r[f"{n}_stdv"])), events_per_base, True, True) for n in ("modified", "plain")]
-        return [{n: r[n] for n in ("read_id", "contig", "start_pos", "end_pos", "num_motifs")} | {"ll_methylated": both[0], "ll_unmethylated": both[1], "llr": both[0] - both[1]}]
+    def scored(b):
+        both = [hmm.score_many(hmm.pieces_of_work(b, f"{n}_mean", f"{n}_stdv", [events_per_base] * b.num_rows)[0], True, True) for n in ("modified", "plain")]
+        return [*b.columns[:5], *map(pa.array, (*both, both[0] - both[1]))]
 
     rows = rows.filter((F.size("plain_mean") == F.length("plain") - k + 1) & (F.size("modified_mean") == F.size("plain_mean")))
     cols = ["read_id", "contig", "start_pos", "end_pos", "num_motifs", "means", "plain_mean", "plain_stdv", "modified_mean", "modified_stdv"]
-    return hmm.mapped(rows.select(*cols), row, "read_id long, contig long, start_pos long, end_pos long, num_motifs long, ll_methylated double, ll_unmethylated double, llr double")
+    return hmm.batched(rows.select(*cols), scored, "read_id long, contig long, start_pos long, end_pos long, num_motifs long, ll_methylated double, ll_unmethylated double, llr double")
 
 
 def score_haplotypes(reads: DataFrame, haplotypes: DataFrame, model: DataFrame, k: int, events_per_base: float = 1.5) -> DataFrame:
@@ -67,11 +66,11 @@ def score_haplotypes(reads: DataFrame, haplotypes: DataFrame, model: DataFrame,
     key = ["group_id", "haplotype_id"]
     work = reads.join(levels(haplotypes, model, "seq", k, "hap", key), "group_id")
 
-    def row(r):
-        e = hmm.log_normal(np.array(r["means"])[:, None], np.array(r["hap_mean"]), np.array(r["hap_stdv"]))
-        return [{n: r[n] for n in ("group_id", "haplotype_id", "read_id")} | {"score": hmm.forward(e, events_per_base, True, True)}] if e.size else []
+    def scored(b):
+        work, some = hmm.pieces_of_work(b, "hap_mean", "hap_stdv", [events_per_base] * b.num_rows)
+        return [*(c.take(pa.array(some)) for c in b.columns[:3]), pa.array(hmm.score_many(work, True, True))] if some else []
 
-    return hmm.mapped(work.select("group_id", "haplotype_id", "read_id", "means", "hap_mean", "hap_stdv"), row, f"group_id {haplotypes.schema['group_id'].dataType.simpleString()}, haplotype_id long, read_id long, score double")
+    return hmm.batched(work.select("group_id", "haplotype_id", "read_id", "means", "hap_mean", "hap_stdv"), scored, f"group_id {haplotypes.schema['group_id'].dataType.simpleString()}, haplotype_id long, read_id long, score double")
 
 
 def screen(scores: DataFrame, base: int = 0, least: float = 0.0) -> DataFrame:
