@@ -1,8 +1,9 @@
 """Encoding with public tokenizers, word by word.
 
 A BPE tokenizer first splits a text into pre-tokens and encodes each alone. Where a text can be cut without cutting a
-pre-token, its pieces are encoded once and kept in a bounded table; what repeats is only looked up. The ids are those
-of the whole text (tests compare them).
+pre-token, its pieces are encoded once and kept in a bounded table; what repeats is only looked up, and that once for each
+different piece of a block of texts: Arrow numbers a block's pieces, and NumPy gathers the ids. The ids are those of the
+whole text (tests compare them).
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: So many pieces are kept, and as many of those before them; then the oldest go. Bounds memory, not results.
 KEPT = 450_000
-#: Pieces encoded in one call, and documents whose pieces are gathered for it.
-CALL, GATHER = 400, 64
+#: Pieces encoded in one call, documents whose pieces are gathered for it and about the most characters of these (or one document),
+#: and pieces whose ids are gathered at once.
+CALL, GATHER, CHARACTERS, AT_ONCE = 400, 512, 1 << 21, 1 << 20
 _ENCODERS: dict[str, Encoder] = {}
 #: Letters that every version of Unicode has, with the space that may lead them: one pre-token.
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -70,13 +74,41 @@ class Encoder:
             return "dropped"
         return "whole"
 
-    def pieces(self, text: str) -> list[str] | None:
+    def cuttable(self, text: str) -> bool:
         if self.how == "whole" or any(x in text for x in self.added):
-            return None
+            return False
         if self.how == "dropped":
-            return text.replace("\n", " ").split(" ")
+            return True
         odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text.endswith((" ", "\n")) or text.startswith("\n") or self.blank.search(text)
-        return None if odd and self.unsafe.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return not (odd and self.unsafe.search(text))
+
+    def pieces(self, texts: list[str]) -> pa.LargeListArray | pa.ListArray:
+        """The pieces of texts that can be cut."""
+        x = pa.array(texts, pa.large_string())
+        if self.how == "dropped":
+            return pc.split_pattern(pc.replace_substring(x, "\n", " "), " ")
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(x, " ", "\0 "), "\n", "\0\n\0"), "\0")
+
+    def joined(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts that can be cut."""
+        cut = self.pieces(texts)
+        numbered = cut.flatten().dictionary_encode()
+        number, different = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(set(different))
+        known = [*map(self.known.__getitem__, different)]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at, ids = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
+        out, ends = [], [np.zeros(1, np.int64)]
+        for i in range(0, len(number), AT_ONCE):
+            some = number[i : i + AT_ONCE]
+            n = size[some]
+            end = np.cumsum(n)
+            out.append(ids[np.repeat(at[some] - (end - n), n) + np.arange(end[-1])])
+            ends.append(end + ends[-1][-1])
+        ids = np.concatenate(out)
+        bounds = np.concatenate(ends)[cut.offsets.to_numpy()].tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield ids[a:b].tobytes()
 
     def _encode(self, todo: list[str], by: tuple) -> None:
         tokenizer, mark, mark_id = by
@@ -118,19 +150,21 @@ class Encoder:
     def encoded(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids, little-endian unsigned 32-bit integers; null is the empty text."""
         block: list[str] = []
+        held = 0
 
         def out() -> Iterator[bytes]:
-            cut = [self.pieces(t) for t in block]
-            self.learn(set().union(*[p for p in cut if p is not None]))
-            get = self.known.__getitem__
-            for t, p in zip(block, cut, strict=True):
-                yield np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if p is None else b"".join(map(get, p))
+            cut = [self.cuttable(t) for t in block]
+            joined = self.joined([t for t, c in zip(block, cut, strict=True) if c]) if any(cut) else iter(())
+            for t, c in zip(block, cut, strict=True):
+                yield next(joined) if c else np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
         for t in texts:
-            block.append(t or "")
-            if len(block) == GATHER:
+            t = t or ""
+            if block and (len(block) == GATHER or held + len(t) > CHARACTERS):
                 yield from out()
-                block = []
+                block, held = [], 0
+            block.append(t)
+            held += len(t)
         yield from out()
 
 
@@ -138,8 +172,6 @@ def released() -> None:
     """Gives memory that earlier tasks of this worker process have freed back to the machine, where that can be asked for."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
         trim(0)

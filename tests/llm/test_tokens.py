@@ -46,6 +46,26 @@ def test_encoder_starts_its_table_anew(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encoded(texts)] == [plain(WORD, t) for t in texts]
 
 
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_pieces_are_looked_up_once_a_block(path, monkeypatch):
+    """What repeats within a block is looked up once for all; the blocks' and gatherings' sizes change nothing."""
+    from sigspark.llm import encode
+
+    texts = [None, "", " ", "\n", "one two two,\nthree", "two " * 700, "two\n" * 9 + "x", "é 日本 two", "a\0b two", "<unk> two  two", "  two", "two two"] * 3
+    want = [plain(path, t or "") for t in texts]
+    found = []
+    learn = encode.Encoder.learn
+    monkeypatch.setattr(encode.Encoder, "learn", lambda self, need: (found.append(len(need)), learn(self, need))[1])
+    for limits in ({}, {"GATHER": 2}, {"CHARACTERS": 10}, {"AT_ONCE": 3}):
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(encode, k, v)
+            assert [np.frombuffer(x, "<u4").tolist() for x in encode.Encoder(path).encoded(texts)] == want
+        if not limits:
+            assert len(found) == 1 and found[0] < 40
+
+
 def test_histogram(spark):
     df = clashing(docs(spark, ROWS))
     n = sorted(len(plain(BYTE, t)) for _, t in ROWS)
