@@ -41,13 +41,16 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 ids at most; the ids as a digest."""
     from sigspark.llm.packing import pack
 
-    out = pack(docs, vocabulary("byte_bpe_50k.json"), size=1024, end_id=0)
+    out = pack(docs, vocabulary("byte_bpe_50k.json"), size=1024, end_id=0, kept=KEPT)
     length = (F.octet_length("ids") / 4).cast("long")
     return out.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secret_scan), ("packing", packing)]
 
+#: Pieces that packing's encoder keeps: fewer than alone, as the stages before it have filled the executors' heaps.
+KEPT = 100_000
+
 #: A trained model and a tokenizer are no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 

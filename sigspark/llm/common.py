@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import dropped, scratch, stored  # noqa: F401  some are for this folder's modules
+from ..sources.tables import bounded, dropped, scratch, stored  # noqa: F401  some are for this folder's modules
 
 #: Fixed value: a word is a run of characters outside these ASCII ranges, that is of digits, letters and anything non-ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -46,6 +46,7 @@ class Encoder:
         # A cut before a space or around a line break is safe where no other white space stands beside it.
         self.unsafe = re.compile(r"[ \n][\s\x1c-\x1f\x85]|[^\S \n][ \n]|[ \n]\Z|\A\n|\0")
         self.blank = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+        self.kept: int | None = None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         if self.how == "whole":
@@ -121,7 +122,7 @@ class Encoder:
 
     def learn(self, need: set[str]) -> None:
         """Sees to it that known holds all of need."""
-        if len(self.known) > KEPT:
+        if len(self.known) > (self.kept or KEPT):
             self.known, self.older = {}, self.known
         new, older = need.difference(self.known), self.older
         if not new:
@@ -177,11 +178,12 @@ def released() -> None:
         trim(0)
 
 
-def encoder(path: str) -> Encoder:
-    """One a worker process."""
+def encoder(path: str, kept: int | None = None) -> Encoder:
+    """One a worker process. kept: so many pieces instead of KEPT, where memory is scarcer than time."""
     if path not in _ENCODERS:
         released()
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].kept = kept
     return _ENCODERS[path]
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import narrow
+from .common import bounded, narrow
 from .encode import encoder
 
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -104,11 +104,11 @@ def padding(lengths: np.ndarray, size: int) -> int:
     return int(np.where(n & (n - 1) == 0, 0, size - n).sum())
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, windows: int = WINDOWS) -> DataFrame:
-    """Every piece with its ids (binary, little-endian unsigned 32 bits), its sequence and its offset there."""
+def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, windows: int = WINDOWS, kept: int | None = None) -> DataFrame:
+    """Every piece with its ids (binary, little-endian unsigned 32 bits), its sequence and its offset there. kept: the encoder's."""
 
     def task(batches):
-        e, packer, n, rows = encoder(path), Packer(size, windows), TaskContext.get().partitionId() << OWN_BITS, []
+        e, packer, n, rows = encoder(path, kept), Packer(size, windows), TaskContext.get().partitionId() << OWN_BITS, []
         end = np.array([end_id], dtype="<u4").tobytes()
         held = 0
 
@@ -141,4 +141,4 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, windows:
         if rows:
             yield batch()
 
-    return narrow(docs, "doc_id", "text").mapInArrow(task, PIECES)
+    return bounded(narrow(docs, "doc_id", "text")).mapInArrow(task, PIECES)

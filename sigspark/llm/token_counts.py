@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, written
+from .common import bounded, narrow, written
 from .encode import encoder
 
 #: Lengths are summed in blocks of so many first, so that no window holds all of them.
@@ -34,7 +34,7 @@ def lengths(docs: DataFrame, path: str) -> DataFrame:
                 found.update(len(x) // 4 for x in e.encoded(col.slice(i, 512).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["n_tokens", "n_docs"])
 
-    return narrow(docs, "text").mapInArrow(count, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return bounded(narrow(docs, "text")).mapInArrow(count, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def histogram(docs: DataFrame, path: str) -> DataFrame:

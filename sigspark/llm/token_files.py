@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, scratch, written
+from .common import bounded, narrow, scratch, written
 from .encode import encoder
 
 #: How a checksum is masked, so that data which holds checksums still gets good ones.
@@ -98,7 +98,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> DataFrame
     # The row's own number parts rows that are equal in id and text: a row that is repeated very often is in several ranges.
     df = narrow(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text")).withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
     df = df.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return written(docs.sparkSession, df.mapInArrow(shard, MANIFEST), "token-manifest")
+    return written(docs.sparkSession, bounded(df).mapInArrow(shard, MANIFEST), "token-manifest")
 
 
 class Shard:

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
+#: About the most bytes of a batch of rows that goes to Python.
+BATCH = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,3 +56,12 @@ def dropped(*tables: DataFrame) -> None:
     for t in tables:
         store, path = _store(t.sparkSession, t.stored_at)
         store.delete(path, True)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df; batches of its session go to Python with about BATCH bytes. Spark alone counts rows, 10,000 of them, so a task's memory, in the
+    JVM and in Python, would grow with the length of the texts. A limit that is set stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH))
+    return df

@@ -197,3 +197,35 @@ def test_few_pieces_are_of_the_last_step():
         before += sum(map(len, p.add(i, b"\0\0\0\0" * int(draw.lognormvariate(6, 1.2) + 1))))
     last = p.close()
     assert sum(map(len, last)) < 0.05 * before and packing.padding([sum(len(x[2]) // 4 for x in w) for w in last], 1024) == 0
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    """A batch that goes to the packer holds some MB, however long its texts are."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from sigspark.sources import tables
+
+    name, mapped, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", [], []
+    spark.conf.unset(name)
+    df = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ACGT "), 10_000).alias("text"))
+
+    def most(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    def map_in_arrow(self, task, schema):
+        mapped.append(self)
+        return real(self, task, schema)
+
+    real = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", map_in_arrow)
+    for step in (lambda: packing.pack(df, vocabulary("byte_bpe_50k.json")),):
+        spark.conf.unset(name)
+        step()
+        sizes.append([r.bytes for r in real(mapped[-1], most, "bytes long").collect()])
+    assert all(sum(s) >= 600 * 50_000 and max(s) < 2 * tables.BATCH for s in sizes), sizes
+    spark.conf.set(name, "1000000")
+    packing.pack(df, vocabulary("byte_bpe_50k.json"))
+    assert spark.conf.get(name) == "1000000"
+    spark.conf.unset(name)
