@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from ..functions.sequence import motif_positions, pieces, places
 from ..functions.stats import as_byte, modification_probability
+from ..sources.tables import bounded
 
 
 def frequency(calls: DataFrame, threshold: float = 2.0) -> DataFrame:
@@ -66,7 +67,7 @@ def motif_scan(seqs: DataFrame, motif: str, key: str = "read_id") -> DataFrame:
             row, pos = places(b.column("seq"), motif)
             yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row)), pa.array(pos)], names=[key, "pos"])
 
-    return seqs.select(key, "seq").mapInArrow(task, schema)
+    return bounded(seqs.select(key, "seq")).mapInArrow(task, schema)
 
 
 def motif_places(seqs: DataFrame, motif: str, key: str = "read_id") -> DataFrame:
@@ -79,7 +80,7 @@ def motif_places(seqs: DataFrame, motif: str, key: str = "read_id") -> DataFrame
             bounds = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(bounds), pa.array(pos))], names=[key, "at"])
 
-    return seqs.select(key, "seq").mapInArrow(task, schema)
+    return bounded(seqs.select(key, "seq")).mapInArrow(task, schema)
 
 
 def motif_groups(sites: DataFrame, key: str = "read_id", min_separation: int = 10) -> DataFrame:
@@ -122,7 +123,7 @@ def scanned_groups(seqs: DataFrame, motif: str, key: str = "read_id", min_separa
                 cols.append(pa.array([text[r][max(x - flank, 0) : y + len(motif) + flank] for r, x, y in zip(of.tolist(), start.tolist(), end.tolist(), strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    seqs = seqs.select(key, "seq")
+    seqs = bounded(seqs.select(key, "seq"))
     return (seqs if flank is None else seqs.filter(F.col(key).isNotNull())).mapInArrow(task, schema)  # a context is looked up by key
 
 

@@ -200,10 +200,11 @@ def test_few_pieces_are_of_the_last_step():
 
 
 def test_batches_are_bounded_by_bytes(spark, monkeypatch):
-    """A batch that goes to the packer holds some MB, however long its texts are."""
+    """A batch that goes to the packer or to the motif scan holds some MB, however long its texts are."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
+    from sigspark.operators import methylation
     from sigspark.sources import tables
 
     name, mapped, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", [], []
@@ -220,7 +221,7 @@ def test_batches_are_bounded_by_bytes(spark, monkeypatch):
 
     real = type(df).mapInArrow
     monkeypatch.setattr(type(df), "mapInArrow", map_in_arrow)
-    for step in (lambda: packing.pack(df, vocabulary("byte_bpe_50k.json")),):
+    for step in (lambda: packing.pack(df, vocabulary("byte_bpe_50k.json")), lambda: methylation.motif_scan(df.toDF("read_id", "seq"), "CG")):
         spark.conf.unset(name)
         step()
         sizes.append([r.bytes for r in real(mapped[-1], most, "bytes long").collect()])
